@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language_id, mixing, near_vectors, packing, quality, secret_scan, url_rules
+from . import chat, jaccard, language_id, mixing, near_vectors, packing, quality, repeats, secret_scan, url_rules
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -72,9 +72,13 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(mixing.measured(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_chat_formatting, op7_url_filters, op8_secret_scans, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_chat_formatting, op7_url_filters, op8_secret_scans, op9_suffix_array_dedup, op10_source_mixing)}
