@@ -1,13 +1,69 @@
-"""A corpus pipeline of five training-data operators; each stage reads what the one before it wrote."""
+"""A corpus pipeline of five training-data operators; each stage reads what the one before it wrote.
+
+Every stage takes (spark, docs, sf_dir) and looks at all rows of docs; all but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm import jaccard, language_id, mixing, packing, secret_scan
+from tessera.llm.common import save, table
+from tessera.llm.queries import tokenizer_path
+
+#: A document whose language is less likely than this is rejected, as is one without a letter.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that the labelled ones teach; the rest go."""
+    model = language_id.train(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs, model, tuple(docs.columns), ("__language", "__likely"))
+    return found.where((F.col("__language") != "und") & (F.col("__likely") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each component, and one row of those that share an id."""
+    found = jaccard.join(docs)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti").select("*", first.alias("__row"))
+    return kept.where("__row = 1 or doc_id is null").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; every span that the scan finds is replaced by a mark."""
+    _, ledger = secret_scan.scan_all(docs)
+    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    rows = docs.withColumn("__blob", secret_scan.address()).join(hits, "__blob", "left")
+    text = F.when(F.col("__spans").isNotNull(), secret_scan.redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize(docs, tokenizer_path())
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("secret_scans", redact_secrets),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
-STAGES: list = []
-#: SQL can't express the stages, so tests hold run() against a brute-force version.
+#: SQL can't express language ID and packing, so tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -111,8 +111,8 @@ def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray) ->
     return names, scores
 
 
-def identify(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs with `keep` and text -> `keep`, lang_pred, score; one row for each row."""
+def identify(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with `keep` and text -> `keep`, language and score under `names`; one row for each row."""
     spark = docs.sparkSession
     langs, logp = model
     shared = spark.sparkContext.broadcast((langs, logp))
@@ -120,14 +120,14 @@ def identify(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     def scorer(batches):
         langs, logp = shared.value
         for batch in batches:
-            names, scores = score_texts(batch.column("__text").to_pylist(), langs, logp)
+            found, scores = score_texts(batch.column("__text").to_pylist(), langs, logp)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"]
+                [batch.column(c) for c in keep] + [pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names]
             )
 
     rows = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return rows.mapInArrow(scorer, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(scorer, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out():

@@ -82,3 +82,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_chat_formatting, op7_url_filters, op8_secret_scans, op9_suffix_array_dedup, op10_source_mixing)}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
