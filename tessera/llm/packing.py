@@ -22,41 +22,89 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save, text_bytes
+from .hashing import by_bytes
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a worker remembers.
-KNOWN_WORDS = 500_000
-#: Text bytes split into words at a time.
-STEP = 2 << 20
+#: Words, and pre-tokens, whose ids a worker remembers.
+KNOWN_WORDS, KNOWN_PARTS = 400_000, 500_000
+
+# The pre-tokens of word_bpe_49k.json or a space, and characters for which all Unicode versions class letters and numbers alike.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| ")
+_LATIN = regex.compile("[ -~\u00a1-\u012f]+")
+
+_GAP_ID = 0xFFFFFFFF
+_GAP = _GAP_ID.to_bytes(4, "little")
 
 _tokenizers: dict = {}
 
 
 class _Encoder:
-    """Token ids of white-space separated words, as bytes. The pre-tokenizer drops white space and never joins
-    over it, so the ids of a text are those of its words in order."""
+    """Token ids of white-space separated words, as bytes. The pre-tokenizer drops white space and never joins over it, so
+    the ids of a text are those of its words in order; likewise those of a word are those of its pre-tokens, of which there are fewer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
-        if len(self.known) + len(new) <= KNOWN_WORDS:
-            self.known.update(new)
-        return new
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 256):
+            some = parts[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cuts) == len(some) + 1:
+                data = ids.tobytes()
+                self.parts.update(zip(some, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:
+                self.parts.update(zip(some, self._plain(some)))
+
+    def _by_parts(self, text: str) -> list[bytes]:
+        """Ids of the words of a text in which they are parted by single spaces."""
+        found = _PARTS.findall(text.lower())
+        if len(self.parts) > KNOWN_PARTS:
+            self.parts.clear()
+        self.parts[" "] = _GAP
+        self._learn_parts([p for p in set(found) if p not in self.parts])
+        data = b"".join(map(self.parts.__getitem__, found))
+        gaps = np.flatnonzero(np.frombuffer(data, "<u4") == _GAP_ID) * 4
+        cuts = zip([0, *(gaps + 4).tolist()], [*gaps.tolist(), len(data)])
+        return [data[a:b] for a, b in cuts]
+
+    def _ids_of(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't remembered. Words of Latin characters go by pre-token, others whole."""
+        if not words:
+            return {}
+        text = b" ".join(words).decode("utf-8", "replace")
+        if _LATIN.fullmatch(text) and "<|" not in text:
+            return dict(zip(words, self._by_parts(text)))
+        texts = [w.decode("utf-8", "replace") for w in words]
+        latin = [bool(_LATIN.fullmatch(t)) and "<|" not in t for t in texts]
+        out = self._ids_of([w for w, x in zip(words, latin) if x])
+        rest = [w for w, x in zip(words, latin) if not x]
+        out.update(zip(rest, self._plain([t for t, x in zip(texts, latin) if not x])))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        known = self.known
-        new = self.learn(list({w for words in split for w in words if w not in known}))
+        known = self.words
+        new = self._ids_of(list({w for words in split for w in words if w not in known}))
+        if len(known) + len(new) <= KNOWN_WORDS:
+            known.update(new)
+            new = {}
         if not new:
             return [b"".join(map(known.__getitem__, words)) for words in split]
         return [b"".join([known.get(w) or new.get(w, b"") for w in words]) for words in split]
@@ -68,17 +116,6 @@ def _encoder(path: str) -> _Encoder:
     return _tokenizers[path]
 
 
-def _steps(texts: list[bytes]):
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= STEP:
-            yield first, k + 1
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """docs (doc_id, text) -> one row a piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit)."""
     id_type = dict(docs.select("doc_id").dtypes)["doc_id"]
@@ -86,27 +123,25 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
 
     def cutter(batches):
         encoder = _encoder(tokenizer)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in _steps(texts):
-                row, piece, data = [], [], []
-                for k, ids in enumerate(encoder.encode(texts[lo:hi]), lo):
-                    ids += end
-                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        row.append(k)
-                        piece.append(n)
-                        data.append(ids[at : at + 4 * capacity])
-                piece = np.array(piece, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(row)),
-                        pa.array(piece),
-                        pa.array(piece.astype(np.int64) * capacity),
-                        pa.array([len(x) // 4 for x in data], pa.int64()),
-                        pa.array(data, pa.binary()),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids"],
-                )
+        for batch in by_bytes(batches):
+            row, piece, data = [], [], []
+            for k, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
+                ids += end
+                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    row.append(k)
+                    piece.append(n)
+                    data.append(ids[at : at + 4 * capacity])
+            piece = np.array(piece, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(row)),
+                    pa.array(piece),
+                    pa.array(piece.astype(np.int64) * capacity),
+                    pa.array([len(x) // 4 for x in data], pa.int64()),
+                    pa.array(data, pa.binary()),
+                ],
+                ["doc_id", "piece", "start", "length", "ids"],
+            )
 
     rows = docs.select("doc_id", text_bytes().alias("text"))
     return rows.mapInArrow(cutter, f"doc_id {id_type}, piece int, start long, length long, ids binary")
