@@ -24,11 +24,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save, text_bytes
 from .components import components
+from .hashing import by_bytes, mixed, word_hashes
 
 K = 5
 #: The threshold as a fraction: intersection * DEN >= NUM * union.
@@ -37,47 +38,32 @@ NUM, DEN = 3, 4
 SKETCH, BLOCK = 1 << 18, 1 << 13
 #: Posting lists are compared with the leaders under so many orders of their groups.
 LEADERS = 2
+#: A shingle is hot if its counter holds so many times the mean.
+HOT = 16
 
-_MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _MIX[0]
-    h = (h ^ (h >> np.uint64(27))) * _MIX[1]
-    return h ^ (h >> np.uint64(31))
+def shingles(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text, the sorted distinct 64-bit hashes of its shingles."""
+    out = []
+    for h in word_hashes(texts):
+        k = min(K, len(h))
+        total = np.full(len(h) - k + 1 if k else 0, k, np.uint64)
+        for j in range(k):
+            total = mixed(total * _SALT + h[j : len(h) - k + 1 + j])
+        out.append(np.unique(total))
+    return out
 
 
-class _Words(dict):
-    """Hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def shingles(text: bytes) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    words = text.lower().split()  # bytes.lower() changes A-Z only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = min(K, len(words))
-    total = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        total = _mixed(total * _MIX[2] + h[j : len(h) - k + 1 + j])
-    return np.unique(total)
+def _counters(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(SKETCH)).astype(np.int64)
 
 
 def _sketcher(batches):
     counts = np.zeros(SKETCH, np.int64)
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            np.add.at(counts, (shingles(text) % np.uint64(SKETCH)).astype(np.int64), 1)
+    for batch in by_bytes(batches):
+        counts += np.bincount(_counters(np.concatenate(shingles(batch.column("text").to_pylist()))), minlength=SKETCH)
     for block in np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1)):
         part = counts[block * BLOCK : (block + 1) * BLOCK]
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], ["block", "counts"])
@@ -107,30 +93,30 @@ def _signature(h: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n, sig (of the set), gsig (of size and prefix), prefix (hashes, rarest first)."""
+    """docs (doc_id, text) -> doc_id, n, sig (of the set), gsig (of size and prefix), prefix (hashes, rarest first), hot
+    (the place in prefix from which shingles are in so many texts that their postings must be spread)."""
     id_type = dict(docs.select("doc_id").dtypes)["doc_id"]
     texts = docs.select("doc_id", text_bytes().alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(texts))
+    counts = sketch(texts)
+    shared = docs.sparkSession.sparkContext.broadcast((counts, max(HOT * counts.mean(), 1000)))
 
     def maker(batches):
-        counts = shared.value
-        for batch in batches:
-            ns, sigs, gsigs, fixed = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                h = shingles(text)
+        counts, limit = shared.value
+        for batch in by_bytes(batches):
+            ns, sigs, gsigs, hots, fixed = [], [], [], [], []
+            for h in shingles(batch.column("text").to_pylist()):
                 n = len(h)
-                order = np.lexsort((h, counts[(h % np.uint64(SKETCH)).astype(np.int64)]))
-                first = h[order[: n - -(-NUM * n // DEN) + 1]] if n else h
+                common = counts[_counters(h)]
+                order = np.argsort(common, kind="stable")[: n - -(-NUM * n // DEN) + 1]
                 ns.append(n)
                 sigs.append(_signature(h))
-                gsigs.append(_signature(np.append(first, np.uint64(n))))
-                fixed.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(gsigs, pa.binary()), pa.array(fixed, pa.list_(pa.int64()))],
-                ["doc_id", "n", "sig", "gsig", "prefix"],
-            )
+                gsigs.append(_signature(np.append(h[order], np.uint64(n))))
+                hots.append(int(np.searchsorted(common[order], limit)))
+                fixed.append(h[order].view(np.int64))
+            columns = [pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(gsigs, pa.binary()), pa.array(fixed, pa.list_(pa.int64())), pa.array(hots, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "sig", "gsig", "prefix", "hot"])
 
-    return texts.mapInArrow(maker, f"doc_id {id_type}, n long, sig binary, gsig binary, prefix array<long>")
+    return texts.mapInArrow(maker, f"doc_id {id_type}, n long, sig binary, gsig binary, prefix array<long>, hot int")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -138,8 +124,8 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     id_type = dict(docs.select("doc_id").dtypes)["doc_id"]
 
     def maker(batches):
-        for batch in batches:
-            sets = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
+        for batch in by_bytes(batches):
+            sets = [h.view(np.int64) for h in shingles(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
 
     return docs.select("doc_id", text_bytes().alias("text")).join(ids, "doc_id", "left_semi").mapInArrow(maker, f"doc_id {id_type}, set array<long>")
@@ -173,8 +159,8 @@ def join(docs: DataFrame) -> DataFrame:
     members = save(classes.join(groups, "gsig").select("gid", "id", "n"), "members")
 
     leads = groups.select(F.col("gid").alias("doc_id"), "gsig")
-    postings = usable.select("doc_id", "gsig", "n", "prefix").join(leads, ["doc_id", "gsig"], "left_semi").dropDuplicates(["doc_id", "gsig"])
-    postings = postings.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = usable.select("doc_id", "gsig", "n", "prefix", "hot").join(leads, ["doc_id", "gsig"], "left_semi").dropDuplicates(["doc_id", "gsig"])
+    postings = postings.select(F.col("doc_id").alias("gid"), F.col("n").cast("int").alias("n"), "hot", F.posexplode("prefix").alias("pos", "token"))
     postings = _shared(postings)
     linked = verified(docs, _stars(postings, members))
     label = components(linked)
@@ -189,11 +175,20 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings of shingles that more than one group has, with a leader under each order."""
-    leader = lambda k: F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "n")).alias(f"lead{k}")
-    lists = postings.groupBy("token").agg(F.count("*").alias("c"), *map(leader, range(LEADERS))).where("c > 1")
-    leads = F.array(*[F.struct(F.col(f"lead{k}.gid").alias("gid"), F.col(f"lead{k}.n").alias("n")) for k in range(LEADERS)])
-    return save(postings.join(lists.select("token", leads.alias("leads")), "token").select("token", "gid", "n", "pos", "leads"), "postings")
+    """The postings of shingles that more than one group has, with a leader under each order.
+
+    Lists of ordinary shingles are read in order after one shuffle. Those of hot ones are combined before it and joined back, so that AQE can split them.
+    """
+    columns = ["token", "gid", "n", "pos"]
+    leader = lambda k: F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "n"))
+    pick = lambda leads: F.array(*[F.struct(x["gid"].alias("gid"), x["n"].alias("n")) for x in leads]).alias("leads")
+    lists = Window.partitionBy("token")
+    plain = postings.where("pos < hot").select(*columns, F.count("*").over(lists).alias("c"), *[leader(k).over(lists).alias(f"l{k}") for k in range(LEADERS)])
+    plain = plain.where("c > 1").select(*columns, pick([F.col(f"l{k}") for k in range(LEADERS)]))
+    hot = postings.where("pos >= hot").select(*columns)
+    heads = hot.groupBy("token").agg(F.count("*").alias("c"), *[leader(k).alias(f"l{k}") for k in range(LEADERS)]).where("c > 1")
+    hot = hot.join(heads.select("token", pick([F.col(f"l{k}") for k in range(LEADERS)])), "token").select(*columns, "leads")
+    return save(plain.unionByName(hot), "postings")
 
 
 def _stars(postings: DataFrame, members: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ array cut off after a phrase:
 - phrases with the same core but other contents (the ends of longer matches) are resolved
   string by string, which needs the text of their documents only.
 Sorting single suffixes of the whole corpus, one row a byte, isn't done: cores of 337 bytes and more
-leave few strings to look at. Equal phrases of a batch are combined before the shuffle. Strings are compared by
+leave few strings to look at. Equal phrases of some documents are combined before the shuffle. Strings are compared by
 hashes of 64 bits for core and 64 for content or string, both needed.
 
 Defined cases: null texts are empty; texts under 400 bytes lose nothing; an emptied text has the
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save, text_bytes
+from .hashing import Hashes, by_bytes, mixed
 
 LENGTH = 400
 GRAM = 32
@@ -39,43 +40,8 @@ STEP = 64
 #: Starts that are looked at in one numpy step.
 CHUNK = 1 << 19
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = np.uint64((1 << 20) - 1)
-_MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-_tables: list = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random number for each byte value, and the powers of the base and of its inverse, modulo 2^64."""
-    if not _tables or len(_tables[1]) < n:
-        size = max(n, 1 << 17)
-        rng = np.random.default_rng(11)
-        inverse = pow(_BASE, -1, 1 << 64)
-        steps = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)]))
-        _tables[:] = [rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1), steps(_BASE), steps(inverse)]
-    return tuple(_tables)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX[0]
-    h = (h ^ (h >> np.uint64(29))) * _MIX[1]
-    return h ^ (h >> np.uint64(32))
-
-
-class _Hashes:
-    """Hashes of any substrings of a text."""
-
-    def __init__(self, data: np.ndarray):
-        values, powers, self.inverse = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * powers[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
-
-    def grams(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return _mixed((self.sums[size:] - self.sums[:n]) * self.inverse[:n])
+_SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -91,7 +57,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 def phrases(data: np.ndarray) -> tuple[np.ndarray, ...]:
     """core, content, first and last start of every phrase of a text of 400 bytes or more."""
-    hashes = _Hashes(data)
+    hashes = Hashes(data)
     grams = hashes.grams(GRAM)
     place = np.arange(len(grams), dtype=np.uint64)
     trigger = (_least((grams & ~_PLACE) | place, GRAMS) & _PLACE).astype(np.int64)
@@ -101,9 +67,9 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, ...]:
     hi = np.concatenate([new - 1, [len(trigger) - 1]])
     at, q = trigger[lo], step[lo]
     core = hashes.of(at - q * STEP, at - (q + 1) * STEP + 1 + LENGTH)
-    core = _mixed(core + q.astype(np.uint64) * _MIX[2])
+    core = mixed(core + q.astype(np.uint64) * _SALT)
     shape = ((at - lo) * LENGTH + (at - hi)).astype(np.uint64)
-    content = _mixed(hashes.of(lo, hi + LENGTH) + shape * _MIX[2])
+    content = mixed(hashes.of(lo, hi + LENGTH) + shape * _SALT)
     return core, content, lo, hi
 
 
@@ -115,7 +81,7 @@ def _phrases_of(text: bytes):
 
 
 def _parser(batches):
-    for batch in batches:
+    for batch in by_bytes(batches):
         rids = batch.column("rid").to_numpy()
         parts, owner = [], []
         for k, text in enumerate(batch.column("text").to_pylist()):
@@ -141,7 +107,7 @@ def _parser(batches):
 
 def _strings(batches):
     """rid, text, cells -> one row for each string of the phrases named in cells."""
-    for batch in batches:
+    for batch in by_bytes(batches):
         out = []
         for rid, text, cells in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("cells").to_pylist()):
             data = np.frombuffer(text, np.uint8)
@@ -149,10 +115,10 @@ def _strings(batches):
             for base in range(0, len(data), CHUNK):
                 own = [c for c in cells if base <= c["lo"] < base + CHUNK]
                 if own:
-                    hashes = _Hashes(data[base : base + CHUNK + 2 * LENGTH])
+                    hashes = Hashes(data[base : base + CHUNK + 2 * LENGTH])
                     n = np.array([c["hi"] - c["lo"] + 1 for c in own])
                     at = np.repeat([c["lo"] for c in own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    string = _mixed(hashes.of(at - base, at - base + LENGTH))
+                    string = mixed(hashes.of(at - base, at - base + LENGTH))
                     out.append((np.repeat([c["core"] for c in own], n), string.view(np.int64), np.full(len(at), rid), at, np.repeat([c["witness"] for c in own], n)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["core", "string", "rid", "at", "witness"])
@@ -170,7 +136,7 @@ def spans(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cutter(batches):
-    for batch in batches:
+    for batch in by_bytes(batches):
         texts, found = [], []
         for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
             runs = spans([(s["lo"], s["hi"]) for s in starts])
