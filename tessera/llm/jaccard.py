@@ -35,7 +35,7 @@ K = 5
 #: The threshold as a fraction: intersection * DEN >= NUM * union.
 NUM, DEN = 3, 4
 #: Counters of the sketch of shingle frequencies, and how many go into one row of it.
-SKETCH, BLOCK = 1 << 18, 1 << 13
+SKETCH, BLOCK = 1 << 20, 1 << 14
 #: Posting lists are compared with the leaders under so many orders of their groups.
 LEADERS = 2
 #: A shingle is hot if its counter holds so many times the mean.
@@ -180,8 +180,8 @@ def _shared(postings: DataFrame) -> DataFrame:
     Lists of ordinary shingles are read in order after one shuffle. Those of hot ones are combined before it and joined back, so that AQE can split them.
     """
     columns = ["token", "gid", "n", "pos"]
-    leader = lambda k: F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "n"))
-    pick = lambda leads: F.array(*[F.struct(x["gid"].alias("gid"), x["n"].alias("n")) for x in leads]).alias("leads")
+    leader = lambda k: F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "n", "pos"))
+    pick = lambda leads: F.array(*[F.struct(*(x[c].alias(c) for c in ("gid", "n", "pos"))) for x in leads]).alias("leads")
     lists = Window.partitionBy("token")
     plain = postings.where("pos < hot").select(*columns, F.count("*").over(lists).alias("c"), *[leader(k).over(lists).alias(f"l{k}") for k in range(LEADERS)])
     plain = plain.where("c > 1").select(*columns, pick([F.col(f"l{k}") for k in range(LEADERS)]))
@@ -191,11 +191,23 @@ def _shared(postings: DataFrame) -> DataFrame:
     return save(plain.unionByName(hot), "postings")
 
 
+def _hopeful(met: DataFrame) -> DataFrame:
+    """met: a row for each shingle (place i, j) that the prefixes of g (size n) and h (size m) share -> pairs that may link.
+
+    Sets that link share `least` shingles, so one at a place from which least are left in both; such shingles only are
+    counted. All other shared ones come after the last of these in both sets, which bounds the intersection.
+    """
+    least = F.ceil((F.col("n") + F.col("m")) * NUM / (NUM + DEN))
+    met = met.where(_sizes_fit(F.least("n", "m"), F.greatest("n", "m")) & (F.col("n") - F.col("i") >= least) & (F.col("m") - F.col("j") >= least))
+    met = met.groupBy("g", "h", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    return met.where(F.col("c") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1) >= least).select("g", "h")
+
+
 def _stars(postings: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct pairs of a posting's group, or a group's member, with its leader."""
-    fits = lambda n, m: _sizes_fit(F.least(n, m), F.greatest(n, m))
-    across = postings.select("gid", "n", F.explode("leads").alias("l")).where((F.col("gid") != F.col("l.gid")) & fits(F.col("n"), F.col("l.n")))
-    across = across.select(F.least("gid", "l.gid").alias("a"), F.greatest("gid", "l.gid").alias("b"))
+    across = postings.select(F.col("gid").alias("g"), "n", F.col("pos").alias("i"), F.explode("leads").alias("l")).where("g <> l.gid").dropDuplicates()
+    across = _hopeful(across.select("g", "n", "i", F.col("l.gid").alias("h"), F.col("l.n").alias("m"), F.col("l.pos").alias("j")))
+    across = across.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
     within = members.where("gid <> id").select(F.col("gid").alias("a"), F.col("id").alias("b"))
     return save(across.unionByName(within).distinct(), "stars")
 
@@ -206,16 +218,14 @@ def _rest(postings: DataFrame, members: DataFrame) -> DataFrame:
     marked = postings.select("token", "gid", "n", "pos").join(groups, "gid")
     mixed = marked.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
     marked = save(marked.join(mixed, "token", "left_semi"), "mixed")
-    x, y = marked.alias("x"), marked.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    # the least intersection that links; what two sets can share from these positions on
-    least = F.ceil((n + m) * NUM / (NUM + DEN))
-    room = 1 + F.least(n - F.col("x.pos") - 1, m - F.col("y.pos") - 1)
-    seen = F.least(F.col("x.pos"), F.col("y.pos"))
-    apart = ~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo")))
-    ordered = (n < m) | ((n == m) & (F.col("x.gid") < F.col("y.gid")))
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(ordered & _sizes_fit(n, m) & (room + seen >= least) & apart)
-    pairs = pairs.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
+    x = marked.select("token", F.col("gid").alias("g"), "n", F.col("pos").alias("i"), "lo", "hi")
+    y = marked.select("token", F.col("gid").alias("h"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    least = F.ceil((F.col("n") + F.col("m")) * NUM / (NUM + DEN))
+    apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
+    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("g") < F.col("h")))
+    early = (F.col("n") - F.col("i") >= least) & (F.col("m") - F.col("j") >= least)
+    met = x.join(y, (x["token"] == y["token"]) & ordered & _sizes_fit(F.col("n"), F.col("m")) & early & apart)
+    pairs = _hopeful(met.select("g", "h", "n", "m", "i", "j"))
     same = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     left = members.select(F.col("gid").alias("g"), F.col("id").alias("a"), F.col("comp").alias("ca"))
     right = members.select(F.col("gid").alias("h"), F.col("id").alias("b"), F.col("comp").alias("cb"))
