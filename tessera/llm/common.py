@@ -42,3 +42,12 @@ def shuffle_width(spark: SparkSession) -> int:
 def text_bytes(name: str = "text"):
     """The text as UTF-8 bytes; null counts as empty. bytes.split() of it gives exactly the words of WORD."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
+
+
+#: Rows up to which a frame of ids and counts is small enough to broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A saved frame of narrow rows, to be broadcast if its counted size allows that; else joined by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_bytes
+from .common import save, small_side, text_bytes
 from .components import components
 from .hashing import by_bytes, mixed, word_hashes
 
@@ -37,7 +37,11 @@ NUM, DEN = 3, 4
 #: Counters of the sketch of shingle frequencies, and how many go into one row of it.
 SKETCH, BLOCK = 1 << 20, 1 << 14
 #: Posting lists are compared with the leaders under so many orders of their groups.
-LEADERS = 2
+LEADERS = 4
+#: Pairs with leaders that are verified for a group: those that share the most posting lists.
+TRIED = 3
+#: Bits of the parity map of a set.
+MAP = 1024
 #: A shingle is hot if its counter holds so many times the mean.
 HOT = 16
 
@@ -92,8 +96,14 @@ def _signature(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
+def _parity(h: np.ndarray) -> np.ndarray:
+    """Bit k tells whether an odd number of shingles fall to k. Two maps differ in at most as many bits as the sets do in shingles."""
+    bits = np.bincount((h >> np.uint64(40)).astype(np.int64) % MAP, minlength=MAP) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n, sig (of the set), gsig (of size and prefix), prefix (hashes, rarest first), hot
+    """docs (doc_id, text) -> doc_id, n, sig (of the set), gsig (of size and prefix), map, prefix (hashes, rarest first), hot
     (the place in prefix from which shingles are in so many texts that their postings must be spread)."""
     id_type = dict(docs.select("doc_id").dtypes)["doc_id"]
     texts = docs.select("doc_id", text_bytes().alias("text"))
@@ -103,7 +113,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
     def maker(batches):
         counts, limit = shared.value
         for batch in by_bytes(batches):
-            ns, sigs, gsigs, hots, fixed = [], [], [], [], []
+            ns, sigs, gsigs, maps, hots, fixed = [], [], [], [], [], []
             for h in shingles(batch.column("text").to_pylist()):
                 n = len(h)
                 common = counts[_counters(h)]
@@ -111,12 +121,14 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 ns.append(n)
                 sigs.append(_signature(h))
                 gsigs.append(_signature(np.append(h[order], np.uint64(n))))
+                maps.append(_parity(h))
                 hots.append(int(np.searchsorted(common[order], limit)))
                 fixed.append(h[order].view(np.int64))
-            columns = [pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(gsigs, pa.binary()), pa.array(fixed, pa.list_(pa.int64())), pa.array(hots, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "sig", "gsig", "prefix", "hot"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (maps, fixed)]
+            columns = [pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(gsigs, pa.binary()), *lists, pa.array(hots, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "sig", "gsig", "map", "prefix", "hot"])
 
-    return texts.mapInArrow(maker, f"doc_id {id_type}, n long, sig binary, gsig binary, prefix array<long>, hot int")
+    return texts.mapInArrow(maker, f"doc_id {id_type}, n long, sig binary, gsig binary, map array<long>, prefix array<long>, hot int")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -135,14 +147,19 @@ def _linked(n: Column, m: Column, both: Column) -> Column:
     return both * DEN >= (n + m - both) * NUM
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose sets link."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = save(sets_of(docs, ids), "sets")
+def verified(docs: DataFrame, maps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose sets link. maps: id, n, map. Only pairs whose maps don't rule it out have their sets read."""
+    pairs = pairs.join(maps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma")), "a")
+    pairs = pairs.join(maps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("map").alias("mb")), "b")
+    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # sets of n and m that link differ in at most (n + m) * (DEN - NUM) / (NUM + DEN) shingles
+    pairs = save(pairs.where(differ * (NUM + DEN) <= (F.col("na") + F.col("nb")) * (DEN - NUM)).select("a", "b"), "pairs")
+    ids = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    sets = save(sets_of(docs, small_side(ids)), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
     linked = _linked(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")))
-    return save(both.where(linked).select("a", "b"), "links")
+    return save(both.where(linked).select("a", "b").distinct(), "links")
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
@@ -154,19 +171,22 @@ def join(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id of every row."""
     rows = save(prefixes(docs), "prefixes")
     usable = rows.where("n > 0 and doc_id is not null")
-    classes = save(usable.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("gsig").alias("gsig")), "classes")
-    groups = classes.groupBy("gsig").agg(F.min("id").alias("gid"))
+    least = F.min(F.struct("doc_id", "n", "gsig"))
+    classes = save(usable.groupBy("sig").agg(least.alias("r")).select("sig", F.col("r.doc_id").alias("id"), "r.n", "r.gsig"), "classes")
+    groups = save(classes.groupBy("gsig").agg(F.min("id").alias("gid")), "groups")
     members = save(classes.join(groups, "gsig").select("gid", "id", "n"), "members")
+    maps = rows.join(small_side(classes.select(F.col("id").alias("doc_id"), "sig")), ["doc_id", "sig"], "left_semi")
+    maps = save(maps.select(F.col("doc_id").alias("id"), "n", "map"), "maps")
 
     leads = groups.select(F.col("gid").alias("doc_id"), "gsig")
-    postings = usable.select("doc_id", "gsig", "n", "prefix", "hot").join(leads, ["doc_id", "gsig"], "left_semi").dropDuplicates(["doc_id", "gsig"])
+    postings = usable.select("doc_id", "gsig", "n", "prefix", "hot").join(small_side(leads), ["doc_id", "gsig"], "left_semi")
     postings = postings.select(F.col("doc_id").alias("gid"), F.col("n").cast("int").alias("n"), "hot", F.posexplode("prefix").alias("pos", "token"))
     postings = _shared(postings)
-    linked = verified(docs, _stars(postings, members))
+    linked = verified(docs, maps, _stars(postings, members))
     label = components(linked)
 
     members = save(members.join(label.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "members")
-    more = verified(docs, _rest(postings, members))
+    more = verified(docs, maps, _rest(postings, members))
     label = components(linked.unionByName(more))
     named = classes.join(label, "id", "left").select("sig", F.coalesce("component", "id").alias("__component"))
     out = rows.select("doc_id", "n", "sig").join(named, "sig", "left")
@@ -175,20 +195,24 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings of shingles that more than one group has, with a leader under each order.
+    """The postings of shingles that more than one group has.
 
-    Lists of ordinary shingles are read in order after one shuffle. Those of hot ones are combined before it and joined back, so that AQE can split them.
+    Lists of ordinary shingles are counted after one shuffle. Those of hot ones are counted before it and joined back, so that AQE can split them.
     """
     columns = ["token", "gid", "n", "pos"]
-    leader = lambda k: F.min(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "n", "pos"))
-    pick = lambda leads: F.array(*[F.struct(*(x[c].alias(c) for c in ("gid", "n", "pos"))) for x in leads]).alias("leads")
-    lists = Window.partitionBy("token")
-    plain = postings.where("pos < hot").select(*columns, F.count("*").over(lists).alias("c"), *[leader(k).over(lists).alias(f"l{k}") for k in range(LEADERS)])
-    plain = plain.where("c > 1").select(*columns, pick([F.col(f"l{k}") for k in range(LEADERS)]))
+    plain = postings.where("pos < hot").select(*columns, F.count("*").over(Window.partitionBy("token")).alias("c")).where("c > 1")
     hot = postings.where("pos >= hot").select(*columns)
-    heads = hot.groupBy("token").agg(F.count("*").alias("c"), *[leader(k).alias(f"l{k}") for k in range(LEADERS)]).where("c > 1")
-    hot = hot.join(heads.select("token", pick([F.col(f"l{k}") for k in range(LEADERS)])), "token").select(*columns, "leads")
-    return save(plain.unionByName(hot), "postings")
+    hot = hot.join(hot.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "token")
+    return save(plain.select(*columns).unionByName(hot.select(*columns)), "postings")
+
+
+def _leaders(postings: DataFrame) -> DataFrame:
+    """token and its leaders: the group that shares most of its prefix (edits make shingles that no other has), and the first under some hash orders."""
+    share = postings.groupBy("gid", "n").agg((F.count("*") / F.col("n")).alias("share"))
+    order = [-F.col("share"), *(F.xxhash64("gid", F.lit(k)) for k in range(1, LEADERS))]
+    marked = postings.select("token", "gid", "n").join(share, ["gid", "n"])
+    heads = marked.groupBy("token").agg(*[F.min(F.struct(x.alias("o"), "gid", "n")).alias(f"l{k}") for k, x in enumerate(order)])
+    return heads.select("token", F.array_distinct(F.array(*[F.struct(F.col(f"l{k}.gid").alias("gid"), F.col(f"l{k}.n").alias("n")) for k in range(LEADERS)])).alias("leads"))
 
 
 def _hopeful(met: DataFrame) -> DataFrame:
@@ -205,8 +229,10 @@ def _hopeful(met: DataFrame) -> DataFrame:
 
 def _stars(postings: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct pairs of a posting's group, or a group's member, with its leader."""
-    across = postings.select(F.col("gid").alias("g"), "n", F.col("pos").alias("i"), F.explode("leads").alias("l")).where("g <> l.gid").dropDuplicates()
-    across = _hopeful(across.select("g", "n", "i", F.col("l.gid").alias("h"), F.col("l.n").alias("m"), F.col("l.pos").alias("j")))
+    across = postings.join(_leaders(postings), "token").select(F.col("gid").alias("g"), "n", F.explode("leads").alias("l")).where("g <> l.gid")
+    across = across.where(_sizes_fit(F.least("n", "l.n"), F.greatest("n", "l.n"))).groupBy("g", F.col("l.gid").alias("h")).agg(F.count("*").alias("c"))
+    best = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("c"), "h"))
+    across = across.withColumn("k", best).where(F.col("k") <= TRIED)
     across = across.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
     within = members.where("gid <> id").select(F.col("gid").alias("a"), F.col("id").alias("b"))
     return save(across.unionByName(within).distinct(), "stars")
