@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow.compute as pc
 
 #: Bytes of text that a Python worker looks at in one step.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
