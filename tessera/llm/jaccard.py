@@ -39,9 +39,9 @@ SKETCH, BLOCK = 1 << 20, 1 << 14
 #: Posting lists are compared with the leaders under so many orders of their groups.
 LEADERS = 4
 #: Pairs with leaders that are verified for a group: those that share the most posting lists.
-TRIED = 3
-#: Bits of the parity map of a set.
-MAP = 1024
+TRIED = 2
+#: Least and most bits of the parity map of a set; between them it has as many as the set has shingles, to the next power of two.
+LEAST_MAP, MOST_MAP = 1024, 1 << 16
 #: A shingle is hot if its counter holds so many times the mean.
 HOT = 16
 
@@ -96,10 +96,35 @@ def _signature(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def _parity(h: np.ndarray) -> np.ndarray:
+def _parity(h: np.ndarray) -> bytes:
     """Bit k tells whether an odd number of shingles fall to k. Two maps differ in at most as many bits as the sets do in shingles."""
-    bits = np.bincount((h >> np.uint64(40)).astype(np.int64) % MAP, minlength=MAP) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    size = LEAST_MAP
+    while size < min(len(h), MOST_MAP):
+        size *= 2
+    bits = np.bincount((h >> np.uint64(40)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _halved(a: bytes, size: int) -> np.ndarray:
+    """The map of the given size in bytes, from a larger one."""
+    x = np.frombuffer(a, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the shingles that are in one of two sets only, from their maps."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_halved(a, size) ^ _halved(b, size)).sum())
+
+
+def _possible(batches):
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("na", "nb", "ma", "mb")]
+        # sets of n and m that link differ in at most (n + m) * (DEN - NUM) / (NUM + DEN) shingles
+        keep = [_apart(x, y) * (NUM + DEN) <= (n + m) * (DEN - NUM) for n, m, x, y in zip(*columns)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
@@ -124,11 +149,10 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 maps.append(_parity(h))
                 hots.append(int(np.searchsorted(common[order], limit)))
                 fixed.append(h[order].view(np.int64))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (maps, fixed)]
-            columns = [pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(gsigs, pa.binary()), *lists, pa.array(hots, pa.int32())]
+            columns = [pa.array(ns, pa.int64()), *(pa.array(x, pa.binary()) for x in (sigs, gsigs, maps)), pa.array(fixed, pa.list_(pa.int64())), pa.array(hots, pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "sig", "gsig", "map", "prefix", "hot"])
 
-    return texts.mapInArrow(maker, f"doc_id {id_type}, n long, sig binary, gsig binary, map array<long>, prefix array<long>, hot int")
+    return texts.mapInArrow(maker, f"doc_id {id_type}, n long, sig binary, gsig binary, map binary, prefix array<long>, hot int")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -151,9 +175,8 @@ def verified(docs: DataFrame, maps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose sets link. maps: id, n, map. Only pairs whose maps don't rule it out have their sets read."""
     pairs = pairs.join(maps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma")), "a")
     pairs = pairs.join(maps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("map").alias("mb")), "b")
-    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    # sets of n and m that link differ in at most (n + m) * (DEN - NUM) / (NUM + DEN) shingles
-    pairs = save(pairs.where(differ * (NUM + DEN) <= (F.col("na") + F.col("nb")) * (DEN - NUM)).select("a", "b"), "pairs")
+    kind = dict(pairs.dtypes)["a"]
+    pairs = save(pairs.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_possible, f"a {kind}, b {kind}"), "pairs")
     ids = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     sets = save(sets_of(docs, small_side(ids)), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
@@ -208,9 +231,9 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 def _leaders(postings: DataFrame) -> DataFrame:
     """token and its leaders: the group that shares most of its prefix (edits make shingles that no other has), and the first under some hash orders."""
-    share = postings.groupBy("gid", "n").agg((F.count("*") / F.col("n")).alias("share"))
+    share = save(postings.groupBy("gid", "n").agg((F.count("*") / F.col("n")).alias("share")), "share")
     order = [-F.col("share"), *(F.xxhash64("gid", F.lit(k)) for k in range(1, LEADERS))]
-    marked = postings.select("token", "gid", "n").join(share, ["gid", "n"])
+    marked = postings.select("token", "gid", "n").join(small_side(share), ["gid", "n"])
     heads = marked.groupBy("token").agg(*[F.min(F.struct(x.alias("o"), "gid", "n")).alias(f"l{k}") for k, x in enumerate(order)])
     return heads.select("token", F.array_distinct(F.array(*[F.struct(F.col(f"l{k}.gid").alias("gid"), F.col(f"l{k}.n").alias("n")) for k in range(LEADERS)])).alias("leads"))
 
@@ -240,8 +263,8 @@ def _stars(postings: DataFrame, members: DataFrame) -> DataFrame:
 
 def _rest(postings: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of classes in different components that share a group, or are in groups that pass the filters."""
-    groups = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    marked = postings.select("token", "gid", "n", "pos").join(groups, "gid")
+    groups = save(members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "comps")
+    marked = postings.select("token", "gid", "n", "pos").join(small_side(groups), "gid")
     mixed = marked.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
     marked = save(marked.join(mixed, "token", "left_semi"), "mixed")
     x = marked.select("token", F.col("gid").alias("g"), "n", F.col("pos").alias("i"), "lo", "hi")

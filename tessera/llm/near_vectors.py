@@ -31,7 +31,7 @@ from .components import components
 
 THRESHOLD = 0.95
 BITS = 64
-MAX_FIT_VALUES = 1 << 21
+MAX_FIT_VALUES = 1 << 20
 ROUNDS = 30
 MISS = 0.005
 MAX_ROTATIONS = 24
@@ -41,8 +41,8 @@ def fit(sample: np.ndarray, bits: int, rotations: int, seed: int = 3) -> tuple[n
     """Mean, and one projection to `bits` signs for each rotation."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
-    _, _, axes = np.linalg.svd(unit - mean, full_matrices=True)
-    axes = axes[:bits].T
+    _, axes = np.linalg.eigh((unit - mean).T @ (unit - mean))
+    axes = axes[:, ::-1][:, :bits]
     v = (unit - mean) @ axes
     rng = np.random.default_rng(seed)
     out = []
