@@ -1,6 +1,315 @@
-"""Query name -> Spark job, and query name -> the SQL that gives the same rows."""
+"""Query name -> Spark job, and query name -> the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import changes, compare, control, normalize, partition, patterns
+from ..sources import triples as T
+from ..sources.store import save, table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- triples -------------------------------------------------------------------------------------------------------
+LINES = f"{T.BRIDGED}, lines as (select *, concat_ws(' ', s, p, o, '.') as line from bridge)"
+KEPT = f"{LINES}, kept as (select distinct s, p, o, line from lines where s <> '{normalize.DUMP}' and not (s like '%/wiki/Special:EntityData/%' and p = '<http://schema.org/softwareVersion>'))"
+# Ownership in SQL: nodes reachable from each root, with UNION as the set of seen nodes.
+GRAPHS = f"""
+{KEPT.replace("with ", "with recursive ", 1)},
+roots as (select distinct regexp_extract(s, '(?:/entity|/wiki/Special:EntityData)/([QP][1-9][0-9]*)>$', 1) as owner, s as node from kept),
+owned as (
+  select owner, node from roots where owner in (select regexp_extract(s, '/entity/([QP][1-9][0-9]*)>$', 1) from kept) and owner <> ''
+  union select owner, o from owned join kept on s = node where o not like '"%' and regexp_matches(o, '/(entity/statement|value|reference)/')
+),
+chain as (
+  select regexp_extract(k.s, '/entity/(P[1-9][0-9]*)>$', 1) as owner, k.o as node from kept k
+  where regexp_extract(k.s, '/entity/(P[1-9][0-9]*)>$', 1) <> '' and k.o like '<%' and not regexp_matches(k.o, '/(entity/statement|value|reference)/') and k.o in (select s from kept)
+  union select owner, o from chain join kept on s = node where o like '\\_:%' escape '\\'
+),
+assigned as (
+  select distinct 'urn:jwb:entity:' || owner as graph, 'ENTITY' as partition_kind, line, s, p, o from owned join kept on s = node
+  union all select distinct 'urn:jwb:schema:' || owner, 'PROPERTY_SCHEMA', line, s, p, o from chain join kept on s = node
+),
+graphs as (select * from assigned union all select 'urn:jwb:global', 'GLOBAL', line, s, p, o from kept where line not in (select line from assigned))
+"""
+
+
+def kept_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.kept(T.scan(T.bridge(spark, sf_dir)))
+
+
+def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph, partition_kind, line of the normalised bridge; the triples are written once, as every closure round reads them."""
+    return partition.partition(save(kept_triples(spark, sf_dir), "kept"))
+
+
+
+@query(f"{LINES} select line, s, p, o, case when o like '<%' then 'iri' when o like '\\_:%' escape '\\' then 'bnode' else 'literal' end as o_kind, case when o like '\"%' then regexp_extract(o, '^\"([^\"]*)\"', 1) end as o_lex, nullif(regexp_extract(o, '\"@([A-Za-z0-9-]+)$', 1), '') as o_lang, nullif(regexp_extract(o, '\"\\^\\^<([^>]+)>$', 1), '') as o_datatype from lines")
+def nt_scan_terms(spark, sf_dir):
+    return T.terms(T.scan(T.bridge(spark, sf_dir))).select("line", "s", "p", "o", "o_kind", "o_lex", "o_lang", "o_datatype")
+
+
+@query(f"{KEPT} select line from kept")
+def nt_normalize_kept(spark, sf_dir):
+    return kept_triples(spark, sf_dir).select("line")
+
+
+@query(f"{LINES} select case when s = '{normalize.DUMP}' then 'DUMP_EXPORT' else 'ENTITY_EXPORT' end as category, p as predicate, o as object from lines where s = '{normalize.DUMP}' or (s like '%/wiki/Special:EntityData/%' and p = '<http://schema.org/softwareVersion>')")
+def nt_provenance(spark, sf_dir):
+    return normalize.provenance(T.scan(T.bridge(spark, sf_dir)))
+
+
+@query(f"{KEPT} select distinct concat_ws(' ', s, p, regexp_replace(o, '\"\\+0*([0-9]+)\\.500\"', '\"\\1.5\"'), '.') as line from kept where p = '<http://wikiba.se/ontology#quantityAmount>'".replace('0*([0-9]+)', '0*?(0|[1-9][0-9]*)'))
+def nt_normalize_decimal(spark, sf_dir):
+    rows = kept_triples(spark, sf_dir).where(F.col("p") == "<http://wikiba.se/ontology#quantityAmount>")
+    return rows.select(normalize.line_form(F.col("line")).alias("line")).distinct()
+
+
+CLASS = "case when s like '%/entity/statement/%' then 'statement' when s like '%/reference/%' then 'reference' when s like '%/value/%' then 'value' when p like '%/prop/qualifier/%' then 'qualifier' when p like '%/prop/direct/%' then 'direct-claim' when p like '%#label%' then 'label' when p like '%/description%' then 'description' when p like '%#altLabel%' then 'alias' when s like '%EntityData%' or s like '%/entity/%' then 'entity-metadata' else 'other' end"
+
+
+@query(f"{KEPT} select {CLASS} as class, count(*) as n from kept group by 1")
+def triple_class_counts(spark, sf_dir):
+    return kept_triples(spark, sf_dir).groupBy(normalize.triple_class(F.col("s"), F.col("p")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"{GRAPHS} select graph, partition_kind, line from graphs")
+def partition_dataset(spark, sf_dir):
+    return dataset(spark, sf_dir)
+
+
+@query(f"{GRAPHS} select partition_kind, count(distinct graph) as graphs, count(*) as lines from graphs group by 1")
+def partition_counts(spark, sf_dir):
+    return dataset(spark, sf_dir).groupBy("partition_kind").agg(F.count_distinct("graph").alias("graphs"), F.count("*").alias("lines"))
+
+
+@query(f"{GRAPHS} select graph, sha256(string_agg(line, chr(10) order by line) || chr(10)) as checksum from graphs where partition_kind <> 'GLOBAL' group by 1")
+def graph_checksums(spark, sf_dir):
+    return dataset(spark, sf_dir).where("partition_kind <> 'GLOBAL'").groupBy("graph").agg(normalize.checksum(F.col("line")).alias("checksum"))
+
+
+@query(f"{GRAPHS} select concat(left(line, length(line) - 2), ' <', graph, '> .') as quad from graphs")
+def nquads_export(spark, sf_dir):
+    return dataset(spark, sf_dir).select(T.quad_line(F.col("line"), F.col("graph")).alias("quad"))
+
+
+@query(f"{GRAPHS} select graph, count(distinct o) as versions, max(regexp_extract(o, '\"([0-9]+)\"', 1)::bigint) as revision from graphs where p = '<http://schema.org/version>' group by 1")
+def entity_revision(spark, sf_dir):
+    rows = T.scan(dataset(spark, sf_dir).where(F.col("line").contains("<http://schema.org/version>")).select("line", "graph").dropDuplicates())
+    lines = dataset(spark, sf_dir).select("graph", "line")
+    found = rows.where(F.col("p") == "<http://schema.org/version>").dropDuplicates(["line"]).join(lines, "line")
+    return found.groupBy("graph").agg(F.count_distinct("o").alias("versions"), F.max(F.regexp_extract("o", r'"([0-9]+)"', 1).cast("long")).alias("revision"))
+
+
+SECOND = "(select graph, line from graphs where line not like '%/prop/direct/P1>%' union all select graph, replace(line, '/prop/direct/P1>', '/prop/direct/P7>') from graphs where line like '%/prop/direct/P1>%')"
+
+
+def _second(first: DataFrame) -> DataFrame:
+    return first.select("graph", F.replace("line", F.lit("/prop/direct/P1>"), F.lit("/prop/direct/P7>")).alias("line"))
+
+
+@query(f"{GRAPHS} select * from (select 'canonicalOnly' as direction, graph, line from (select graph, line from graphs except select graph, line from {SECOND}) union all select 'generationOnly', graph, line from (select graph, line from {SECOND} except select graph, line from graphs))")
+def dataset_diff(spark, sf_dir):
+    first = save(dataset(spark, sf_dir).select("graph", "line"), "first")
+    return compare.diff(first, _second(first), ["graph", "line"])
+
+
+@query(f"{GRAPHS} select graph, count(*) filter (where e = 1) as missing, count(*) filter (where e = 2) as extra, count(*) filter (where e <> 3) = 0 as valid from (select graph, line, bit_or(e) as e from (select graph, line, 1 as e from graphs union all select graph, line, 2 from {SECOND}) group by 1, 2) group by 1")
+def diff_by_graph(spark, sf_dir):
+    first = save(dataset(spark, sf_dir).select("graph", "line"), "first")
+    return compare.by_graph(first, _second(first))
+
+
+@query(f"{GRAPHS} select count(*) as n from (select distinct line from graphs)")
+def graph_union_count(spark, sf_dir):
+    return dataset(spark, sf_dir).select("line").distinct().agg(F.count("*").alias("n"))
+
+
+@query(f"{GRAPHS} select s, count(distinct graph) as graphs from graphs group by 1 having count(distinct graph) > 1")
+def shared_subjects(spark, sf_dir):
+    lines = dataset(spark, sf_dir)
+    return lines.select(F.split_part("line", F.lit(" "), F.lit(1)).alias("s"), "graph").groupBy("s").agg(F.count_distinct("graph").alias("graphs")).where("graphs > 1")
+
+
+@query(f"{KEPT} select count(distinct node) as nodes, count(distinct near)::int as colours from (select o as node, s as near from kept where o like '\\_:%' escape '\\')")
+def bnode_colours(spark, sf_dir):
+    """Blank nodes with different neighbours get different colours."""
+    return compare.colours(kept_triples(spark, sf_dir)).agg(F.count("*").alias("nodes"), F.count_distinct("colour").cast("int").alias("colours"))
+
+
+# ---- graph patterns ------------------------------------------------------------------------------------------------
+LABEL, REGION, NATION = "<http://www.w3.org/2000/01/rdf-schema#label>", "<http://b/prop/direct/P3>", "<http://b/prop/direct/P2>"
+
+
+@query(f"{KEPT} select a.o as label, b.o as nation from kept a join kept b on a.s = b.s where a.p = '{LABEL}' and b.p = '{NATION}'")
+def pattern_select(spark, sf_dir):
+    return patterns.select(kept_triples(spark, sf_dir), [("?item", LABEL, "?label"), ("?item", NATION, "?nation")]).select("label", "nation")
+
+
+@query(f"{KEPT} select a.s as item, c.o as region from kept a join kept c on a.o = c.s where a.p = '{NATION}' and c.p = '{REGION}'")
+def pattern_path(spark, sf_dir):
+    return patterns.select(kept_triples(spark, sf_dir), [("?item", NATION, "?nation"), ("?nation", REGION, "?region")]).select("item", "region")
+
+
+@query(f"{KEPT} select count(*) > 0 as answer from kept where p = '{REGION}'")
+def pattern_ask(spark, sf_dir):
+    return patterns.ask(kept_triples(spark, sf_dir), [("?s", REGION, "?o")])
+
+
+@query(f"{KEPT} select distinct o as s, '<http://b/inverse>' as p, s as o from kept where p = '{NATION}'")
+def pattern_construct(spark, sf_dir):
+    bound = patterns.select(kept_triples(spark, sf_dir), [("?item", NATION, "?nation")])
+    return patterns.construct(bound, [("?nation", "<http://b/inverse>", "?item")])
+
+
+@query(f"{KEPT} select s, p, o from kept where s = '<http://b/entity/Q1000001>'")
+def pattern_describe(spark, sf_dir):
+    return patterns.describe(kept_triples(spark, sf_dir).select("s", "p", "o"), "<http://b/entity/Q1000001>")
+
+
+# ---- change events -------------------------------------------------------------------------------------------------
+# The event bridge, in SQL that Spark and DuckDB both run. Entities follow users; revisions are a running sum.
+EVENTS = """
+  select event_id as rcid, date_trunc('second', ts) as ts,
+    case when event_type = 'error' and event_id % 3 = 0 then 'User:x' else concat('Item:Q', user_id + 1) end as title,
+    case event_type when 'signup' then 'new' when 'purchase' then 'log' when 'error' then case when event_id % 3 = 1 then 'log' else 'edit' end else 'edit' end as type,
+    case when event_type = 'purchase' then 'delete' else 'x' end as logtype,
+    case when event_type = 'purchase' then case when event_id % 2 = 0 then 'delete' else 'restore' end else 'x' end as logaction,
+    case when event_id % 50 = 0 then '/* wbmergeitems-from:0 */' when event_id % 50 = 1 then '/* wbcreateredirect:0 */' else '' end as comment,
+    event_id % 77 = 0 as redirect, concat('Q', user_id + 1) as entity_id,
+    cast(greatest(1, r - case when event_id % 10 = 6 then 1 else 0 end) as bigint) as revid,
+    cast(greatest(0, r - case when event_id % 10 = 6 then 1 else 0 end - 1) as bigint) as old_revid
+  from (select *, sum(case when event_id % 10 in (3, 6) then 0 when event_id % 997 = 0 then 2 else 1 end) over (partition by user_id order by date_trunc('second', ts), event_id) as r from events) e
+"""
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(EVENTS.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("tags", F.array().cast("array<string>"))
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.fence(event_rows(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+ACTION = """case when type = 'log' then case when logtype = 'delete' and logaction = 'delete' then 'ENTITY_DELETE' when logtype = 'delete' and logaction = 'restore' then 'ENTITY_UNDELETE' when title like 'Item:%' then 'UNKNOWN' else 'NON_ENTITY_CHANGE' end
+  when title not like 'Item:%' then 'NON_ENTITY_CHANGE' when type not in ('edit', 'new') then 'UNKNOWN' when comment like '/* wbcreateredirect:%' then 'ENTITY_REDIRECT' when comment like '/* wbmergeitems-%' then 'ENTITY_MERGE' when redirect then 'UNKNOWN' else 'ENTITY_EDIT' end"""
+FENCE = f"""
+with recursive e as ({EVENTS}), numbered as (select *, row_number() over (partition by entity_id order by ts, rcid) as k from e),
+fold as (
+  select entity_id, ts, rcid, revid, k, 'APPLY' as decision, revid as indexed from numbered where k = 1
+  union all
+  select n.entity_id, n.ts, n.rcid, n.revid, n.k, d.decision, case when d.decision = 'APPLY' then n.revid else f.indexed end from fold f join numbered n on n.entity_id = f.entity_id and n.k = f.k + 1,
+    lateral (select case when n.revid = f.indexed then 'DUPLICATE' when n.revid < f.indexed then 'OLDER' when n.old_revid <> f.indexed then 'GAP_DETECTED' else 'APPLY' end as decision) d
+)
+"""
+
+
+@query(f"select rcid, {ACTION} as action from ({EVENTS})")
+def classify_changes(spark, sf_dir):
+    return changes.classify(event_rows(spark, sf_dir)).select("rcid", "action")
+
+
+@query(f"select rcid from ({EVENTS}) where (ts, rcid) > (timestamp '2024-01-02 00:00:00', 500)")
+def events_after_cursor(spark, sf_dir):
+    return changes.after_cursor(event_rows(spark, sf_dir), "2024-01-02 00:00:00", 500).select("rcid")
+
+
+@query(f"{FENCE} select rcid, entity_id, decision, indexed from fold")
+def fence_decisions(spark, sf_dir):
+    return decisions(spark, sf_dir).select("rcid", "entity_id", "decision", "indexed")
+
+
+@query(f"{FENCE} select decision, count(*) as n from fold group by 1")
+def fence_counters(spark, sf_dir):
+    return decisions(spark, sf_dir).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query(f"{FENCE} select entity_id, max(indexed) as indexed_revision, max(revid) as latest_seen_revision, case when arg_max(decision, k) = 'GAP_DETECTED' then 'GAP' else 'CURRENT' end as status from fold group by 1")
+def sync_entity_state(spark, sf_dir):
+    return changes.entity_state(decisions(spark, sf_dir))
+
+
+@query(f"{FENCE} select entity_id, count(*) as applied from fold where decision = 'APPLY' and (ts, rcid) < (select (ts, rcid) from fold where decision = 'GAP_DETECTED' order by ts, rcid limit 1) group by 1")
+def applied_before_stop(spark, sf_dir):
+    decided = save(decisions(spark, sf_dir), "decided")
+    return changes.before_stop(decided).where("decision = 'APPLY'").groupBy("entity_id").agg(F.count("*").alias("applied"))
+
+
+# ---- control plane -------------------------------------------------------------------------------------------------
+GENERATIONS = """select concat('s', o_custkey % 20) as source, o_orderkey as generation, case o_orderstatus when 'O' then 'READY' when 'F' then case when o_orderkey % 3 = 0 then 'FAILED' else 'RETIRED' end else 'SERVING' end as state, o_orderdate as created_at, case when o_orderkey % 4 = 0 then 'INVALID' else 'VALID' end as validation, o_orderkey % 5 <> 0 as models_match, case when o_orderkey % 7 <> 0 then 'm' end as manifest from orders where o_orderkey % 50 < 2 or o_custkey % 20 < 3"""
+
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(GENERATIONS.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+POINTERS = "(select source, max(generation) as generation from g where state = 'SERVING' and source <> 's1' group by 1)"
+
+
+def pointers(rows: DataFrame) -> DataFrame:
+    return rows.where("state = 'SERVING' and source <> 's1'").groupBy("source").agg(F.max("generation").alias("generation"))
+
+
+@query(f"with g as ({GENERATIONS}) select source, generation from g where state = 'READY' and validation = 'VALID' and models_match and manifest is not null")
+def promotion_gate(spark, sf_dir):
+    return generations(spark, sf_dir).where(control.promotable()).select("source", "generation")
+
+
+@query(f"with g as ({GENERATIONS}) select source, state, count(*) as n, count(*) filter (where validation = 'VALID') as valid from g group by 1, 2")
+def filtered_counts(spark, sf_dir):
+    return generations(spark, sf_dir).groupBy("source", "state").agg(F.count("*").alias("n"), F.count_if(F.col("validation") == "VALID").alias("valid"))
+
+
+@query(f"with g as ({GENERATIONS}) select source, arg_max(generation, (created_at, generation)) as generation, max(created_at) as created_at from g group by 1")
+def latest_generation(spark, sf_dir):
+    return control.latest(generations(spark, sf_dir).select("source", "generation", "created_at"), ["source"], ["created_at", "generation"])
+
+
+@query(f"with g as ({GENERATIONS}), p as {POINTERS} select source, generation, state from (select g.*, row_number() over (partition by source, state order by created_at desc, generation desc) as k from g where state in ('RETIRED', 'FAILED') and (source, generation) not in (select (source, generation) from p)) where state = 'RETIRED' or k > 1")
+def retention_select(spark, sf_dir):
+    rows = generations(spark, sf_dir)
+    return control.retained(rows, pointers(rows)).select("source", "generation", "state")
+
+
+@query(f"""with g as ({GENERATIONS}), p as {POINTERS}, per as (select source, count(*) filter (where state = 'SERVING') as serving, count(*) filter (where state = 'READY') as ready, max(case when state = 'SERVING' then generation end) as registered, list(generation) as known from g group by 1)
+select coalesce(per.source, p.source) as source, case when serving > 1 then 'AMBIGUOUS_PROMOTION' when p.generation is null then 'POINTER_MISSING' when not list_contains(known, p.generation) then 'POINTER_TARGET_MISSING' when serving = 0 then 'SERVING_GENERATION_UNAVAILABLE' when registered <> p.generation then 'POINTER_REGISTRY_MISMATCH' when ready > 0 then 'CONSISTENT_WITH_READY_CANDIDATE' else 'CONSISTENT' end as status from per full join p on per.source = p.source""")
+def serving_reconcile(spark, sf_dir):
+    rows = generations(spark, sf_dir)
+    return control.reconcile(rows, pointers(rows))
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def no_rows_antijoin(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
+
+
+@query("select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts from events group by 1")
+def upsert_latest(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return control.upserted(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), ["user_id"], "ts").select("user_id", "event_id", "ts")
+
+
+NOW = "2030-01-01 00:00:00"
+
+
+@query(f"select user_id, max(ts) filter (where event_id % 3 = 0) >= max(ts) as caught_up, case when max(ts) filter (where event_id % 3 = 0) >= max(ts) then 0 else (epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', coalesce(max(ts) filter (where event_id % 3 = 0), max(ts)))))::bigint end as lag from events group by 1 having max(ts) filter (where event_id % 3 = 0) is not null")
+def freshness(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    heads = rows.groupBy("user_id").agg(F.max("ts").alias("head"), F.max(F.when(F.col("event_id") % 3 == 0, F.col("ts"))).alias("indexed")).where("indexed is not null")
+    made = control.freshness(F.col("indexed"), F.col("head"), F.lit(NOW).cast("timestamp"))
+    return heads.select("user_id", made["caught_up"].alias("caught_up"), made["lag"].cast("long").alias("lag"))
