@@ -32,7 +32,7 @@ from .hashing import by_bytes
 CAPACITY = 4096
 END = 1
 #: Words, and pre-tokens, whose ids a worker remembers.
-KNOWN_WORDS, KNOWN_PARTS = 400_000, 500_000
+KNOWN_WORDS, KNOWN_PARTS = 200_000, 300_000
 
 # The pre-tokens of word_bpe_49k.json or a space, and characters for which all Unicode versions class letters and numbers alike.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| ")
