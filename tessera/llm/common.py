@@ -51,3 +51,12 @@ BROADCAST_ROWS = 1_000_000
 def small_side(df: DataFrame) -> DataFrame:
     """A saved frame of narrow rows, to be broadcast if its counted size allows that; else joined by shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of 1,000 rows in this session unless another number than Spark's 10,000 is set: whole texts are long."""
+    if spark.conf.get(ROWS_PER_BATCH, "10000") == "10000":
+        spark.conf.set(ROWS_PER_BATCH, "1000")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small_side, text_bytes
+from .common import save, small_batches, small_side, text_bytes
 from .components import components
 from .hashing import by_bytes, mixed, word_hashes
 
@@ -192,6 +192,7 @@ def _sizes_fit(n: Column, m: Column) -> Column:
 
 def join(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id of every row."""
+    small_batches(docs.sparkSession)
     rows = save(prefixes(docs), "prefixes")
     usable = rows.where("n > 0 and doc_id is not null")
     least = F.min(F.struct("doc_id", "n", "gsig"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Bound on labelled rows that teach one language.
@@ -114,18 +116,22 @@ def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray) ->
 def identify(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with `keep` and text -> `keep`, language and score under `names`; one row for each row."""
     spark = docs.sparkSession
+    small_batches(spark)
+    own = "__text"
+    while own in keep:
+        own += "_"
     langs, logp = model
     shared = spark.sparkContext.broadcast((langs, logp))
 
     def scorer(batches):
         langs, logp = shared.value
         for batch in batches:
-            found, scores = score_texts(batch.column("__text").to_pylist(), langs, logp)
+            found, scores = score_texts(batch.column(own).to_pylist(), langs, logp)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names]
             )
 
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+    rows = docs.select(*keep, F.col("text").alias(own))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
     return rows.mapInArrow(scorer, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 

@@ -26,13 +26,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_bytes
+from .common import save, small_batches, text_bytes
 from .hashing import by_bytes
 
 CAPACITY = 4096
 END = 1
 #: Words, and pre-tokens, whose ids a worker remembers.
-KNOWN_WORDS, KNOWN_PARTS = 200_000, 300_000
+KNOWN_WORDS, KNOWN_PARTS = 100_000, 250_000
 
 # The pre-tokens of word_bpe_49k.json or a space, and characters for which all Unicode versions class letters and numbers alike.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| ")
@@ -143,6 +143,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
                 ["doc_id", "piece", "start", "length", "ids"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_bytes().alias("text"))
     return rows.mapInArrow(cutter, f"doc_id {id_type}, piece int, start long, length long, ids binary")
 

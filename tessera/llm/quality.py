@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_bytes
+from .common import save, small_batches, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -77,6 +77,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             columns = [pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [()] * len(names))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
 
+    small_batches(docs.sparkSession)
     schema = f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in names)
     return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(counter, schema)
 

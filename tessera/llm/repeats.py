@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_bytes
+from .common import save, small_batches, text_bytes
 from .hashing import Hashes, by_bytes, mixed
 
 LENGTH = 400
@@ -150,6 +150,7 @@ def _cutter(batches):
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, whole, cut): rows has doc_id, rid, n_bytes and text_sha256 of every row of docs; whole has the rid of each text
     that is repeated from end to end; cut has rid, the removed spans and the kept bytes of each other text that loses some."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(F.col("doc_id").cast("string"), text_bytes()).alias("rid"), text_bytes().alias("text"))
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), text_bytes()).alias("rid"), F.octet_length(text_bytes()).cast("long").alias("n_bytes"), F.sha2(text_bytes(), 256).alias("text_sha256"))
     rows = save(rows, "rows")
