@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _ESCAPE = re.compile(r"(\\\\)|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})")
 
@@ -26,11 +27,11 @@ def encode_text(text: str) -> str:
     return "".join(c if " " <= c <= "~" else f"\\u{ord(c):04X}" if ord(c) < 0x10000 else f"\\U{ord(c):08X}" for c in text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode(text: pd.Series) -> pd.Series:
     return text.map(decode_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def encode(text: pd.Series) -> pd.Series:
     return text.map(encode_text, na_action="ignore")
