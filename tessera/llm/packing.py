@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import defaultdict
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -224,12 +225,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, length, ...) -> the same rows with sequence_id and offset. Pieces are evaluated once."""
     spark = pieces.sparkSession
     pieces = save(pieces, "pieces")
-    buckets = max(1, min(4096, pieces.count() // 50_000))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
-    pieces = pieces.withColumn("__bucket", bucket)
+    counts = pieces.groupBy("length").agg(F.count("*").alias("__n"))
+    histogram = {r["length"]: r["__n"] for r in counts.collect()}  # capacity rows at most
+    # a length of n pieces is ranked in about sqrt(n) buckets of about sqrt(n) pieces, so no task gets all of a frequent one
+    buckets = spark.createDataFrame([(n, isqrt(c) + 1) for n, c in histogram.items()], "length long, __buckets long")
+    pieces = pieces.join(F.broadcast(buckets), "length")
+    pieces = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), "__buckets")).drop("__buckets")
     sizes = pieces.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
-    sizes = save(sizes, "sizes")  # at most capacity x buckets rows
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # capacity rows at most
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     by_rank = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece")
