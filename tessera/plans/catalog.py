@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, compare, control, normalize, partition, patterns
+from ..operators import changes, compare, contracts, control, lifecycle, normalize, partition, patterns
 from ..sources import triples as T
 from ..sources.store import save, table
 
@@ -313,3 +313,112 @@ def freshness(spark, sf_dir):
     heads = rows.groupBy("user_id").agg(F.max("ts").alias("head"), F.max(F.when(F.col("event_id") % 3 == 0, F.col("ts"))).alias("indexed")).where("indexed is not null")
     made = control.freshness(F.col("indexed"), F.col("head"), F.lit(NOW).cast("timestamp"))
     return heads.select("user_id", made["caught_up"].alias("caught_up"), made["lag"].cast("long").alias("lag"))
+
+
+# ---- lifecycle and contracts ---------------------------------------------------------------------------------------
+# Inputs in SQL that Spark and DuckDB both run. Merge comments name none, one or two more ids; some users have moved or are missing.
+NAMED = f"""select rcid, ts, type, logtype, logaction, title, redirect, entity_id, cast(substr(entity_id, 2) as bigint) as user_number,
+  case when comment like '/* wbmerge%' then concat('/* wbmergeitems-from:0||Q', cast(substr(entity_id, 2) as bigint) + rcid % 3, case when rcid % 4 = 0 then ' Q999999' else '' end, ' */') else comment end as comment from ({EVENTS}) named"""
+PRESENT = """select concat('Q', user_id + 1) as id, case when user_id % 7 = 0 then concat('Q', user_id + 2) else concat('Q', user_id + 1) end as canonical,
+  case when user_id % 11 <> 0 then max(event_id) end as revision from events group by user_id"""
+STATES = """select concat('Q', user_id + 1) as entity_id, max(event_id) as indexed_revision,
+  case user_id % 5 when 0 then 'PENDING' when 1 then 'GAP_DETECTED' else 'CURRENT' end as status, concat('c', user_id) as checksum from events group by user_id"""
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(NAMED.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    return changes.classify(rows.withColumn("tags", F.array().cast("array<string>")).drop("entity_id"))
+
+
+@query(f"""with n as ({NAMED}), c as (select *, {ACTION} as action from n), cur as ({PRESENT}),
+asked as (select rcid, action, unnest(list_distinct(case when action = 'ENTITY_MERGE' then [entity_id] || regexp_extract_all(comment, '[QP][1-9][0-9]*') else [entity_id] end)) as id from c where action in ('ENTITY_UNDELETE', 'ENTITY_REDIRECT', 'ENTITY_MERGE')),
+per as (select rcid, (max(action) <> 'ENTITY_MERGE' or count(*) = 2) and bool_and(revision is not null) as unambiguous, string_agg(concat_ws(':', asked.id, canonical, revision, case when asked.id <> canonical then 'redirect' else 'own' end), ',' order by asked.id) as entities from asked left join cur on cur.id = asked.id group by 1)
+select rcid, unambiguous, case when unambiguous then entities else '' end as entities from per""")
+def lifecycle_resolve(spark, sf_dir):
+    current = spark.sql(PRESENT.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    found = lifecycle.resolve(classified(spark, sf_dir), current)
+    each = lambda e: F.concat_ws(":", e["id"], e["canonical"], e["revision"].cast("string"), F.when(e["redirect"], "redirect").otherwise("own"))
+    return found.select("rcid", "unambiguous", F.array_join(F.transform("entities", each), ",").alias("entities"))
+
+
+MOVES = f"(select entity_id as e, arg_max(action, (ts, rcid)) as last, bool_or(action = 'ENTITY_DELETE') as was from (select *, {ACTION} as action from ({NAMED})) where action in ('ENTITY_DELETE', 'ENTITY_UNDELETE') group by 1)"
+
+
+@query(f"""select entity_id, indexed_revision, case when last = 'ENTITY_DELETE' then 'DELETED' when last = 'ENTITY_UNDELETE' and (was or status = 'CURRENT') then 'CURRENT' else status end as status,
+case when last is distinct from 'ENTITY_DELETE' then checksum end as checksum, case when last = 'ENTITY_UNDELETE' and not (was or status = 'CURRENT') then 'UNDELETE_WITHOUT_TOMBSTONE' end as error from ({STATES}) left join {MOVES} on e = entity_id""")
+def lifecycle_tombstones(spark, sf_dir):
+    state = spark.sql(STATES.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    return lifecycle.after_lifecycle(state, classified(spark, sf_dir))
+
+
+GONE = "select concat('Q', 1000001 + n_nationkey) as entity_id from nation where n_nationkey % 3 = 0 union all select concat('P', r_regionkey) from region"
+
+
+@query(f"{GRAPHS} select graph, line from graphs where not exists (select 1 from ({GONE}) d where graph = concat('urn:jwb:entity:', entity_id) or graph = concat('urn:jwb:schema:', entity_id) and entity_id like 'P%')")
+def graphs_after_delete(spark, sf_dir):
+    gone = spark.sql(GONE.replace("from nation", "from {nation}").replace("from region", "from {region}"), nation=table(spark, sf_dir, "nation"), region=table(spark, sf_dir, "region"))
+    return lifecycle.without_deleted(dataset(spark, sf_dir).select("graph", "line"), gone)
+
+
+DESCRIPTORS = """select p_partkey as id, case p_partkey % 4 when 0 then 'ENTITY' when 1 then 'PROPERTY_SCHEMA' when 2 then 'GLOBAL' else 'OTHER' end as kind,
+  case when p_partkey % 4 = 2 then case when p_size > 40 then 'Q1' end else concat(case when p_size % 2 = 0 then 'Q' else 'P' end, case when p_size % 5 = 0 then '0' else '' end, p_size) end as entity_id,
+  case when p_partkey % 4 = 2 then 'urn:jwb:global' else concat('urn:jwb:', case when p_partkey % 8 = 1 then 'entity' when p_partkey % 4 = 1 then 'schema' else 'entity' end, ':', case when p_size % 2 = 0 then 'Q' else 'P' end, case when p_size % 5 = 0 then '0' else '' end, p_size) end as graph from part"""
+
+
+@query(f"""select id from ({DESCRIPTORS}) where not coalesce(case when kind = 'GLOBAL' and entity_id is null then graph = 'urn:jwb:global' when kind = 'ENTITY' and regexp_full_match(entity_id, '[QP][1-9][0-9]*') then graph = 'urn:jwb:entity:' || entity_id
+when kind = 'PROPERTY_SCHEMA' and regexp_full_match(entity_id, 'P[1-9][0-9]*') then graph = 'urn:jwb:schema:' || entity_id end, false)""")
+def graph_descriptor_faults(spark, sf_dir):
+    rows = spark.sql(DESCRIPTORS.replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
+    return rows.where(~contracts.graph_fits(F.col("graph"), F.col("kind"), F.col("entity_id"))).select("id")
+
+
+# One JSON text per order, written by hand so that both engines see the same; each rule is broken in some of them.
+MANIFESTS = """select o_orderkey as id, concat('{"manifestVersion":"jwb-snapshot-v', case when o_orderkey % 23 = 0 then '2' else '1' end, '","snapshotId":"0b0e8a5c-1111-', case when o_orderkey % 19 = 0 then '9' else '4' end,
+  '111-8111-0123456789ab","sourceIdentity":"', case when o_orderkey % 17 = 0 then 'x' else 'jwb-standalone' end, '","createdAt":"2024-01-0', case when o_orderkey % 13 = 0 then '0' else '1' end,
+  'T00:00:00Z","cursor":{"timestamp":"2024-01-01T00:00:00Z","rcid":', o_custkey - 9, '},"normalizationModel":"jwb-rdf-normalization-v1","partitionModel":"jwb-partition-v1","artifact":{"format":"application/n-triples","sha256":"',
+  repeat('a', case when o_orderkey % 11 = 0 then 63 else 64 end), '","bytes":10,"graphCount":', o_orderkey % 7, '}', case when o_orderkey % 29 = 0 then ',"more":1' else '' end, '}') as manifest from orders"""
+
+
+@query("select o_orderkey as id, o_orderkey % 23 <> 0 and o_orderkey % 19 <> 0 and o_orderkey % 17 <> 0 and o_orderkey % 13 <> 0 and o_custkey >= 9 and o_orderkey % 11 <> 0 and o_orderkey % 7 >= 1 and o_orderkey % 29 <> 0 as valid from orders")
+def manifest_valid(spark, sf_dir):
+    rows = spark.sql(MANIFESTS.replace("from orders", "from {orders}").replace("concat('{\"", "concat('{{\"").replace('"cursor":{', '"cursor":{{').replace('"artifact":{', '"artifact":{{').replace("'},", "'}},").replace("'}'", "'}}'"), orders=table(spark, sf_dir, "orders"))
+    return rows.select("id", contracts.manifest_valid(F.col("manifest")).alias("valid"))
+
+
+CANDIDATES = f"""select source, generation, state, case when generation % 6 = 0 then 'ROLLBACK' when generation % 6 = 1 and state = 'SERVING' then 'SERVING' when generation % 11 = 0 then 'PROMOTION_IN_PROGRESS' when generation % 13 = 0 then 'RETIREMENT_IN_PROGRESS' else 'NONE' end as protection,
+  validation, repeat('a', case when generation % 9 = 0 then 63 else 64 end) as checksum, models_match, manifest, case when generation % 8 = 0 then 'CATCHING_UP' else 'CURRENT' end as sync_state, 'CURRENT' as schema_state, created_at, generation % 10 as done, generation % 4 as wanted from ({GENERATIONS}) made"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CANDIDATES.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+@query(f"""select source, generation, case when not (state = 'READY' and protection = 'NONE' and validation = 'VALID' and length(checksum) = 64 and models_match and manifest is not null) then 'CANDIDATE_NOT_VALIDATED' when not (sync_state = 'CURRENT' and done >= wanted) then 'CANDIDATE_NOT_CURRENT' end as error from ({CANDIDATES})""")
+def promotion_precondition(spark, sf_dir):
+    cursor = lambda rcid: F.struct(F.col("created_at").alias("ts"), F.col(rcid).alias("rcid"))
+    rows = candidates(spark, sf_dir).withColumn("catchup", cursor("done")).withColumn("ingestion", cursor("wanted"))
+    return rows.select("source", "generation", contracts.promotion_error().alias("error"))
+
+
+POINTED = "select source, max(generation) as current, min(generation) as previous from c where state = 'SERVING' and source <> 's1' group by 1"
+OCCUPIED = "select source, generation, 'PROMOTION_INCOMPLETE' as reason from c where generation % 3 = 0 union all select source, generation, 'SYNC_ACTIVE' from c where generation % 5 = 0"
+ASKED = "select source, generation from c union all select 's0', cast(-1 as bigint) union all select 's1', cast(-1 as bigint)"
+
+
+@query(f"""with c as ({CANDIDATES}), p as (select source, max(generation) as cur, min(generation) as prev from c where state = 'SERVING' and source <> 's1' group by 1)
+select a.source, a.generation, case when p.cur is null or c.state is null then concat_ws(',', case when p.cur is null then 'SERVING_POINTER_MISSING' end, case when c.state is null then 'GENERATION_MISSING' end)
+else concat_ws(',', case when state = 'SERVING' then 'GENERATION_SERVING' end, case protection when 'ROLLBACK' then 'ROLLBACK_PROTECTED' when 'SERVING' then 'SERVING_PROTECTED' when 'PROMOTION_IN_PROGRESS' then 'PROMOTION_PROTECTED' when 'RETIREMENT_IN_PROGRESS' then 'RETIREMENT_IN_PROGRESS' end,
+case when cur = a.generation then 'SERVING_POINTER_CURRENT' end, case when prev = a.generation then 'SERVING_POINTER_PREVIOUS' end, case when state not in ('RETIRING', 'RETIRED', 'FAILED') then 'LIFECYCLE_STATE_NOT_RETIRABLE' end,
+case when a.generation % 3 = 0 then 'PROMOTION_INCOMPLETE' end, case when a.generation % 5 = 0 then 'SYNC_ACTIVE' end) end as reasons
+from ({ASKED}) a left join c on c.source = a.source and c.generation = a.generation left join p on p.source = a.source""")
+def retirement_reasons(spark, sf_dir):
+    rows = candidates(spark, sf_dir)
+    made = [spark.sql(text.replace("from c", "from {c}"), c=rows) for text in (ASKED, POINTED, OCCUPIED)]
+    return contracts.retirement(made[0], rows, made[1], made[2]).select("source", "generation", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""select case when event_type = 'error' then 'CONNECTION_ERROR' when event_id % 5 = 0 then 'INVALID' when event_id % 7 = 0 then 'PARTIAL' when event_id % 2 = 0 then 'OLD_COMPLETE' else 'NEW_COMPLETE' end as visibility, count(*) as n from events group by 1""")
+def visibility_histogram(spark, sf_dir):
+    number = F.col("event_id")
+    seen = contracts.visibility(F.col("event_type") == "error", number % 5 != 0, number % 7 != 0, number % 2, F.lit(0))
+    return table(spark, sf_dir, "events").groupBy(seen.alias("visibility")).agg(F.count("*").alias("n"))
