@@ -55,13 +55,15 @@ def reconcile(generations: DataFrame, pointers: DataFrame) -> DataFrame:
         F.count_if(F.col("state") == "SERVING").alias("serving"),
         F.count_if(F.col("state") == "READY").alias("ready"),
         F.max(F.when(F.col("state") == "SERVING", F.col("generation"))).alias("registered"),
-        F.collect_set("generation").alias("known"),  # a source has a few generations
     )
-    rows = per.join(pointers.select("source", F.col("generation").alias("pointed")), "source", "full")
+    held = pointers.select("source", F.col("generation").alias("pointed"))
+    known = generations.select("source", F.col("generation").alias("pointed"))
+    known = held.join(known, ["source", "pointed"], "left_semi").distinct().withColumn("known", F.lit(True))
+    rows = per.join(held.join(known, ["source", "pointed"], "left"), "source", "full")
     status = (
         F.when(F.col("serving") > 1, "AMBIGUOUS_PROMOTION")
         .when(F.col("pointed").isNull(), "POINTER_MISSING")
-        .when(~F.coalesce(F.array_contains("known", F.col("pointed")), F.lit(False)), "POINTER_TARGET_MISSING")
+        .when(F.col("known").isNull(), "POINTER_TARGET_MISSING")
         .when(F.col("serving") == 0, "SERVING_GENERATION_UNAVAILABLE")
         .when(F.col("registered") != F.col("pointed"), "POINTER_REGISTRY_MISMATCH")
         .when(F.col("ready") > 0, "CONSISTENT_WITH_READY_CANDIDATE")

@@ -250,7 +250,7 @@ def applied_before_stop(spark, sf_dir):
 
 
 # ---- control plane -------------------------------------------------------------------------------------------------
-GENERATIONS = """select concat('s', o_custkey % 20) as source, o_orderkey as generation, case o_orderstatus when 'O' then 'READY' when 'F' then case when o_orderkey % 3 = 0 then 'FAILED' else 'RETIRED' end else 'SERVING' end as state, o_orderdate as created_at, case when o_orderkey % 4 = 0 then 'INVALID' else 'VALID' end as validation, o_orderkey % 5 <> 0 as models_match, case when o_orderkey % 7 <> 0 then 'm' end as manifest from orders where o_orderkey % 50 < 2 or o_custkey % 20 < 3"""
+GENERATIONS = """select concat('s', o_custkey % 20) as source, o_orderkey as generation, case o_orderstatus when 'O' then 'READY' when 'F' then case when o_orderkey % 3 = 0 then 'FAILED' else 'RETIRED' end else 'SERVING' end as state, o_orderdate as created_at, case when o_orderkey % 4 = 0 then 'INVALID' else 'VALID' end as validation, o_orderkey % 5 <> 0 as models_match, case when o_orderkey % 7 <> 0 then 'm' end as manifest from orders"""
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
