@@ -25,9 +25,10 @@ def by_graph(expected: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
-def colours(triples: DataFrame, rounds: int = 4) -> DataFrame:
-    """node, colour of each blank node: a hash of its incident lines, refined with its neighbours' colours.
+def colours(triples: DataFrame) -> DataFrame:
+    """node, colour of each blank node: a hash of its incident lines, refined with its neighbours' colours until stable.
 
+    A round only ever splits colours, so the colouring is stable once their count no longer grows: after n + 1 rounds at most.
     Lines are combined by a sum of hashes, so a node with any number of lines needs no list; labels never enter a colour.
     """
     bare = lambda c: F.when(F.col(c).rlike(f"^{BNODE}$"), F.lit("@BNODE")).otherwise(F.col(c))
@@ -41,8 +42,10 @@ def colours(triples: DataFrame, rounds: int = 4) -> DataFrame:
     arcs = save(arcs, "arcs")
     digest = F.xxhash64(F.sum(F.col("h").cast("decimal(38,0)")), F.count("*"))
     now = save(arcs.groupBy("node").agg(digest.alias("colour")), "colours")
-    for _ in range(rounds):
+    distinct, before = now.select("colour").distinct().count(), 0
+    while distinct > before:
         near = now.withColumnRenamed("node", "other").withColumnRenamed("colour", "c")
         met = arcs.join(near, "other", "left").select("node", F.xxhash64("h", F.coalesce("c", F.lit(0))).alias("h"))
         now = save(met.groupBy("node").agg(digest.alias("colour")), "colours")
+        distinct, before = now.select("colour").distinct().count(), distinct
     return now

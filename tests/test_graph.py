@@ -68,6 +68,27 @@ def test_colours_ignore_labels(spark):
     assert by["_:c"] == by["_:d"] and len(set(by.values())) == 3
 
 
+def slow_colours(rows):
+    """Classes of blank nodes of (s, p, o), refined for n + 1 rounds on whole signatures."""
+    nodes = sorted({x for s, _, o in rows for x in (s, o) if x.startswith("_:")})
+    now = dict.fromkeys(nodes, 0)
+    for _ in range(len(nodes) + 1):
+        show = lambda x, n, now=now: "@SELF" if x == n else ("@", now[x]) if x in now else x
+        signs = {n: repr(sorted(repr((show(s, n), p, show(o, n))) for s, p, o in rows if n in (s, o))) for n in nodes}
+        place = {x: k for k, x in enumerate(sorted(set(signs.values())))}
+        now = {n: place[signs[n]] for n in nodes}
+    return now
+
+
+@pytest.mark.parametrize("ends", ["12", "11"])
+def test_colours_of_long_chains(spark, ends):
+    rows = [(f"_:{c}{k}", "<next>", f"_:{c}{k + 1}") for c in "ab" for k in range(9)] + [(f"_:{c}9", "<value>", f'"{e}"') for c, e in zip("ab", ends)]
+    want = slow_colours(rows)
+    got = {r["node"]: r["colour"] for r in compare.colours(T.scan(lines(spark, [f"{s} {p} {o} ." for s, p, o in rows]))).collect()}
+    assert len(got) == 20 and len(set(got.values())) == len(set(want.values())) == (20 if ends == "12" else 10)
+    assert all((got[x] == got[y]) == (want[x] == want[y]) for x in got for y in got)
+
+
 def test_diff(spark):
     a, b = [spark.createDataFrame(x, "graph string, line string") for x in ([("g", "1"), ("g", "2")], [("g", "2"), ("h", "3")])]
     assert sorted(map(tuple, compare.diff(a, b, ["graph", "line"]).collect())) == [("canonicalOnly", "g", "1"), ("generationOnly", "h", "3")]
