@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import escapes
+
 # Export metadata.
 DUMP = "<http://wikiba.se/ontology#Dump>"
 DUMP_PREDICATES = [
@@ -43,11 +45,12 @@ def decimal(lex: Column) -> Column:
 
 
 def line_form(line: Column) -> Column:
-    """Tabs as one space, decimals in canonical form."""
+    """Tabs as one space, escapes as characters, decimals in canonical form."""
     line = F.regexp_replace(line, r"\t+", " ")
-    pattern = r'"([+-]?[0-9]*\.?[0-9]*)"(\^\^<http://www\.w3\.org/2001/XMLSchema#decimal>)'
+    line = F.coalesce(escapes.decode(F.when(line.rlike(r"\\[uU]"), line)), line)
+    pattern = r'"([+-]?[0-9]+(?:\.[0-9]+)?)"(\^\^<http://www\.w3\.org/2001/XMLSchema#decimal>)'
     lex = F.regexp_extract(line, pattern, 1)
-    head, tail = F.regexp_extract(line, f"^(.*){pattern}", 1), F.regexp_extract(line, f"{pattern}(.*)$", 3)
+    head, tail = F.regexp_extract(line, f"(?s)^(.*){pattern}", 1), F.regexp_extract(line, f"(?s){pattern}(.*)$", 3)
     datatype = F.lit("^^<http://www.w3.org/2001/XMLSchema#decimal>")
     return F.when(line.rlike(pattern), F.concat(head, F.lit('"'), decimal(lex), F.lit('"'), datatype, tail)).otherwise(line)
 

@@ -78,6 +78,12 @@ def nt_normalize_decimal(spark, sf_dir):
     return rows.select(normalize.line_form(F.col("line")).alias("line")).distinct()
 
 
+@query(f"{KEPT} select distinct concat_ws(' ', s, p, regexp_replace(o, '\"\\+0*([0-9]+)\\.500\"', '\"\\1.5\"'), '.') as line from kept".replace('0*([0-9]+)', '0*?(0|[1-9][0-9]*)'))
+def nt_normalize_lines(spark, sf_dir):
+    """Every kept line in normal form."""
+    return kept_triples(spark, sf_dir).select(normalize.line_form(F.col("line")).alias("line")).distinct()
+
+
 CLASS = "case when s like '%/entity/statement/%' then 'statement' when s like '%/reference/%' then 'reference' when s like '%/value/%' then 'value' when p like '%/prop/qualifier/%' then 'qualifier' when p like '%/prop/direct/%' then 'direct-claim' when p like '%#label%' then 'label' when p like '%/description%' then 'description' when p like '%#altLabel%' then 'alias' when s like '%EntityData%' or s like '%/entity/%' then 'entity-metadata' else 'other' end"
 
 

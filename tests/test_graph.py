@@ -54,6 +54,19 @@ def test_decimals_and_quads(spark):
     assert T.scan_quads(quad).first().asDict() == {"line": MINI[0], "g": "urn:g"}
 
 
+def test_line_form_decodes_escapes_of_every_line(spark):
+    u = chr(92) + "u"
+    cases = {
+        f'<s>\t\t<p> "{u}65E5x"@ja .': f'<s> <p> "{chr(0x65E5)}x"@ja .',
+        f'<s> <p> "a{chr(92)}U0001F600 {u}0022" .': f'<s> <p> "a{chr(0x1F600)} {u}0022" .',
+        f'<s> <p> "{u}002B05.0"^^<http://www.w3.org/2001/XMLSchema#decimal> .': '<s> <p> "5"^^<http://www.w3.org/2001/XMLSchema#decimal> .',
+        '<s> <p> ""^^<http://www.w3.org/2001/XMLSchema#decimal> .': '<s> <p> ""^^<http://www.w3.org/2001/XMLSchema#decimal> .',
+        '<s> <p> "plain" .': '<s> <p> "plain" .',
+    }
+    out = lines(spark, cases).select("line", normalize.line_form(T.F.col("line")).alias("x")).collect()
+    assert {r["line"]: r["x"] for r in out} == cases
+
+
 def test_read_lines(spark, tmp_path):
     (tmp_path / "a.nt").write_text("# c\n\n" + "\n".join(MINI) + "\n")
     assert T.read_lines(spark, f"file://{tmp_path}/a.nt").count() == len(MINI)
