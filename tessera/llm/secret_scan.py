@@ -10,8 +10,9 @@ never gather in one task; a hot blob's findings join is split by AQE.
 
 Defined cases: a null text is empty and has no spans; repeated rows get the
 same spans each; a scan that finds nothing leaves a ledger row without spans;
-with an empty or no ledger everything is new; a blob held only by rows without an id is
-not read and has no spans; offsets count code points.
+with an empty or no ledger everything is new; a blob held only by rows without an id is read
+from those; offsets count code points. The pem rule finds the header of a key, as the SQL of the query does;
+redacted() takes the whole key away.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ ASSIGN_VALUE = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 PEM = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+PEM_END = "-----END [A-Z ]*PRIVATE KEY-----"
+PEM_BODY = r"^(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info): [^\r\n]*+|[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/]*+={1,2}))*+"
 FORGE = "gh[opsu]_[A-Za-z0-9]{36,}"
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "forge")
@@ -100,10 +103,11 @@ def scan(versions: DataFrame, addressed: DataFrame, ledger: DataFrame | None = N
 
     versions: doc_id, text. addressed: blobs(versions).
     """
-    wanted = addressed.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    wanted = addressed.groupBy("blob").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("blob", "wanted")
     if ledger is not None:
-        wanted = wanted.join(ledger.where(F.col("rules") == rules).select("blob").distinct(), "blob", "left_anti")
-    texts = versions.select("doc_id", address().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, ["doc_id", "blob"])
+        wanted = wanted.join(ledger.where(F.col("rules") == rules).select(F.col("blob").alias("wanted")).distinct(), "wanted", "left_anti")
+    texts = versions.select("doc_id", address().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("blob") == F.col("wanted")))
     found = texts.select("blob", *[c.alias(k) for k, c in spans_of(F.col("text")).items()])
     found = found.select("blob", F.lit(rules).alias("rules"), F.concat(*KINDS).alias("spans"))
     found = found.groupBy("blob", "rules").agg(F.first("spans").alias("spans"))
@@ -128,8 +132,22 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def whole_keys(text: Column, spans: Column) -> Column:
+    """spans, where those of a key's header reach to its END line, or over the key's lines if there is none before the next key."""
+
+    def widened(s):
+        rest = F.substr(text, (s["end"] + 1).cast("int"))
+        cut = F.split(rest, PEM_END, 2)
+        ended = (F.size(cut) == 2) & ~F.contains(cut[0], F.lit("-----BEGIN "))
+        more = F.when(ended, F.length(rest) - F.length(F.get(cut, F.lit(1)))).otherwise(F.length(F.regexp_extract(rest, PEM_BODY, 0)))
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (s["end"] + F.when(s["kind"] == "pem", more).otherwise(0)).cast("long").alias("end"))
+
+    return F.when(F.exists(spans, lambda s: s["kind"] == "pem"), F.transform(spans, widened)).otherwise(spans)
+
+
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """text with every span replaced by the mark; overlapping spans give one mark."""
+    """text with every span replaced by the mark; overlapping spans give one mark, and so does a private key as a whole."""
+    spans = whole_keys(text, spans)
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def cut(state, s):

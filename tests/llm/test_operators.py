@@ -271,6 +271,30 @@ def test_redacted(spark):
     assert by[0] == "[REDACTED] x" and by[5] == "none" and "abcdef123" not in by[1] and by[4] == "[REDACTED]" and by[900] is None
 
 
+def test_secrets_without_an_id(spark):
+    rows = [(None, SECRETS[0], "en", "a", 0), (None, SECRETS[0], "en", "a", 0), (None, SECRETS[3], "en", "a", 0), (7, SECRETS[3], "en", "a", 0), (None, None, "en", "a", 0), (None, "none", "en", "a", 0)]
+    found, ledger = secret_scan.scan_all(docs(spark, rows))
+    got = sorted(((r["doc_id"] or 0), r["s"]) for r in found.select("doc_id", secret_scan.joined(common.F.col("spans")).alias("s")).collect())
+    assert got == sorted((r[0] or 0, slow_spans(r[1] or "")) for r in rows) and ledger.count() == 4
+
+
+def test_whole_keys_are_redacted(spark):
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(["MIIEowIBAAKCAQEA" * 4] * 3 + ["dead" * 8, "Zm9v=="])
+    cases = {
+        f"{chr(0x1F600)} a {head}\n{body}\n{foot} b password = hunter22 c": f"{chr(0x1F600)} a [REDACTED] b [REDACTED] c",
+        f"a {head}\nProc-Type: 4,ENCRYPTED\n\n{body}\nplain words": "a [REDACTED]\nplain words",
+        f"{head}\n{body}\n text {head} x {foot} y": "[REDACTED]\n text [REDACTED] y",
+        f"a {head} is a header": "a [REDACTED] is a header",
+        f"{head}{'A' * 200_000}{foot}": "[REDACTED]",
+        f"{head}\n" + "\n".join(["A" * 64] * 3000): "[REDACTED]",
+    }
+    d = docs(spark, [(k, t, "en", "a", 0) for k, t in enumerate(cases)])
+    found, _ = secret_scan.scan_all(d)
+    out = d.join(found, "doc_id").select("doc_id", secret_scan.redacted(common.F.col("text"), common.F.col("spans")).alias("t")).collect()
+    assert {r["doc_id"]: r["t"] for r in out} == dict(enumerate(cases.values()))
+
+
 def slow_cut(rows):
     seen = {}
     for t in rows:
