@@ -108,6 +108,19 @@ def test_diff(spark):
     assert {r["graph"]: (r["missing"], r["extra"], r["valid"]) for r in compare.by_graph(a, b).collect()} == {"g": (1, 0, False), "h": (0, 1, False)}
 
 
+def test_diff_of_canonical_forms(spark):
+    u, decimal = chr(92) + "u", "^^<http://www.w3.org/2001/XMLSchema#decimal>"
+    one = [("g", f'<s> <p> "+0042.00"{decimal} .'), ("g", f'<s>\t<p> "{u}65E5" .'), ("g", "<s> <p> _:a ."), ("g", "_:a <p> _:b ."), ("g", '_:b <p> "2" .'), ("h", "<s> <p> _:a ."), ("g", "_:t <p> <s> ."), ("g", "_:u <p> <s> .")]
+    two = [("g", f'<s> <p> "42"{decimal} .'), ("g", f'<s> <p> "{chr(0x65E5)}" .'), ("g", "<s> <p> _:b ."), ("g", "_:b <p> _:zz ."), ("g", '_:zz <p> "2" .'), ("h", "<s> <p> _:b ."), ("g", "_:t <p> <s> ."), ("g", "_:u <p> <s> .")]
+    other = [(g, x.replace('"2"', '"3"')) for g, x in two]
+    a, b, c = [spark.createDataFrame(x, "graph string, line string") for x in (one, two, other)]
+    assert compare.diff(a, b, ["graph", "line"]).count() == 0
+    assert {r["graph"]: (r["missing"], r["extra"], r["valid"]) for r in compare.by_graph(a, b).collect()} == {"g": (0, 0, True), "h": (0, 0, True)}
+    assert sum('"3"' in r["line"] for r in compare.diff(a, c, ["graph", "line"]).collect()) == 1
+    moved = spark.createDataFrame([(g, x.replace("_:b", "_:other") if g == "h" else x) for g, x in two], "graph string, line string")
+    assert compare.diff(b, moved, ["graph", "line"]).count() > 0  # labels hold for the whole dataset
+
+
 def test_patterns(spark):
     t = T.scan(lines(spark, MINI)).select("s", "p", "o")
     assert patterns.select(t, [("?e", "<http://b/prop/P1>", "?s"), ("?s", "<http://b/prop/statement/value/P1>", "?v")]).first()["v"] == "<http://b/value/v1>"
