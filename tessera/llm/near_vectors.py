@@ -4,9 +4,10 @@ Equal vectors are one class, so copies cost nothing more. A bounded, hash-chosen
 teaches PCA and rotations that make balanced binary codes (the bound is
 `MAX_FIT_VALUES` components). Each code is cut into substrings of about log2(n) bits, a
 table for each; two codes meet in a table if their substrings differ in a bit at most, found
-by an equi-join of each substring with the probes around the other. The number of rotations
-follows from the width, so that pairs at the threshold are missed with probability below
-MISS whatever n is. Pairs that meet and are near in Hamming distance are reranked by
+by an equi-join of each substring with the probes around the other. The number of rotations, and the
+width where many would be needed, follow from pairs made at the threshold around sampled vectors and coded as all
+vectors are, so a common direction, which centring takes away, is in the measure: the share of
+them that is missed is below MISS whatever n is. Pairs that meet and are near in Hamming distance are reranked by
 cosine of the original vectors in double precision.
 
 Links are counted per vector, which takes every linked pair of different vectors; there is no bound on
@@ -34,37 +35,87 @@ BITS = 64
 MAX_FIT_VALUES = 1 << 20
 ROUNDS = 30
 MISS = 0.005
-MAX_ROTATIONS = 24
+# Beyond so many rotations, narrower substrings meet more pairs for less. Pairs drawn of each sort.
+MANY_ROTATIONS = 32
+PAIRS = 4096
 
 
-def fit(sample: np.ndarray, bits: int, rotations: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Mean, and one projection to `bits` signs for each rotation."""
+def fit(sample: np.ndarray, bits: int, seed: int = 3):
+    """Mean, and a generator of projections to `bits` signs, one for each rotation."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
     _, axes = np.linalg.eigh((unit - mean).T @ (unit - mean))
     axes = axes[:, ::-1][:, :bits]
     v = (unit - mean) @ axes
     rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(rotations):
-        r, _ = np.linalg.qr(rng.standard_normal((axes.shape[1],) * 2))
-        for _ in range(ROUNDS):
-            u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
-            r = (u @ w).T
-        out.append(axes @ r)
-    return mean, np.stack(out)
-
-
-def layout(n: int, bits: int) -> tuple[list[tuple[int, int]], int]:
-    """(first bit, width) of each table of a code, and the number of rotations."""
-    tables = max(1, bits // max(8, math.ceil(math.log2(max(n, 2)))))
+
+    def turned():
+        while True:
+            r, _ = np.linalg.qr(rng.standard_normal((axes.shape[1],) * 2))
+            for _ in range(ROUNDS):
+                u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
+                r = (u @ w).T
+            yield axes @ r
+
+    return mean, turned()
+
+
+def threshold_pairs(sample: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors x, y with cosine THRESHOLD: first PAIRS in any direction from x, then PAIRS in that of a sampled difference."""
+    rng = np.random.default_rng(seed)
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    pick = lambda: unit[rng.integers(len(unit), size=PAIRS)]
+    x = np.concatenate([pick(), pick()])
+    anyhow = rng.standard_normal(x.shape)
+    z = np.concatenate([anyhow[:PAIRS], pick() - pick()])
+    across = lambda z: z - (z * x).sum(axis=1, keepdims=True) * x
+    z = across(z)
+    z = np.where(np.linalg.norm(z, axis=1, keepdims=True) > 1e-6, z, across(anyhow))
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    return x, THRESHOLD * x + math.sqrt(1 - THRESHOLD**2) * z
+
+
+def layout(width: int, bits: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each table of a code."""
+    tables = max(1, bits // width)
     cuts = [bits * k // tables for k in range(tables + 1)]
-    parts = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def least_rotations(parts: list[tuple[int, int]]) -> int:
+    """Rotations that miss fewer than MISS of the pairs at the threshold if centring widens no angle."""
     p = math.acos(THRESHOLD) / math.pi
-    missed = 1.0
-    for _, s in parts:
-        missed *= 1 - (1 - p) ** s - s * p * (1 - p) ** (s - 1)
-    return parts, min(MAX_ROTATIONS, max(1, math.ceil(math.log(MISS) / math.log(missed)))) if missed > 0 else 1
+    missed = math.prod(1 - (1 - p) ** s - s * p * (1 - p) ** (s - 1) for _, s in parts)
+    return max(1, math.ceil(math.log(MISS) / math.log(missed))) if missed > 0 else 1
+
+
+def plan(sample: np.ndarray, n: int, bits: int):
+    """Mean, projections, tables, and the Hamming distance up to which pairs that meet are reranked."""
+    mean, turned = fit(sample, bits)
+    x, y = threshold_pairs(sample)
+    projections, differ = [], []
+
+    def turn():
+        projections.append(next(turned))
+        differ.append(((x - mean) @ projections[-1] > 0) != ((y - mean) @ projections[-1] > 0))
+
+    turn()
+    near = max(math.ceil(bits * 0.32), int(np.quantile(differ[0].sum(axis=1), 1 - MISS / 4, method="higher")))
+    width = max(8, math.ceil(math.log2(max(n, 2))))
+    while True:
+        parts = layout(width, bits)
+        least = min(MANY_ROTATIONS, least_rotations(parts))
+        missed = np.ones(len(x), bool)
+        for r in range(MANY_ROTATIONS):
+            if r == len(projections):
+                turn()
+            meets = np.any([differ[r][:, a : a + w].sum(axis=1) <= 1 for a, w in parts], axis=0)
+            missed &= ~(meets & (differ[r].sum(axis=1) <= near))
+            if r + 1 >= least and max(missed[:PAIRS].mean(), missed[PAIRS:].mean()) < MISS:
+                return mean, np.stack(projections[: r + 1]), parts, near
+        if width == 1:
+            return mean, np.stack(projections[:1]), parts, bits  # all pairs meet
+        width //= 2
 
 
 def _matrix(column) -> np.ndarray:
@@ -116,19 +167,18 @@ def candidates(vectors: DataFrame, n: int, dim: int) -> DataFrame:
     """Distinct pairs a < b of ids of different vectors that meet in a table and are near in Hamming distance."""
     spark = vectors.sparkSession
     bits = min(BITS, dim)
-    parts, rotations = layout(n, bits)
     want = max(256, MAX_FIT_VALUES // dim)
     draw = F.pmod(F.xxhash64("id", F.lit("itq")), F.lit(1_000_000)) / 1_000_000
     sample = vectors.where(draw < min(1.0, 0.9 * want / n)).limit(want).toPandas()
     if len(sample) < 2:
         sample = vectors.limit(2).toPandas()
     sample = np.array(sample.sort_values("id")["embedding"].tolist(), np.float64)
-    model = spark.sparkContext.broadcast(fit(sample, bits, rotations))
+    mean, projections, parts, near = plan(sample, n, bits)
+    model = spark.sparkContext.broadcast((mean, projections))
     id_type = dict(vectors.dtypes)["id"]
     schema = f"cell int, key long, id {id_type}, code long"
     index = vectors.mapInArrow(_coder(model, parts, False), schema)
     probes = vectors.mapInArrow(_coder(model, parts, True), schema)
-    near = math.ceil(bits * 0.32)
     met = index.alias("i").join(probes.alias("p"), ["cell", "key"]).where("i.id < p.id")
     met = met.where(F.bit_count(F.col("i.code").bitwiseXOR(F.col("p.code"))) <= near)
     return met.select(F.col("i.id").alias("a"), F.col("p.id").alias("b")).distinct()

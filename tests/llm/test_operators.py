@@ -52,6 +52,39 @@ def test_near_vectors(spark):
     assert near_vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def offset_pairs(n, dim=64, cosine=0.8):
+    """n vectors whose mean pairwise cosine is as given, each with one at cosine 0.951."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((n, dim))
+    x[:, 0] += (dim * cosine / (1 - cosine)) ** 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, 0.951 * x + (1 - 0.951**2) ** 0.5 * z
+
+
+@pytest.mark.parametrize("n", [20_000, 10_000_000])
+def test_share_missed_under_a_common_offset(n):
+    x, y = offset_pairs(10_000)
+    mean, projections, parts, near = near_vectors.plan(x, n, 64)
+    found = np.zeros(len(x), bool)
+    for p in projections:
+        differ = ((x - mean) @ p > 0) != ((y - mean) @ p > 0)
+        found |= np.any([differ[:, a : a + w].sum(axis=1) <= 1 for a, w in parts], axis=0) & (differ.sum(axis=1) <= near)
+    assert found.mean() >= 0.99
+
+
+def test_near_vectors_with_a_common_offset(spark):
+    x, y = offset_pairs(600)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    out = near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    u = np.concatenate([x, y])
+    linked = (u @ u.T >= 0.95).sum(axis=1) - 1
+    got = out.sort_values("vec_id").n_links.to_numpy()
+    assert (got <= linked).all() and got.sum() >= 0.99 * linked.sum() >= 1180
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     speak = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
