@@ -5,6 +5,8 @@ its text. The ledger has one row for each (blob, rule version) scanned before;
 only blobs without such a row are read again, once each however many paths or
 versions hold them. Findings are kept per blob and joined back to all paths.
 
+A query scans in ingests: scan_history() passes the ledger of one to the next, so a blob of an earlier ingest isn't read again.
+
 The text of a new blob is fetched by the id of the one version that stands for it, so copies
 never gather in one task; a hot blob's findings join is split by AQE.
 
@@ -39,25 +41,44 @@ KINDS = (*BASE_KINDS, "pem", "forge")
 SPAN = "struct<kind:string,start:long,end:long>"
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value computed once for a row however often body names it, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements of an array that are appended one by one before a new array is begun.
+APPENDED = 256
+
+
+def _running(values: Column, op=lambda a, b: a + b) -> Column:
+    """op (sum, or greatest of 0 and more) over all up to and with each element of an array that is a lambda's variable. Blocks first, so that appending copies little."""
+    plus = lambda sums, x: F.concat(sums, F.array(op(F.element_at(sums, -1), x)))
+    summed = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), plus)
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(APPENDED))
+    blocks = F.transform(starts, lambda k: F.slice(summed(F.slice(values, k, F.lit(APPENDED))), 2, APPENDED))
+
+    def shifted(parts):
+        before = summed(F.transform(parts, lambda x: F.element_at(x, -1)))
+        return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda x, n: F.transform(x, lambda v: op(v, n))))
+
+    return F.when(F.size(values) > 0, bound(blocks, shifted)).otherwise(F.array().cast("array<long>"))
+
+
 def _placed(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Spans of all matches, left to right. What stands between matches comes from split(), so the k-th match starts after
-    k + 1 such pieces and k matches. keep: an array column of booleans, by match."""
+    k + 1 such pieces and k matches. keep: an array column of booleans, by match. The text is read once or twice, however many matches."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(f"array<{SPAN}>").alias("spans"))
+    kept = F.transform(sizes, lambda _: F.lit(True)) if keep is None else keep
+    parts = F.struct(gaps.alias("gaps"), sizes.alias("sizes"), kept.alias("kept"))
 
-    def add(state, k):
-        start = state["at"] + F.element_at(gaps, k)
-        end = start + F.element_at(sizes, k)
-        span = F.array(F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct(end.cast("long").alias("at"), F.concat(F.coalesce(state["spans"], F.array().cast(f"array<{SPAN}>")), span).alias("spans"))
+    def spans(m):
+        steps = F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["sizes"])), m["sizes"], lambda gap, size: (gap + size).cast("long"))
+        span = lambda x: F.struct(F.lit(kind).alias("kind"), (x["end"] - x["size"]).cast("long").alias("start"), x["end"].alias("end"))
+        placed = lambda v: F.arrays_zip(_running(v).alias("end"), m["sizes"].alias("size"), m["kept"].alias("keep"))
+        return F.transform(F.filter(bound(steps, placed), lambda x: x["keep"]), span)
 
-    all_spans = F.aggregate(F.sequence(F.lit(1), F.size(sizes)), zero, add)["spans"]
-    if keep is None:
-        return all_spans
-    return F.transform(
-        F.filter(F.arrays_zip(all_spans.alias("s"), keep.alias("k")), lambda x: x["k"]), lambda x: x["s"]
-    )
+    return bound(parts, spans)
 
 
 def _none() -> Column:
@@ -128,6 +149,15 @@ def scan_all(versions: DataFrame, ledger: DataFrame | None = None, rules: str =
     return findings(addressed, whole, rules), whole
 
 
+def scan_history(ingests: list[DataFrame], rules: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
+    """Versions as they came in, each ingest scanned against the ledger that those before it left -> (findings of all versions, the ledger)."""
+    found, ledger = None, None
+    for versions in ingests:
+        rows, ledger = scan_all(versions, ledger, rules)
+        found = rows if found is None else found.unionByName(rows)
+    return found, ledger
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -146,15 +176,31 @@ def whole_keys(text: Column, spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """text with every span replaced by the mark; overlapping spans give one mark, and so does a private key as a whole."""
-    spans = whole_keys(text, spans)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def cut(state, s):
-        new = F.concat(state["out"], F.substr(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], new).otherwise(state["out"]).alias("out")
+    """text with every span replaced by the mark; overlapping spans give one mark, and so does a private key as a whole.
+
+    The pieces between spans are cut from parts of the text that hold APPENDED spans each, so many spans don't make as many scans of the text.
+    """
+    def cut(m):
+        ends = lambda e: F.concat(F.array(F.lit(0).cast("long")), _running(e, F.greatest))
+        reached = lambda e: F.struct(
+            F.filter(F.zip_with(F.slice(ends(e), F.lit(1), F.size(m)), m, lambda at, s: F.struct(at.alias("from"), s["start"].alias("to"))), lambda c: c["to"] >= c["from"]).alias("cuts"),
+            F.array_max(e).alias("at"),
         )
+        return bound(F.transform(m, lambda s: s["end"]), reached)
+
+    def written(m):
+        part = lambda t, at, to: F.substr(t, (at + 1).cast("int"), F.greatest(to - at, F.lit(0)).cast("int"))
+
+        def block(k):
+            def joined_up(b):
+                first = F.get(b, F.lit(0))["from"]
+                inner = lambda t: F.array_join(F.transform(b, lambda c: part(t, c["from"] - first, c["to"] - first)), mark)
+                return bound(part(text, first, F.element_at(b, -1)["to"]), inner)
+
+            return bound(F.slice(m["cuts"], k, F.lit(APPENDED)), joined_up)
+
+        starts = F.sequence(F.lit(1), F.size(m["cuts"]), F.lit(APPENDED))
+        return F.array_join(F.concat(F.transform(starts, block), F.array(part(text, m["at"], F.length(text)))), mark)
 
-    end = F.aggregate(spans, zero, cut)
-    return F.when(F.size(spans) > 0, F.concat(end["out"], F.substr(text, (end["at"] + 1).cast("int")))).otherwise(text)
+    made = bound(whole_keys(text, spans), cut)
+    return F.when(F.size(spans) > 0, bound(made, written)).otherwise(text)
