@@ -6,15 +6,15 @@ have it at the same offset. Along a text the trigger stays for a run of starts;
 distance from start to trigger, these runs are the phrases of the parse. All strings of a phrase
 share a core, and the phrase as a whole (core and what its strings reach) is its content.
 
-Phrases are grouped by core in corpus order (core, then content), which is the order of a suffix
-array cut off after a phrase:
-- equal neighbours in that order are repeated as a whole: the dictionary has the phrase twice;
-- a core with one content isn't repeated;
+Phrases meet by core:
+- equal phrases are repeated as a whole: the dictionary has the phrase twice;
+- a core that occurs once isn't repeated;
 - phrases with the same core but other contents (the ends of longer matches) are resolved
   string by string, which needs the text of their documents only.
-Sorting single suffixes of the whole corpus, one row a byte, isn't done: cores of 337 bytes and more
-leave few strings to look at. Equal phrases of some documents are combined before the shuffle. Strings are compared by
-hashes of 64 bits for core and 64 for content or string, both needed.
+The order of single suffixes, one row a byte, isn't made: cores of 337 bytes and more leave few strings to look at.
+parse_order.py has it for comparison, and the README its figures. Counts by core, content and string are combined
+before their shuffle and joined back, so that a core of very many documents is no group of one task: AQE can split
+the join. Strings are compared by hashes of 64 bits for core and 64 for content or string, both needed.
 
 Defined cases: null texts are empty; texts under 400 bytes lose nothing; an emptied text has the
 digest of nothing; repeated rows repeat each other's strings; rows with a null id are documents too.
@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, small_batches, text_bytes
@@ -156,17 +156,16 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = save(rows, "rows")
 
     more = "array<struct<rid:long,lo:long,hi:long>>"
-    parsed = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_parser, f"core long, content long, rid long, lo long, hi long, more {more}")
-    ordered = Window.partitionBy("core").orderBy("content")
-    whole_core = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before, after = F.lag("content").over(ordered), F.lead("content").over(ordered)
-    found = parsed.select(
-        "*",
-        (F.col("content").eqNullSafe(before) | F.col("content").eqNullSafe(after) | (F.size("more") > 0)).alias("repeated"),
-        (F.first("content").over(whole_core) != F.last("content").over(whole_core)).alias("mixed"),
-        (~F.col("content").eqNullSafe(before)).alias("head"),
-    )
-    found = save(found.where("repeated or mixed"), "phrases")
+    parse = lambda: texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_parser, f"core long, content long, rid long, lo long, hi long, more {more}")
+    times = F.sum(F.size("more") + 1)
+    cores = parse().groupBy("core").agg(F.min("content").alias("least"), F.max("content").alias("most"), times.alias("n")).where("n > 1")
+    cores = save(cores.select("core", (F.col("least") != F.col("most")).alias("mixed")), "cores")
+    found = save(parse().join(cores, "core"), "phrases")
+    # among cores with several contents: how often each has occurred, and one phrase that stands for it
+    same = found.where("mixed").groupBy("core", "content").agg(times.alias("n"), F.min(F.struct("rid", "lo")).alias("first"))
+    told = found.where("mixed").join(save(same, "contents"), ["core", "content"])
+    told = told.select(*found.columns, (F.col("n") > 1).alias("repeated"), (F.struct("rid", "lo") == F.col("first")).alias("head"))
+    found = found.where("not mixed").select("*", F.lit(True).alias("repeated"), F.lit(False).alias("head")).unionByName(told)
 
     sure = found.where("repeated").select(F.explode(F.concat(F.array(F.struct("rid", "lo", "hi")), "more")).alias("s")).select("s.*")
     sure = save(sure.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "sure")
@@ -179,8 +178,9 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     part = sure.join(whole, "rid", "left_anti").select("rid").union(cells.select("rid")).distinct()
     involved = save(texts.join(part, "rid", "left_semi").dropDuplicates(["rid"]), "texts")
     strings = involved.join(cells, "rid").select("rid", "text", "cells").mapInArrow(_strings, "core long, string long, rid long, at long, witness boolean")
-    twice = F.count("*").over(Window.partitionBy("core", "string"))
-    strings = strings.withColumn("n", twice).where("n > 1 and not witness")
+    strings = save(strings, "strings")
+    twice = strings.groupBy("core", "string").agg(F.count("*").alias("n"), F.bool_and("witness").alias("known")).where("n > 1 and not known").select("core", "string")
+    strings = strings.where("not witness").join(twice, ["core", "string"])
     late = strings.select("rid", F.struct(F.col("at").alias("lo"), F.col("at").alias("hi")).alias("s")).groupBy("rid").agg(F.collect_list("s").alias("starts"))
     starts = sure.join(whole, "rid", "left_anti").unionByName(late.join(whole, "rid", "left_anti"))
     starts = starts.groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
@@ -189,7 +189,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs, and whether anything of it was removed."""
     rows, whole, cut = repeated(docs)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     cut = cut.select("rid", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -197,4 +197,7 @@ def digests(docs: DataFrame) -> DataFrame:
     gone = whole.select("rid", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"))
     out = rows.join(cut.unionByName(gone), "rid", "left")
     lost = F.when(F.col("n_spans").isNull(), 0).otherwise(F.coalesce("n_removed", "n_bytes"))
-    return out.select("doc_id", "n_bytes", lost.cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "text_sha256").alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_bytes", lost.cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
+        F.coalesce("kept_sha256", "text_sha256").alias("kept_sha256"), (lost > 0).alias("has_repeats"),
+    )
