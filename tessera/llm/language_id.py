@@ -2,9 +2,9 @@
 
 Training counts n-grams of a bounded, hash-chosen sample of labelled rows (the
 bound is `max_rows_per_lang`); the log-probability matrix (buckets x
-languages, so of fixed size) is broadcast. Scoring is one narrow pass: a batch
-of documents is a sparse matrix (one hashed index per n-gram, one offset per
-document) multiplied by the matrix in numpy. No shuffle carries text.
+languages, so of fixed size) is broadcast. Scoring is one narrow pass: some documents
+of a batch are a sparse matrix (one hashed index per n-gram, one offset per
+document) multiplied by the matrix in numpy: rows of it looked up and summed by offset. No shuffle carries text.
 
 Defined cases: null, empty and letterless texts give `und` with score 0; so
 does every text if nothing could be learned. Rows with null lang or null text
@@ -28,6 +28,8 @@ BUCKETS = 1 << 15
 MAX_ROWS_PER_LANG = 20_000
 #: Characters looked at in one numpy step; longer texts go in overlapping chunks.
 CHUNK = 1 << 20
+#: Characters of a batch that are scored at once.
+STEP = 1 << 16
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -93,24 +95,53 @@ def train(labelled: DataFrame, max_rows_per_lang: int = MAX_ROWS_PER_LANG, smoot
     return [str(x) for x in langs], np.log(n / n.sum(axis=0)).astype(np.float32)
 
 
+def _added(step: list, langs: int, logp: np.ndarray):
+    """Documents of some (document, codes, overlap), and for each the sum of its n-grams' log-probabilities and their number.
+
+    All codes of the step are one array; a row of the sparse matrix is the run of n-grams that start in a document's own codes.
+    """
+    owner, parts, backs = zip(*step)
+    sizes = np.array([len(x) for x in parts])
+    stop = np.cumsum(sizes)
+    start = stop - sizes
+    codes, until = np.concatenate(parts), np.repeat(stop, sizes)
+    sums, n = np.zeros((len(codes), langs)), np.zeros(len(codes))
+    for k, x in zip(ORDERS, grams(codes)):
+        at = np.arange(len(x))
+        own = (at + k <= until[: len(x)]) & (at >= np.repeat(start + np.maximum(0, np.array(backs) - k + 1), sizes)[: len(x)])
+        sums[: len(x)] += logp[x] * own[:, None]
+        n[: len(x)] += own
+    return np.array(owner), np.add.reduceat(sums, start, axis=0), np.add.reduceat(n, start)
+
+
 def score_texts(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list[str], list[float]]:
     """The likeliest language of each text and its posterior, tempered to at most 64 n-grams of evidence."""
-    names, scores = [], []
-    for text in texts:
-        if not text or not langs or not has_letter(text):
-            names.append("und")
-            scores.append(0.0)
-            continue
-        total, n = np.zeros(len(langs)), 0
-        for x in _indices(text):
-            total += logp[x].sum(axis=0, dtype=np.float64)
-            n += len(x)
-        total = (total - total.max()) * (min(n, 64) / n)
-        post = np.exp(total)
-        best = int(np.argmax(post))
-        names.append(langs[best])
-        scores.append(float(post[best] / post.sum()))
-    return names, scores
+    total, n = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
+    step: list = []
+    held = 0
+
+    def add():
+        owner, sums, counts = _added(step, len(langs), logp)
+        np.add.at(total, owner, sums)
+        np.add.at(n, owner, counts)
+        step.clear()
+
+    for k, text in enumerate(texts):
+        if text and langs and has_letter(text):
+            for codes, back in _chunks(text):
+                step.append((k, codes, back))
+                held += len(codes)
+                if held >= STEP:
+                    add()
+                    held = 0
+    if step:
+        add()
+    if not langs:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    best = total.argmax(axis=1)
+    tempered = (total - total.max(axis=1, keepdims=True)) * (np.minimum(n, 64) / np.maximum(n, 1))[:, None]
+    score = np.where(n > 0, 1 / np.exp(tempered).sum(axis=1), 0.0)
+    return [langs[x] if m else "und" for x, m in zip(best, n)], score.tolist()
 
 
 def identify(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
