@@ -12,7 +12,7 @@ its run by its rank among pieces of its length. Ranks come from counts by
 
 Defined cases: a null text is an empty one and has the end token alone; empty
 tables give no rows; repeated rows are packed as often as they occur; ties of
-length are ranked by hash bucket, then id and piece.
+length are ranked by hash bucket (of the whole piece, so rows without an id are spread too), then id and piece.
 """
 
 from __future__ import annotations
@@ -230,7 +230,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # a length of n pieces is ranked in about sqrt(n) buckets of about sqrt(n) pieces, so no task gets all of a frequent one
     buckets = spark.createDataFrame([(n, isqrt(c) + 1) for n, c in histogram.items()], "length long, __buckets long")
     pieces = pieces.join(F.broadcast(buckets), "length")
-    pieces = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), "__buckets")).drop("__buckets")
+    pieces = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "__buckets"]), "__buckets")).drop("__buckets")
     sizes = pieces.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
