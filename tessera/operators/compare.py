@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import math
+from itertools import permutations, product
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import save
@@ -14,10 +19,9 @@ BOUND = r"^_:|^\S+\s+\S+\s+_:"
 
 
 def canonical(expected: DataFrame, actual: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides' distinct rows of `on`, lines in normal form; a blank node whose colour no other of its side has is named by it.
+    """Both sides' distinct rows of `on`, lines in normal form and blank nodes under canonical names.
 
-    Labels hold for a whole side, and graphs count in colours. Both sides are coloured together, so in the same number of rounds.
-    Nodes that stay tied keep their own labels, so what is called equal is equal.
+    Labels hold for a whole side, and graphs count in names. Both sides are coloured together, so in the same number of rounds.
     """
     if "line" not in on:
         return expected.select(*on).distinct(), actual.select(*on).distinct()
@@ -27,12 +31,10 @@ def canonical(expected: DataFrame, actual: DataFrame, on: list[str]) -> tuple[Da
     inside = lambda c: F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:"), "side", F.lit("."), F.substr(c, F.lit(3)))).otherwise(F.col(c))
     rows = sides.where(bound).join(scan(sides.where(bound).select("line").distinct()).select("line", "s", "p", "o"), "line")
     rows = save(rows.select("side", *on, "p", inside("s").alias("s"), inside("o").alias("o")), "bound")
-    nodes = colours(rows.select("s", F.concat_ws(" ", "p", *[c for c in on if c != "line"]).alias("p"), "o"))
-    single = nodes.groupBy(F.substr("node", F.lit(3), F.lit(1)).alias("side"), "colour").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
-    single = save(single.select("node", F.concat(F.lit("_:c14n"), F.hex("colour")).alias("name")), "named")
+    single = canonical_names(rows.select("s", F.concat_ws(" ", "p", *[c for c in on if c != "line"]).alias("p"), "o"))
     for end in ("s", "o"):
         rows = rows.join(single.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name")), end, "left")
-    own = lambda c: F.coalesce(f"{c}_name", F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:"), F.substr(c, F.lit(5)))).otherwise(F.col(c)))
+    own = lambda c: F.coalesce(f"{c}_name", c)
     rows = rows.withColumn("line", F.concat_ws(" ", own("s"), "p", own("o"), F.lit("."))).select("side", *on).distinct()
     made = save(sides.where(~bound).unionByName(rows), "canonical")
     return made.where("side = '0'").select(*on), made.where("side = '1'").select(*on)
@@ -79,3 +81,83 @@ def colours(triples: DataFrame) -> DataFrame:
         now = save(met.groupBy("node").agg(digest.alias("colour")), "colours")
         distinct, before = now.select("colour").distinct().count(), distinct
     return now
+
+
+#: Orders of tied nodes that are tried in one component, and lines that it may have; beyond them the job fails.
+SEARCH_LIMIT, MOST_LINES = 100_000, 100_000
+#: Copies of one component are numbered in so many parts.
+PARTS = 256
+
+
+def canonical_names(triples: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """triples (s, p, o) with nodes `_:<side>.<label>` -> node, name; names are alike on both sides where what they stand for is.
+
+    A node whose colour no other of its side has is named by it. Those that stay tied are put in order by component (nodes tied and
+    linked): of all orders within equal colours the one with the least text. Components with one text are copies of each other
+    and are numbered. A component with more orders than the limit fails the job.
+    """
+    side = F.substr("node", F.lit(3), F.lit(1))
+    nodes = save(colours(triples).withColumn("side", side), "coloured")
+    sizes = nodes.groupBy("side", "colour").agg(F.count("*").alias("n"))
+    nodes = nodes.join(sizes, ["side", "colour"])
+    single = save(nodes.where("n = 1").select("node", F.concat(F.lit("_:c14n"), F.hex("colour")).alias("name")), "named")
+    tied = save(nodes.where("n > 1").select("node", "colour"), "tied")
+    if tied.isEmpty():
+        return single
+    for end in ("s", "o"):
+        triples = triples.join(tied.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")), end, "left")
+        triples = triples.join(single.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name")), end, "left")
+    near = save(triples.where("s_colour is not null or o_colour is not null"), "near")
+    label = _components(tied.select("node"), near.where("s_colour is not null and o_colour is not null and s <> o").select("s", "o"))
+    owned = near.join(label.withColumnRenamed("node", "s"), "s", "left").join(label.select(F.col("node").alias("o"), F.col("component").alias("far")), "o", "left")
+    owned = save(owned.withColumn("component", F.coalesce("component", "far")).drop("far"), "owned")
+    over = owned.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > MOST_LINES)
+    if not over.isEmpty():
+        raise ValueError("RDF_CANONICALIZATION_SEARCH_LIMIT")
+
+    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[int, set] = {}
+        for end in ("s", "o"):
+            for node, colour in pdf.loc[pdf[f"{end}_colour"].notna(), [end, f"{end}_colour"]].itertuples(index=False):
+                groups.setdefault(int(colour), set()).add(node)
+        if math.prod(math.factorial(len(g)) for g in groups.values()) > limit:
+            raise ValueError("RDF_CANONICALIZATION_SEARCH_LIMIT")
+        rows = list(pdf[["s", "p", "o", "s_name", "o_name"]].itertuples(index=False))
+
+        def text(order):
+            place = {node: f"_:{k}" for k, node in enumerate(order)}
+            return sorted(" ".join((place.get(s, sn or s), p, place.get(o, on or o))) for s, p, o, sn, on in rows)
+
+        orders = ([n for part in parts for n in part] for parts in product(*[permutations(sorted(groups[c])) for c in sorted(groups)]))
+        least, order = min((text(o), o) for o in orders)
+        form = hashlib.sha256("\n".join([*map(str, sorted(groups)), *least]).encode()).hexdigest()[:32]
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "node": order, "form": form, "place": range(len(order))})
+
+    owned = owned.withColumns({"s_colour": F.col("s_colour").cast("decimal(20,0)"), "o_colour": F.col("o_colour").cast("decimal(20,0)")})
+    made = save(owned.groupBy("component").applyInPandas(ordered, "component string, node string, form string, place long"), "forms")
+    copies = made.select("component", "form", F.substr("component", F.lit(3), F.lit(1)).alias("side")).distinct()
+    copies = save(copies.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(PARTS))), "copies")
+    before = F.sum("n").over(Window.partitionBy("side", "form").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = copies.groupBy("side", "form", "part").agg(F.count("*").alias("n")).select("side", "form", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("side", "form", "part").orderBy("component"))
+    copies = copies.withColumn("rank", rank).join(sizes, ["side", "form", "part"]).select("component", (F.col("rank") + F.col("before")).alias("copy"))
+    more = made.join(copies, "component").select("node", F.concat(F.lit("_:c14n"), "form", F.lit("."), F.col("copy").cast("string"), F.lit("."), F.col("place").cast("string")).alias("name"))
+    return save(single.unionByName(more), "named")
+
+
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, component: the least node that is linked. As many rounds as the longest way in a component."""
+    both = save(edges.unionByName(edges.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct(), "both")
+    now = save(nodes.select("node", F.col("node").alias("component")), "component")
+    while True:
+        near = both.join(now.withColumnRenamed("node", "o"), "o").groupBy(F.col("s").alias("node")).agg(F.min("component").alias("near"))
+        new = save(now.join(near, "node", "left").select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved")), "component")
+        moved = not new.where("moved").isEmpty()
+        now = new.drop("moved")
+        if not moved:
+            return now
+
+
+def canonical_text(lines: DataFrame) -> DataFrame:
+    """line: the distinct lines of a graph in canonical form. Equal for isomorphic graphs and for no others."""
+    return canonical(lines.select("line"), lines.select("line").limit(0), ["line"])[0]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import NAMES, UUID, Names
+
 # Formats, and keys and models of a snapshot manifest.
-UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
 SHA256 = "^[0-9a-f]{64}$"
 MANIFEST = "manifestVersion string, snapshotId string, sourceIdentity string, createdAt string, cursor struct<timestamp string, rcid long>, normalizationModel string, partitionModel string, artifact struct<format string, sha256 string, bytes long, graphCount long>"
 MANIFEST_KEYS = {
@@ -14,32 +15,33 @@ MANIFEST_KEYS = {
     "$.cursor": ["timestamp", "rcid"],
     "$.artifact": ["format", "sha256", "bytes", "graphCount"],
 }
-MODELS = {"manifestVersion": "jwb-snapshot-v1", "normalizationModel": "jwb-rdf-normalization-v1", "partitionModel": "jwb-partition-v1", "artifact.format": "application/n-triples"}
+FORMAT = "application/n-triples"
 #: Reasons against a retirement that other tables give, in the order in which they are listed.
 BUSY = ["PROMOTION_INCOMPLETE", "ROLLBACK_INCOMPLETE", "LIFECYCLE_OPERATION_ACTIVE", "SYNC_ACTIVE"]
 
 
-def graph_fits(graph: Column, kind: Column, entity: Column) -> Column:
+def graph_fits(graph: Column, kind: Column, entity: Column, names: Names = NAMES) -> Column:
     """Whether kind, entity id and IRI of a graph belong together."""
-    named = lambda name: graph.eqNullSafe(F.concat(F.lit(f"urn:jwb:{name}:"), entity))
+    named = lambda name: graph.eqNullSafe(names.graph(name, entity))
     fits = (
-        F.when((kind == "GLOBAL") & entity.isNull(), graph.eqNullSafe(F.lit("urn:jwb:global")))
+        F.when((kind == "GLOBAL") & entity.isNull(), graph.eqNullSafe(names.graph("global")))
         .when((kind == "ENTITY") & entity.rlike("^[QP][1-9][0-9]*$"), named("entity"))
         .when((kind == "PROPERTY_SCHEMA") & entity.rlike("^P[1-9][0-9]*$"), named("schema"))
     )
     return F.coalesce(fits, F.lit(False))
 
 
-def manifest_valid(text: Column) -> Column:
+def manifest_valid(text: Column, names: Names = NAMES) -> Column:
     """Whether a JSON text is a snapshot manifest: exactly its keys, and values of the right form."""
     m = F.from_json(text, MANIFEST)
     keys = [F.sort_array(F.json_object_keys(F.get_json_object(text, at))) == F.array(*map(F.lit, sorted(names))) for at, names in MANIFEST_KEYS.items()]
     at = lambda path: m[path] if "." not in path else m[path.split(".")[0]][path.split(".")[1]]
+    models = {"manifestVersion": names.snapshot, "normalizationModel": names.normalization, "partitionModel": names.partition, "artifact.format": FORMAT}
     rules = [
         *keys,
-        *[at(k) == v for k, v in MODELS.items()],
+        *[at(k) == v for k, v in models.items()],
         at("snapshotId").rlike(f"(?i)^{UUID}$"),
-        (at("sourceIdentity") == "jwb-standalone") | at("sourceIdentity").rlike(f"^custom-wikibase[.]{UUID}$"),
+        (at("sourceIdentity") == names.source) | at("sourceIdentity").rlike(names.source_pattern),
         *[F.try_to_timestamp(at(k)).isNotNull() for k in ("createdAt", "cursor.timestamp")],
         at("cursor.rcid") >= 0,
         at("artifact.sha256").rlike(SHA256),
@@ -70,6 +72,7 @@ def retirement(asked: DataFrame, generations: DataFrame, pointers: DataFrame, bu
     held = busy.groupBy(*key).agg(F.collect_set("reason").alias("held"))  # of four values
     rows = asked.join(generations.select(*key, "state", "protection"), key, "left")
     rows = rows.join(pointers.select("source", "current", "previous"), "source", "left").join(held, key, "left")
+    # The reason that each protection gives.
     protections = {"ROLLBACK": "ROLLBACK_PROTECTED", "SERVING": "SERVING_PROTECTED", "PROMOTION_IN_PROGRESS": "PROMOTION_PROTECTED", "RETIREMENT_IN_PROGRESS": "RETIREMENT_IN_PROGRESS"}
     missing = [F.when(F.col("current").isNull(), "SERVING_POINTER_MISSING"), F.when(F.col("state").isNull(), "GENERATION_MISSING")]
     against = [

@@ -11,7 +11,7 @@ TRANSITIONS = {
     "LOADING": ["CATCHING_UP", "VALIDATING", "FAILED"],
     "CATCHING_UP": ["VALIDATING", "FAILED"],
     "VALIDATING": ["READY", "FAILED"],
-    "READY": ["SERVING", "RETIRING", "FAILED"],
+    "READY": ["SERVING", "FAILED"],
     "SERVING": ["RETIRING"],
     "RETIRING": ["RETIRED", "SERVING", "FAILED"],
 }
@@ -32,10 +32,15 @@ def promotable() -> Column:
 
 
 def retained(generations: DataFrame, protected: DataFrame, keep_failed: int = 1) -> DataFrame:
-    """Generations that may be removed: retired or failed, neither protected nor among the newest failed ones of their source."""
-    old = generations.where(F.col("state").isin("RETIRED", "FAILED")).join(protected, ["source", "generation"], "left_anti")
+    """Generations that may be removed: retired or failed, neither protected nor among the newest failed ones of their source.
+
+    protected (source, generation): the pointer's current and previous generation, and both of a promotion that is being
+    prepared. A protected generation may be the newest failed one; the next is then not kept for it.
+    """
+    old = generations.where(F.col("state").isin("RETIRED", "FAILED"))
     newest = F.row_number().over(Window.partitionBy("source", "state").orderBy(F.desc("created_at"), F.desc("generation")))
-    return old.withColumn("k", newest).where((F.col("state") == "RETIRED") | (F.col("k") > keep_failed)).drop("k")
+    free = old.withColumn("k", newest).where((F.col("state") == "RETIRED") | (F.col("k") > keep_failed)).drop("k")
+    return free.join(protected.distinct(), ["source", "generation"], "left_anti")
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: list[str], version: str) -> DataFrame:
@@ -49,34 +54,46 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
-def reconcile(generations: DataFrame, pointers: DataFrame) -> DataFrame:
-    """source, status of each source's serving state, by priority."""
-    per = generations.groupBy("source").agg(
+def reconcile(generations: DataFrame, pointers: DataFrame, promotions: DataFrame, health: DataFrame) -> DataFrame:
+    """source, status of each source's serving state, by priority.
+
+    pointers: source, generation, previous. promotions: source, state. health: source, generation, health.
+    """
+    held = pointers.select("source", F.col("generation").alias("pointed"), "previous")
+    seen = generations.join(held, "source", "left")
+    per = seen.groupBy("source").agg(
+        F.bool_or(F.col("generation") == F.col("pointed")).alias("known"),
         F.count_if(F.col("state") == "SERVING").alias("serving"),
-        F.count_if(F.col("state") == "READY").alias("ready"),
         F.max(F.when(F.col("state") == "SERVING", F.col("generation"))).alias("registered"),
+        F.bool_or((F.col("state") == "READY") & ~F.col("generation").eqNullSafe(F.col("previous"))).alias("ready"),
     )
-    held = pointers.select("source", F.col("generation").alias("pointed"))
-    known = generations.select("source", F.col("generation").alias("pointed"))
-    known = held.join(known, ["source", "pointed"], "left_semi").distinct().withColumn("known", F.lit(True))
-    rows = per.join(held.join(known, ["source", "pointed"], "left"), "source", "full")
+    preparing = promotions.where("state = 'PREPARING'").select("source").distinct().withColumn("preparing", F.lit(True))
+    well = health.where("health = 'healthy'").select("source", F.col("generation").alias("pointed")).distinct().withColumn("well", F.lit(True))
+    rows = held.join(per, "source", "full").join(preparing, "source", "full").join(well, ["source", "pointed"], "left")
     status = (
-        F.when(F.col("serving") > 1, "AMBIGUOUS_PROMOTION")
+        F.when(F.col("preparing"), "AMBIGUOUS_PROMOTION")
         .when(F.col("pointed").isNull(), "POINTER_MISSING")
-        .when(F.col("known").isNull(), "POINTER_TARGET_MISSING")
-        .when(F.col("serving") == 0, "SERVING_GENERATION_UNAVAILABLE")
-        .when(F.col("registered") != F.col("pointed"), "POINTER_REGISTRY_MISMATCH")
-        .when(F.col("ready") > 0, "CONSISTENT_WITH_READY_CANDIDATE")
+        .when(~F.coalesce("known", F.lit(False)), "POINTER_TARGET_MISSING")
+        .when((F.col("serving") != 1) | (F.col("registered") != F.col("pointed")), "POINTER_REGISTRY_MISMATCH")
+        .when(F.col("well").isNull(), "SERVING_GENERATION_UNAVAILABLE")
+        .when(F.col("ready"), "CONSISTENT_WITH_READY_CANDIDATE")
         .otherwise("CONSISTENT")
     )
     return rows.select("source", status.alias("status"))
 
 
 def freshness(indexed: Column, head: Column, now: Column) -> dict[str, Column]:
-    """caught_up, lag and idle in whole seconds."""
-    caught = head.isNull() | (indexed >= head)
-    seconds = lambda a, b: F.greatest(F.lit(0), F.floor(F.unix_seconds(b) - F.unix_seconds(a))).cast("long")
-    return {"caught_up": F.coalesce(caught, F.lit(False)), "lag": F.when(caught, 0).otherwise(seconds(F.coalesce(indexed, head), F.when(indexed.isNull(), now).otherwise(head))), "idle": seconds(head, now)}
+    """caught_up, lag and idle in whole seconds. indexed and head are cursors (ts, rcid) or null; a tie of ts goes by rcid."""
+    caught = head.isNull() | F.coalesce(indexed >= head, F.lit(False))
+    seconds = lambda a, b: F.greatest(F.lit(0), F.floor((F.unix_micros(b) - F.unix_micros(a)) / 1_000_000)).cast("long")
+    lag = F.when(indexed.isNull(), seconds(head["ts"], now)).otherwise(seconds(indexed["ts"], head["ts"]))
+    return {"caught_up": caught, "lag": F.when(caught, 0).otherwise(lag).cast("long"), "idle": F.when(head.isNotNull(), seconds(head["ts"], now))}
+
+
+def sync_state(state: Column, schema_state: Column, caught_up: Column) -> Column:
+    """What is told of a generation: current only if it and its schema are, and it has caught up."""
+    current = (state == "CURRENT") & (schema_state == "CURRENT") & caught_up
+    return F.when(F.coalesce(current, F.lit(False)), "CURRENT").when(state.isin("ERROR", "GAP_DETECTED"), state).otherwise("STALE")
 
 
 def health(state: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import NAMES, Names
+
 #: Classes of changes that are looked up, and states that an undelete may start from.
 LOOKED_UP = ["ENTITY_UNDELETE", "ENTITY_REDIRECT", "ENTITY_REDIRECT_REMOVED", "ENTITY_MERGE"]
 RESTORABLE = ["DELETED", "RESTORING", "CURRENT"]
@@ -55,8 +57,8 @@ def after_lifecycle(state: DataFrame, classified: DataFrame) -> DataFrame:
     )
 
 
-def without_deleted(quads: DataFrame, deleted: DataFrame) -> DataFrame:
+def without_deleted(quads: DataFrame, deleted: DataFrame, names: Names = NAMES) -> DataFrame:
     """quads (graph, ...) less the entity graphs of deleted (entity_id), and the schema graphs of deleted properties."""
-    graph = lambda kind: F.concat(F.lit(f"urn:jwb:{kind}:"), F.col("entity_id")).alias("graph")
+    graph = lambda kind: names.graph(kind, F.col("entity_id")).alias("graph")
     gone = deleted.select(graph("entity")).unionByName(deleted.where(F.col("entity_id").startswith("P")).select(graph("schema")))
     return quads.join(gone, "graph", "left_anti")

@@ -36,12 +36,12 @@ def provenance(triples: DataFrame, full_dump: bool = True) -> DataFrame:
 
 
 def decimal(lex: Column) -> Column:
-    """The canonical form of a decimal: no plus, leading zeros, trailing fraction zeros or negative zero."""
+    """The canonical form of a decimal: no plus, leading zeros, trailing fraction zeros or negative zero. What isn't digits with a sign or fraction stays."""
     x = F.regexp_replace(lex, r"^\+", "")
     x = F.regexp_replace(x, r"^(-?)0+(?=[0-9])", "$1")
     x = F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1")
     x = F.regexp_replace(x, r"\.$", "")
-    return F.when(x.isin("-0", "", "-"), "0").otherwise(x)
+    return F.when(~lex.rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?$"), lex).when(x == "-0", "0").otherwise(x)
 
 
 def line_form(line: Column) -> Column:
@@ -55,19 +55,25 @@ def line_form(line: Column) -> Column:
     return F.when(line.rlike(pattern), F.concat(head, F.lit('"'), decimal(lex), F.lit('"'), datatype, tail)).otherwise(line)
 
 
-def triple_class(s: Column, p: Column) -> Column:
-    return (
-        F.when(s.contains("/entity/statement/"), "statement")
-        .when(s.contains("/reference/"), "reference")
-        .when(s.contains("/value/"), "value")
-        .when(p.contains("/prop/qualifier/"), "qualifier")
-        .when(p.contains("/prop/direct/"), "direct-claim")
-        .when(p.contains("#label"), "label")
-        .when(p.contains("/description"), "description")
-        .when(p.contains("#altLabel"), "alias")
-        .when(s.contains("EntityData") | s.contains("/entity/"), "entity-metadata")
-        .otherwise("other")
-    )
+#: What a line of each class contains anywhere; the first that it contains decides.
+CLASSES = {
+    "statement": "/entity/statement/",
+    "reference": "/reference/",
+    "value": "/value/",
+    "qualifier": "/prop/qualifier/",
+    "direct-claim": "/prop/direct/",
+    "label": "rdf-schema#label",
+    "description": "schema.org/description",
+    "alias": "skos/core#altLabel",
+    "entity-metadata": "Special:EntityData",
+}
+
+
+def triple_class(line: Column) -> Column:
+    found = F.lit("other")
+    for name, part in reversed(CLASSES.items()):
+        found = F.when(line.contains(part), name).otherwise(found)
+    return found
 
 
 def checksum(lines: Column) -> Column:

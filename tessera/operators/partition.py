@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import NAMES, Names, checked_entity
 from ..sources.store import save
 
 FOLLOWED = "/(entity/statement|value|reference)/"
@@ -30,20 +31,39 @@ def entities(triples: DataFrame) -> DataFrame:
     return triples.select(found.alias("entity_id")).where("entity_id <> ''").distinct()
 
 
-def partition(triples: DataFrame) -> DataFrame:
+def partition(triples: DataFrame, names: Names = NAMES) -> DataFrame:
     """triples (line, s, p, o, o_kind) -> graph, partition_kind, line. A line that several entities reach is in each of their graphs."""
     owner = F.regexp_extract("s", ROOT, 1)
     roots = triples.select(owner.alias("owner"), F.col("s").alias("node")).where("owner <> ''").join(entities(triples), F.col("owner") == F.col("entity_id"), "left_semi")
     followed = triples.where((F.col("o_kind") != "literal") & F.col("o").rlike(FOLLOWED)).select("s", "o")
-    owned = _closure(followed, roots)
-    entity = owned.join(triples, owned["node"] == triples["s"]).select(F.concat(F.lit("urn:jwb:entity:"), "owner").alias("graph"), F.lit("ENTITY").alias("partition_kind"), "line")
+    owned = _closure(save(followed, "arcs"), roots)
+    lines = triples.select("s", "line")
+    entity = owned.join(lines, owned["node"] == lines["s"]).select(names.graph("entity", checked_entity(F.col("owner"))).alias("graph"), F.lit("ENTITY").alias("partition_kind"), "line")
 
     properties = triples.select(F.regexp_extract("s", r"/entity/(P[1-9][0-9]*)>$", 1).alias("owner"), "o", "o_kind").where("owner <> '' and o_kind = 'iri'")
     seeds = properties.where(~F.col("o").rlike(FOLLOWED)).select("owner", F.col("o").alias("node")).join(triples.select(F.col("s").alias("node")), "node", "left_semi")
     blanks = triples.where("o_kind = 'bnode'").select("s", "o")
-    schema_nodes = _closure(blanks, seeds.select("owner", "node"))
-    schema = schema_nodes.join(triples, schema_nodes["node"] == triples["s"]).select(F.concat(F.lit("urn:jwb:schema:"), "owner").alias("graph"), F.lit("PROPERTY_SCHEMA").alias("partition_kind"), "line")
+    schema_nodes = _closure(save(blanks, "arcs"), seeds.select("owner", "node"))
+    schema = schema_nodes.join(lines, schema_nodes["node"] == lines["s"]).select(names.graph("schema", checked_entity(F.col("owner"), "^P[1-9][0-9]*$")).alias("graph"), F.lit("PROPERTY_SCHEMA").alias("partition_kind"), "line")
 
     assigned = entity.unionByName(schema).distinct()
-    rest = triples.join(assigned.select("line").distinct(), "line", "left_anti").select(F.lit("urn:jwb:global").alias("graph"), F.lit("GLOBAL").alias("partition_kind"), "line")
+    rest = triples.join(assigned.select("line").distinct(), "line", "left_anti").select(names.graph("global").alias("graph"), F.lit("GLOBAL").alias("partition_kind"), "line")
     return assigned.unionByName(rest.distinct())
+
+
+def entity_partition(triples: DataFrame, entity: str, names: Names = NAMES) -> DataFrame:
+    """The partition of one entity's response; a response without lines of the entity fails."""
+    made = partition(triples, names)
+    own = made.where(F.col("graph") == names.graph("entity", F.lit(entity)))
+    if own.isEmpty():
+        raise ValueError(f"no lines of {entity}")
+    return made
+
+
+def closure_of(triples: DataFrame, ids: DataFrame, base: str) -> DataFrame:
+    """Distinct lines of the entities in ids (id) and of what they reach over IRI objects."""
+    named = lambda kind: F.concat(F.lit(f"<{base}/{kind}/"), "id", F.lit(">")).alias("node")
+    roots = ids.select(named("entity")).unionByName(ids.select(named("wiki/Special:EntityData"))).select(F.lit("all").alias("owner"), "node")
+    followed = triples.where((F.col("o_kind") == "iri") & F.col("o").rlike(FOLLOWED)).select("s", "o")
+    reached = _closure(save(followed, "arcs"), roots).select(F.col("node").alias("s"))
+    return triples.join(reached, "s", "left_semi").select("line").distinct()

@@ -1,15 +1,33 @@
 """Read-only graph patterns over the union of a generation's graphs, as DataFrame calls.
 
-A pattern is (s, p, o) where a string that starts with `?` is a variable. There is no query text and no planner: joins go to Catalyst.
+A pattern is (s, p, o) where a string that starts with `?` is a variable, and `a` as predicate is rdf:type. There is no query
+text and no planner: joins go to Catalyst. A FILTER is a condition on the bindings: select(...).where(...), with lexical() of a term.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
+
+
+def literal(lex: str, lang: str | None = None, datatype: str | None = None) -> str:
+    """The term of a plain, tagged or typed literal."""
+    escaped = lex.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r")
+    return f'"{escaped}"' + (f"@{lang}" if lang else f"^^<{datatype}>" if datatype else "")
+
+
+def lexical(term: Column) -> Column:
+    """STR(): what stands between the quotes of a literal, or the brackets of an IRI."""
+    return F.when(term.startswith("<"), F.regexp_extract(term, "^<(.*)>$", 1)).otherwise(F.regexp_extract(term, r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?$', 1))
+
+
+def language(term: Column) -> Column:
+    return F.regexp_extract(term, '"@([A-Za-z0-9-]+)$', 1)
+
 
 def union_of(dataset: DataFrame, graphs: list[str] | None = None) -> DataFrame:
     """The logical dataset: distinct triples of the named graphs, or of all."""
@@ -20,6 +38,7 @@ def union_of(dataset: DataFrame, graphs: list[str] | None = None) -> DataFrame:
 def match(triples: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
     """Bindings of one pattern."""
     rows, bound = triples, {}
+    pattern = (pattern[0], TYPE if pattern[1] == "a" else pattern[1], pattern[2])
     for column, term in zip(("s", "p", "o"), pattern):
         if not term.startswith("?"):
             rows = rows.where(F.col(column) == term)
@@ -46,6 +65,11 @@ def ask(triples: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
     return select(triples, patterns).limit(1).agg((F.count("*") > 0).alias("answer"))
 
 
+def suite(triples: DataFrame, checks: dict[str, list[tuple[str, str, str]]]) -> DataFrame:
+    """name, answer of each check: whether its patterns have a binding."""
+    return reduce(DataFrame.unionByName, [ask(triples, p).select(F.lit(name).alias("name"), "answer") for name, p in checks.items()])
+
+
 def construct(bindings: DataFrame, template: list[tuple[str, str, str]]) -> DataFrame:
     term = lambda t: F.col(t[1:]) if t.startswith("?") else F.lit(t)
     parts = [bindings.select(*[term(t).alias(c) for c, t in zip(("s", "p", "o"), row)]) for row in template]

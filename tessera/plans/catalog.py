@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, compare, contracts, control, lifecycle, normalize, partition, patterns
+from ..functions.names import NAMES
+from ..operators import changes, compare, contracts, control, inventory, lifecycle, normalize, partition, patterns, registry, sync
 from ..sources import triples as T
 from ..sources.store import save, table
 
@@ -40,10 +41,10 @@ chain as (
   union select owner, o from chain join kept on s = node where o like '\\_:%' escape '\\'
 ),
 assigned as (
-  select distinct 'urn:jwb:entity:' || owner as graph, 'ENTITY' as partition_kind, line, s, p, o from owned join kept on s = node
-  union all select distinct 'urn:jwb:schema:' || owner, 'PROPERTY_SCHEMA', line, s, p, o from chain join kept on s = node
+  select distinct 'urn:kg:entity:' || owner as graph, 'ENTITY' as partition_kind, line, s, p, o from owned join kept on s = node
+  union all select distinct 'urn:kg:schema:' || owner, 'PROPERTY_SCHEMA', line, s, p, o from chain join kept on s = node
 ),
-graphs as (select * from assigned union all select 'urn:jwb:global', 'GLOBAL', line, s, p, o from kept where line not in (select line from assigned))
+graphs as (select * from assigned union all select 'urn:kg:global', 'GLOBAL', line, s, p, o from kept where line not in (select line from assigned))
 """
 
 
@@ -84,12 +85,12 @@ def nt_normalize_lines(spark, sf_dir):
     return kept_triples(spark, sf_dir).select(normalize.line_form(F.col("line")).alias("line")).distinct()
 
 
-CLASS = "case when s like '%/entity/statement/%' then 'statement' when s like '%/reference/%' then 'reference' when s like '%/value/%' then 'value' when p like '%/prop/qualifier/%' then 'qualifier' when p like '%/prop/direct/%' then 'direct-claim' when p like '%#label%' then 'label' when p like '%/description%' then 'description' when p like '%#altLabel%' then 'alias' when s like '%EntityData%' or s like '%/entity/%' then 'entity-metadata' else 'other' end"
+CLASS = "case when line like '%/entity/statement/%' then 'statement' when line like '%/reference/%' then 'reference' when line like '%/value/%' then 'value' when line like '%/prop/qualifier/%' then 'qualifier' when line like '%/prop/direct/%' then 'direct-claim' when line like '%rdf-schema#label%' then 'label' when line like '%schema.org/description%' then 'description' when line like '%skos/core#altLabel%' then 'alias' when line like '%Special:EntityData%' then 'entity-metadata' else 'other' end"
 
 
 @query(f"{KEPT} select {CLASS} as class, count(*) as n from kept group by 1")
 def triple_class_counts(spark, sf_dir):
-    return kept_triples(spark, sf_dir).groupBy(normalize.triple_class(F.col("s"), F.col("p")).alias("class")).agg(F.count("*").alias("n"))
+    return kept_triples(spark, sf_dir).groupBy(normalize.triple_class(F.col("line")).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query(f"{GRAPHS} select graph, partition_kind, line from graphs")
@@ -112,11 +113,16 @@ def nquads_export(spark, sf_dir):
     return dataset(spark, sf_dir).select(T.quad_line(F.col("line"), F.col("graph")).alias("quad"))
 
 
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph, o of all version triples."""
+    parts = F.split("line", " ", 3)
+    rows = dataset(spark, sf_dir).where(F.contains("line", F.lit(" <http://schema.org/version> ")))
+    return rows.where(F.get(parts, F.lit(1)) == "<http://schema.org/version>").select("graph", F.regexp_replace(F.get(parts, F.lit(2)), T.STOP, "").alias("o"))
+
+
 @query(f"{GRAPHS} select graph, count(distinct o) as versions, max(regexp_extract(o, '\"([0-9]+)\"', 1)::bigint) as revision from graphs where p = '<http://schema.org/version>' group by 1")
 def entity_revision(spark, sf_dir):
-    rows = T.scan(dataset(spark, sf_dir).where(F.col("line").contains("<http://schema.org/version>")).select("line", "graph").dropDuplicates())
-    lines = dataset(spark, sf_dir).select("graph", "line")
-    found = rows.where(F.col("p") == "<http://schema.org/version>").dropDuplicates(["line"]).join(lines, "line")
+    found = versions(spark, sf_dir)
     return found.groupBy("graph").agg(F.count_distinct("o").alias("versions"), F.max(F.regexp_extract("o", r'"([0-9]+)"', 1).cast("long")).alias("revision"))
 
 
@@ -285,22 +291,45 @@ def latest_generation(spark, sf_dir):
     return control.latest(generations(spark, sf_dir).select("source", "generation", "created_at"), ["source"], ["created_at", "generation"])
 
 
-@query(f"with g as ({GENERATIONS}), p as {POINTERS} select source, generation, state from (select g.*, row_number() over (partition by source, state order by created_at desc, generation desc) as k from g where state in ('RETIRED', 'FAILED') and (source, generation) not in (select (source, generation) from p)) where state = 'RETIRED' or k > 1")
-def retention_select(spark, sf_dir):
-    rows = generations(spark, sf_dir)
-    return control.retained(rows, pointers(rows)).select("source", "generation", "state")
+# Inputs in SQL that Spark and DuckDB both run: a pointer of each source but s1, with a target that is missing for s2; few sources prepare a promotion.
+HELD = "select source, max(case when state = 'SERVING' then generation end) + case when source = 's2' then 1 else 0 end as generation, min(case when state = 'READY' then generation end) as previous from g where source <> 's1' group by source"
+PROMOTIONS = "select source, max(generation) as from_generation, min(generation) as to_generation, case when source in ('s3', 's4') then 'PREPARING' else 'FINALIZED' end as state from g group by source"
+#: All sources have many that serve; this keeps one, so that every status comes up.
+ALONE = "select source, generation, case when state = 'SERVING' and generation < (max(case when state = 'SERVING' then generation end) over (partition by source)) and source <> 's5' then 'RETIRED' when state = 'READY' and source in ('s6', 's7', 's8') then 'FAILED' else state end as state from g"
+HEALTH = "select source, generation, case when source = 's9' then 'unhealthy' else 'healthy' end as health from g"
 
 
-@query(f"""with g as ({GENERATIONS}), p as {POINTERS}, per as (select source, count(*) filter (where state = 'SERVING') as serving, count(*) filter (where state = 'READY') as ready, max(case when state = 'SERVING' then generation end) as registered, list(generation) as known from g group by 1)
-select coalesce(per.source, p.source) as source, case when serving > 1 then 'AMBIGUOUS_PROMOTION' when p.generation is null then 'POINTER_MISSING' when not list_contains(known, p.generation) then 'POINTER_TARGET_MISSING' when serving = 0 then 'SERVING_GENERATION_UNAVAILABLE' when registered <> p.generation then 'POINTER_REGISTRY_MISMATCH' when ready > 0 then 'CONSISTENT_WITH_READY_CANDIDATE' else 'CONSISTENT' end as status from per full join p on per.source = p.source""")
-def serving_reconcile(spark, sf_dir):
+def asked(spark: SparkSession, sql: str, rows: DataFrame) -> DataFrame:
+    return spark.sql(sql.replace("from g", "from {g}"), g=rows)
+
+
+@query(f"""with g as ({GENERATIONS}), p as ({HELD}), m as ({PROMOTIONS}), kept as (select source, generation from p union select source, previous from p where previous is not null union select source, from_generation from m where state = 'PREPARING' union select source, to_generation from m where state = 'PREPARING'
+union select source, generation from (select g.*, row_number() over (partition by source order by created_at desc, generation desc) as k from g where state = 'FAILED') where k = 1)
+select source, generation, state from g where state in ('RETIRED', 'FAILED') and not exists (select 1 from kept where kept.source = g.source and kept.generation = g.generation)""")
+def retention_select(spark, sf_dir):
     rows = generations(spark, sf_dir)
-    return control.reconcile(rows, pointers(rows))
+    held, moving = asked(spark, HELD, rows), asked(spark, PROMOTIONS, rows).where("state = 'PREPARING'")
+    pair = lambda df, c: df.select("source", F.col(c).alias("generation"))
+    protected = pair(held, "generation").unionByName(pair(held, "previous")).unionByName(pair(moving, "from_generation")).unionByName(pair(moving, "to_generation"))
+    return control.retained(rows, protected).select("source", "generation", "state")
+
+
+@query(f"""with g0 as ({GENERATIONS}), g as ({ALONE.replace("from g", "from g0")}), p as ({HELD}), m as ({PROMOTIONS}), h as ({HEALTH})
+select s.source, case when exists (select 1 from m where m.source = s.source and m.state = 'PREPARING') then 'AMBIGUOUS_PROMOTION' when p.generation is null then 'POINTER_MISSING'
+when not exists (select 1 from g where g.source = s.source and g.generation = p.generation) then 'POINTER_TARGET_MISSING'
+when (select list(g.generation order by g.generation) from g where g.source = s.source and g.state = 'SERVING') is distinct from [p.generation] then 'POINTER_REGISTRY_MISMATCH'
+when not exists (select 1 from h where h.source = s.source and h.generation = p.generation and h.health = 'healthy') then 'SERVING_GENERATION_UNAVAILABLE'
+when exists (select 1 from g where g.source = s.source and g.state = 'READY' and g.generation is distinct from p.previous) then 'CONSISTENT_WITH_READY_CANDIDATE' else 'CONSISTENT' end as status
+from (select distinct source from g) s left join p on p.source = s.source""")
+def serving_reconcile(spark, sf_dir):
+    rows = asked(spark, ALONE, generations(spark, sf_dir))
+    return control.reconcile(rows, *[asked(spark, x, rows) for x in (HELD, PROMOTIONS, HEALTH)])
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def no_rows_antijoin(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order that is being processed."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
 
 
@@ -313,12 +342,18 @@ def upsert_latest(spark, sf_dir):
 NOW = "2030-01-01 00:00:00"
 
 
-@query(f"select user_id, max(ts) filter (where event_id % 3 = 0) >= max(ts) as caught_up, case when max(ts) filter (where event_id % 3 = 0) >= max(ts) then 0 else (epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', coalesce(max(ts) filter (where event_id % 3 = 0), max(ts)))))::bigint end as lag from events group by 1 having max(ts) filter (where event_id % 3 = 0) is not null")
+# The head of a user is the last event; indexed is the last of every third, or of those of another id within the second, or never.
+CURSORS = """select user_id, max(struct_pack(ts := date_trunc('second', ts), rcid := event_id)) as head, max(struct_pack(ts := date_trunc('second', ts), rcid := event_id)) filter (where event_id % 3 = 0 and user_id % 5 <> 0) as indexed from events group by 1"""
+
+
+@query(f"""select user_id, coalesce(indexed >= head, false) as caught_up, case when coalesce(indexed >= head, false) then 0 when indexed is null then (epoch(timestamp '{NOW}') - epoch(head.ts))::bigint else (epoch(head.ts) - epoch(indexed.ts))::bigint end as lag,
+(epoch(timestamp '{NOW}') - epoch(head.ts))::bigint as idle from ({CURSORS})""")
 def freshness(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    heads = rows.groupBy("user_id").agg(F.max("ts").alias("head"), F.max(F.when(F.col("event_id") % 3 == 0, F.col("ts"))).alias("indexed")).where("indexed is not null")
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    cursor = F.struct("ts", F.col("event_id").alias("rcid"))
+    heads = rows.groupBy("user_id").agg(F.max(cursor).alias("head"), F.max(F.when((F.col("event_id") % 3 == 0) & (F.col("user_id") % 5 != 0), cursor)).alias("indexed"))
     made = control.freshness(F.col("indexed"), F.col("head"), F.lit(NOW).cast("timestamp"))
-    return heads.select("user_id", made["caught_up"].alias("caught_up"), made["lag"].cast("long").alias("lag"))
+    return heads.select("user_id", *[made[c].alias(c) for c in ("caught_up", "lag", "idle")])
 
 
 # ---- lifecycle and contracts ---------------------------------------------------------------------------------------
@@ -360,7 +395,7 @@ def lifecycle_tombstones(spark, sf_dir):
 GONE = "select concat('Q', 1000001 + n_nationkey) as entity_id from nation where n_nationkey % 3 = 0 union all select concat('P', r_regionkey) from region"
 
 
-@query(f"{GRAPHS} select graph, line from graphs where not exists (select 1 from ({GONE}) d where graph = concat('urn:jwb:entity:', entity_id) or graph = concat('urn:jwb:schema:', entity_id) and entity_id like 'P%')")
+@query(f"{GRAPHS} select graph, line from graphs where not exists (select 1 from ({GONE}) d where graph = concat('urn:kg:entity:', entity_id) or graph = concat('urn:kg:schema:', entity_id) and entity_id like 'P%')")
 def graphs_after_delete(spark, sf_dir):
     gone = spark.sql(GONE.replace("from nation", "from {nation}").replace("from region", "from {region}"), nation=table(spark, sf_dir, "nation"), region=table(spark, sf_dir, "region"))
     return lifecycle.without_deleted(dataset(spark, sf_dir).select("graph", "line"), gone)
@@ -368,20 +403,20 @@ def graphs_after_delete(spark, sf_dir):
 
 DESCRIPTORS = """select p_partkey as id, case p_partkey % 4 when 0 then 'ENTITY' when 1 then 'PROPERTY_SCHEMA' when 2 then 'GLOBAL' else 'OTHER' end as kind,
   case when p_partkey % 4 = 2 then case when p_size > 40 then 'Q1' end else concat(case when p_size % 2 = 0 then 'Q' else 'P' end, case when p_size % 5 = 0 then '0' else '' end, p_size) end as entity_id,
-  case when p_partkey % 4 = 2 then 'urn:jwb:global' else concat('urn:jwb:', case when p_partkey % 8 = 1 then 'entity' when p_partkey % 4 = 1 then 'schema' else 'entity' end, ':', case when p_size % 2 = 0 then 'Q' else 'P' end, case when p_size % 5 = 0 then '0' else '' end, p_size) end as graph from part"""
+  case when p_partkey % 4 = 2 then 'urn:kg:global' else concat('urn:kg:', case when p_partkey % 8 = 1 then 'entity' when p_partkey % 4 = 1 then 'schema' else 'entity' end, ':', case when p_size % 2 = 0 then 'Q' else 'P' end, case when p_size % 5 = 0 then '0' else '' end, p_size) end as graph from part"""
 
 
-@query(f"""select id from ({DESCRIPTORS}) where not coalesce(case when kind = 'GLOBAL' and entity_id is null then graph = 'urn:jwb:global' when kind = 'ENTITY' and regexp_full_match(entity_id, '[QP][1-9][0-9]*') then graph = 'urn:jwb:entity:' || entity_id
-when kind = 'PROPERTY_SCHEMA' and regexp_full_match(entity_id, 'P[1-9][0-9]*') then graph = 'urn:jwb:schema:' || entity_id end, false)""")
+@query(f"""select id from ({DESCRIPTORS}) where not coalesce(case when kind = 'GLOBAL' and entity_id is null then graph = 'urn:kg:global' when kind = 'ENTITY' and regexp_full_match(entity_id, '[QP][1-9][0-9]*') then graph = 'urn:kg:entity:' || entity_id
+when kind = 'PROPERTY_SCHEMA' and regexp_full_match(entity_id, 'P[1-9][0-9]*') then graph = 'urn:kg:schema:' || entity_id end, false)""")
 def graph_descriptor_faults(spark, sf_dir):
     rows = spark.sql(DESCRIPTORS.replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
     return rows.where(~contracts.graph_fits(F.col("graph"), F.col("kind"), F.col("entity_id"))).select("id")
 
 
 # One JSON text per order, written by hand so that both engines see the same; each rule is broken in some of them.
-MANIFESTS = """select o_orderkey as id, concat('{"manifestVersion":"jwb-snapshot-v', case when o_orderkey % 23 = 0 then '2' else '1' end, '","snapshotId":"0b0e8a5c-1111-', case when o_orderkey % 19 = 0 then '9' else '4' end,
-  '111-8111-0123456789ab","sourceIdentity":"', case when o_orderkey % 17 = 0 then 'x' else 'jwb-standalone' end, '","createdAt":"2024-01-0', case when o_orderkey % 13 = 0 then '0' else '1' end,
-  'T00:00:00Z","cursor":{"timestamp":"2024-01-01T00:00:00Z","rcid":', o_custkey - 9, '},"normalizationModel":"jwb-rdf-normalization-v1","partitionModel":"jwb-partition-v1","artifact":{"format":"application/n-triples","sha256":"',
+MANIFESTS = """select o_orderkey as id, concat('{"manifestVersion":"snapshot-v', case when o_orderkey % 23 = 0 then '2' else '1' end, '","snapshotId":"0b0e8a5c-1111-', case when o_orderkey % 19 = 0 then '9' else '4' end,
+  '111-8111-0123456789ab","sourceIdentity":"', case when o_orderkey % 17 = 0 then 'x' else 'standalone' end, '","createdAt":"2024-01-0', case when o_orderkey % 13 = 0 then '0' else '1' end,
+  'T00:00:00Z","cursor":{"timestamp":"2024-01-01T00:00:00Z","rcid":', o_custkey - 9, '},"normalizationModel":"normalization-v1","partitionModel":"partition-v1","artifact":{"format":"application/n-triples","sha256":"',
   repeat('a', case when o_orderkey % 11 = 0 then 63 else 64 end), '","bytes":10,"graphCount":', o_orderkey % 7, '}', case when o_orderkey % 29 = 0 then ',"more":1' else '' end, '}') as manifest from orders"""
 
 
@@ -428,3 +463,278 @@ def visibility_histogram(spark, sf_dir):
     number = F.col("event_id")
     seen = contracts.visibility(F.col("event_type") == "error", number % 5 != 0, number % 7 != 0, number % 2, F.lit(0))
     return table(spark, sf_dir, "events").groupBy(seen.alias("visibility")).agg(F.count("*").alias("n"))
+
+
+# ---- inventory -----------------------------------------------------------------------------------------------------
+SUBJECT = "case when s like '%/entity/Q%' then 'ENTITY' when s like '%/wiki/Special:EntityData/%' then 'ENTITY_DOCUMENT' when s like '\\_:%' escape '\\' then 'BLANK_NODE' when s like '%/value/%' then 'VALUE' when s like '%/reference/%' then 'REFERENCE' when s like '%/entity/statement/%' then 'STATEMENT' else 'OTHER' end"
+OBJECT = "case when o like '\\_:%' escape '\\' then 'BLANK_NODE' when o like '<%' then 'IRI' else 'LITERAL' end"
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.scan(T.bridge(spark, sf_dir))
+
+
+@query(f"{LINES} select {SUBJECT} as subject, p as predicate, {OBJECT} as object, count(*) as n from lines group by 1, 2, 3")
+def inventory_categories(spark, sf_dir):
+    rows = scanned(spark, sf_dir).select(inventory.subject_category(F.col("s")).alias("subject"), F.col("p").alias("predicate"), inventory.object_category(F.col("o")).alias("object"))
+    return inventory.summary(rows, "subject", "predicate", "object")
+
+
+@query(f"""{LINES} select case when s like '%/wiki/Special:EntityData/%' then 'entity-export' when s = '{normalize.DUMP}' then 'dump-export' when s like '%/entity/%' then 'entity' else 'other' end as subject_type,
+case when s = '{normalize.DUMP}' then 'export-provenance' when s like '%/wiki/Special:EntityData/%' and p = '<http://schema.org/softwareVersion>' then 'entity-export-provenance' else 'unclassified' end as semantic,
+case when s = '{normalize.DUMP}' or s like '%/wiki/Special:EntityData/%' and p = '<http://schema.org/softwareVersion>' then 'MOVE_TO_GENERATION_MANIFEST' else 'REJECT_UNKNOWN' end as treatment, count(*) as n from lines group by 1, 2, 3""")
+def inventory_treatment(spark, sf_dir):
+    s, p = F.col("s"), F.col("p")
+    rows = scanned(spark, sf_dir).select(inventory.subject_type(s).alias("subject_type"), inventory.treatment(s, p).alias("t")).select("subject_type", "t.*")
+    return inventory.summary(rows, "subject_type", "semantic", "treatment")
+
+
+@query(f"{LINES} select distinct p as predicate, o as value from lines where s = '{normalize.DUMP}' or (s like '%/wiki/Special:EntityData/%' and p = '<http://schema.org/softwareVersion>')")
+def manifest_values(spark, sf_dir):
+    return inventory.manifest_values(normalize.provenance(scanned(spark, sf_dir)))
+
+
+NEEDLES = ["<http://wikiba.se/ontology#directClaim>", "/prop/qualifier/", "/prop/none/", '"@en', '"@ja']
+
+
+@query(f"{LINES} select needle from (select unnest({NEEDLES!r}) as needle) n where not exists (select 1 from lines where contains(line, needle))")
+def semantic_presence(spark, sf_dir):
+    return inventory.missing(T.bridge(spark, sf_dir), NEEDLES)
+
+
+@query(f"{LINES} select line from lines where line not like '%creativecommons.org/ns#license%' and line not like '%schema.org/softwareVersion%'")
+def nt_strip_metadata(spark, sf_dir):
+    return inventory.without_serialisation(T.bridge(spark, sf_dir))
+
+
+@query(f"{LINES} select line_ as line, count(*) as n from (select case when p = '<http://wikiba.se/ontology#quantityAmount>' then replace(replace(line, '\"+', '\"'), '.500\"', '.5\"') else line end as line_ from lines) group by 1")
+def nt_normalize_older(spark, sf_dir):
+    return T.bridge(spark, sf_dir).groupBy(inventory.older_line_form(F.col("line")).alias("line")).agg(F.count("*").alias("n"))
+
+
+@query(f"{GRAPHS} select direction, {CLASS} as class, count(*) as n from (select 'canonicalOnly' as direction, graph, line from (select graph, line from graphs except select graph, line from {SECOND}) union all select 'generationOnly', graph, line from (select graph, line from {SECOND} except select graph, line from graphs)) group by 1, 2")
+def diff_summary(spark, sf_dir):
+    first = save(dataset(spark, sf_dir).select("graph", "line"), "first")
+    return inventory.diff_summary(compare.diff(first, _second(first), ["graph", "line"]))
+
+
+@query(f"{KEPT} select count(*) as missing, 0::bigint as extra from kept where false")
+def relabelled_diff(spark, sf_dir):
+    """Blank nodes under other labels, two of them tied: no difference."""
+    rows = kept_triples(spark, sf_dir).select("line")
+    more = spark.createDataFrame([(f"_:{x} <http://b/tied> _:{y} .",) for x, y in ("uv", "vu", "wx", "xw")], "line string")
+    one = save(rows.unionByName(more), "one")
+    two = one.select(F.regexp_replace("line", "_:([a-z])", "_:other$1").alias("line"))
+    found = compare.diff(one, two, ["line"])
+    return found.agg(F.count_if(F.col("direction") == "canonicalOnly").alias("missing"), F.count_if(F.col("direction") == "generationOnly").alias("extra"))
+
+
+@query(f"""{KEPT.replace("with ", "with recursive ", 1)}, ids as (select concat('Q', 1000000 + c_custkey) as id from customer where c_nationkey = 3),
+reached as (select '<http://b/entity/' || id || '>' as node from ids union select '<http://b/wiki/Special:EntityData/' || id || '>' from ids union select o from reached join kept on s = node where o like '<%' and regexp_matches(o, '/(entity/statement|value|reference)/'))
+select distinct line from kept where s in (select node from reached)""")
+def entity_closure(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.concat(F.lit("Q"), (F.col("c_custkey") + 1000000).cast("string")).alias("id"))
+    return partition.closure_of(save(kept_triples(spark, sf_dir), "kept"), ids, "http://b")
+
+
+@query(f"{LINES} select sum(strlen(line) + 1)::bigint as bytes, count(*) as triples from lines")
+def snapshot_metrics(spark, sf_dir):
+    return registry.snapshot_metrics(T.bridge(spark, sf_dir))
+
+
+# ---- more patterns -------------------------------------------------------------------------------------------------
+@query(f"{KEPT} select a.s as item, regexp_extract(a.o, '^\"(.*)\"@en$', 1) as label from kept a join kept b on a.s = b.s where a.p = '{LABEL}' and b.p = '{patterns.TYPE}' and b.o = '<http://wikiba.se/ontology#Item>' and a.o like '%7\"@en'")
+def pattern_filter(spark, sf_dir):
+    """Items (`a`), with a FILTER on the language and the end of their labels."""
+    bound = patterns.select(kept_triples(spark, sf_dir), [("?item", "a", "<http://wikiba.se/ontology#Item>"), ("?item", LABEL, "?label")])
+    bound = bound.where((patterns.language(F.col("label")) == "en") & patterns.lexical(F.col("label")).endswith("7"))
+    return bound.select("item", patterns.lexical(F.col("label")).alias("label"))
+
+
+SUITE = {
+    "item": [("<http://b/entity/Q1000001>", "a", "<http://wikiba.se/ontology#Item>")],
+    "property": [("<http://b/entity/P1>", "a", "<http://wikiba.se/ontology#Property>")],
+    "label": [("?item", LABEL, patterns.literal("ALGERIA", "en"))],
+    "plain": [("?item", LABEL, patterns.literal("ALGERIA"))],
+    "typed": [("?doc", "<http://schema.org/version>", patterns.literal("7", datatype="http://www.w3.org/2001/XMLSchema#integer"))],
+    "statement": [("?item", "<http://b/prop/P4>", "?statement"), ("?statement", "<http://b/prop/statement/P4>", patterns.literal("F"))],
+    "qualifier": [("?statement", "<http://b/prop/qualifier/value/P5>", "?value"), ("?value", "<http://wikiba.se/ontology#quantityAmount>", "?amount")],
+    "reference": [("?statement", "<http://www.w3.org/ns/prov#wasDerivedFrom>", "?ref"), ("?ref", "<http://b/prop/reference/P6>", patterns.literal("1-URGENT"))],
+    "nothing": [("?item", "<http://b/prop/P99>", "?x")],
+}
+
+
+@query(f"""{KEPT} select name, answer from (select 'item' as name, bool_or(s = '<http://b/entity/Q1000001>' and p = '{patterns.TYPE}' and o = '<http://wikiba.se/ontology#Item>') as answer from kept
+union all select 'property', bool_or(s = '<http://b/entity/P1>' and p = '{patterns.TYPE}' and o = '<http://wikiba.se/ontology#Property>') from kept
+union all select 'label', bool_or(p = '{LABEL}' and o = '\"ALGERIA\"@en') from kept union all select 'plain', bool_or(p = '{LABEL}' and o = '\"ALGERIA\"') from kept
+union all select 'typed', bool_or(p = '<http://schema.org/version>' and o = '\"7\"^^<http://www.w3.org/2001/XMLSchema#integer>') from kept
+union all select 'statement', count(*) > 0 from kept a join kept b on a.o = b.s where a.p = '<http://b/prop/P4>' and b.p = '<http://b/prop/statement/P4>' and b.o = '\"F\"'
+union all select 'qualifier', count(*) > 0 from kept a join kept b on a.o = b.s where a.p = '<http://b/prop/qualifier/value/P5>' and b.p = '<http://wikiba.se/ontology#quantityAmount>'
+union all select 'reference', count(*) > 0 from kept a join kept b on a.o = b.s where a.p = '<http://www.w3.org/ns/prov#wasDerivedFrom>' and b.p = '<http://b/prop/reference/P6>' and b.o = '\"1-URGENT\"'
+union all select 'nothing', bool_or(p = '<http://b/prop/P99>') from kept)""")
+def pattern_suite(spark, sf_dir):
+    return patterns.suite(save(kept_triples(spark, sf_dir).select("s", "p", "o"), "triples"), SUITE)
+
+
+# ---- cursors and changes applied to graphs -------------------------------------------------------------------------
+RAW_CURSORS = "select event_id, case when event_id % 11 = 0 then concat('S', user_id) else concat('s.', user_id) end as source, case when event_id % 13 = 0 then null else event_id - 50 end as rcid, concat('2024-0', event_id % 9 + 1, '-', case when event_id % 7 = 0 then '31' else '11' end, 'T0', event_id % 10, ':00:00', case when event_id % 17 = 0 then '+00' else 'Z' end) as ts from events"
+
+
+@query(f"""select event_id, case when not regexp_full_match(source, '[a-z0-9][a-z0-9.-]{{0,127}}') then 'invalid source identity' when not coalesce(rcid >= 0, false) then 'invalid rcid'
+when not (ts like '%Z' and try_strptime(ts, '%Y-%m-%dT%H:%M:%SZ') is not null) then 'invalid cursor timestamp' end as fault from ({RAW_CURSORS})""")
+def cursor_faults(spark, sf_dir):
+    rows = spark.sql(RAW_CURSORS.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    return rows.select("event_id", sync.cursor_fault(F.col("source"), F.col("ts"), F.col("rcid")).alias("fault"))
+
+
+COMMITS = "select concat('s', user_id) as source, date_trunc('second', ts) as ts, event_id % 100 as rcid, event_id as place from events"
+
+
+@query(f"select place, case when (ts, rcid) <= max((ts, rcid)) over (partition by source order by place rows between unbounded preceding and 1 preceding) then 'CURSOR_REGRESSION' end as error from ({COMMITS})")
+def cursor_commits(spark, sf_dir):
+    rows = spark.sql(COMMITS.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    return sync.committed(rows, "place").select("place", "error")
+
+
+@query(f"select source, max((ts, rcid))[1] as ts, max((ts, rcid))[2] as rcid from ({COMMITS}) group by 1")
+def ingestion_head(spark, sf_dir):
+    return sync.head(spark.sql(COMMITS.replace("from events", "from {events}"), events=table(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+LACKING = "select event_id, case when event_id % 3 <> 0 then event_type end as comment, case when event_id % 4 = 0 then array('a', event_type) end as tags, case when event_id % 5 = 0 then true end as redirect from events"
+
+
+@query("select event_id, case when event_id % 3 <> 0 then event_type else '' end as comment, case when event_id % 4 = 0 then 'a,' || event_type else '' end as tags, event_id % 5 = 0 as redirect from events")
+def normal_events(spark, sf_dir):
+    rows = spark.sql(LACKING.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    return sync.normal_event(rows).select("event_id", "comment", F.array_join("tags", ",").alias("tags"), "redirect")
+
+
+@query("select event_id, coalesce(nullif(regexp_extract(case when event_id % 4 = 0 then 'at E2 ' || upper(event_type) || '_FAILED: x' when event_id % 4 = 1 then 'no code' when event_id % 4 = 2 then upper(event_type) end, '[A-Z][A-Z0-9_]{2,63}'), ''), 'SYNC_FAILED') as code from events")
+def error_codes(spark, sf_dir):
+    k, kind = F.col("event_id") % 4, F.upper("event_type")
+    message = F.when(k == 0, F.concat(F.lit("at E2 "), kind, F.lit("_FAILED: x"))).when(k == 1, "no code").when(k == 2, kind)
+    return table(spark, sf_dir, "events").select("event_id", sync.error_code(message).alias("code"))
+
+
+STATED = "select event_id, case event_id % 8 when 0 then 'BOOTSTRAPPING' when 1 then 'HEALTHY' when 2 then 'CATCHING_UP' when 3 then 'STALE' when 4 then 'GAP_DETECTED' when 5 then 'REBUILD_REQUIRED' when 6 then 'REBUILDING' else 'ERROR' end as state, case when event_id % 3 = 0 then 'PENDING' else 'CURRENT' end as schema_state, event_id % 5 as seen from events"
+
+
+@query(f"""select event_id, case state when 'HEALTHY' then 'CURRENT' when 'REBUILD_REQUIRED' then 'STALE' when 'REBUILDING' then 'CATCHING_UP' else state end as generation_state,
+case when seen = 0 and schema_state = 'CURRENT' and state in ('BOOTSTRAPPING', 'CATCHING_UP', 'STALE') then 'HEALTHY' else state end as idle_state,
+case when state = 'HEALTHY' and schema_state = 'CURRENT' and seen > 2 then 'CURRENT' when state in ('ERROR', 'GAP_DETECTED') then state else 'STALE' end as told from ({STATED})""")
+def state_mapping(spark, sf_dir):
+    rows = spark.sql(STATED.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    mapped = sync.generation_state(F.col("state"))
+    told = control.sync_state(mapped, F.col("schema_state"), F.col("seen") > 2)
+    return rows.select("event_id", mapped.alias("generation_state"), sync.idle_state(F.col("state"), F.col("schema_state"), F.col("seen")).alias("idle_state"), told.alias("told"))
+
+
+@query(f"{GRAPHS} select graph, case when count(distinct o) = 1 then min(regexp_extract(o, '\"([0-9]+)\"', 1)::bigint) end as revision, case when count(distinct o) > 1 then 'SNAPSHOT_ENTITY_REVISION_AMBIGUOUS' end as error from (select graph, o from graphs where p = '<http://schema.org/version>' union all select '{NAMES.graphs}:entity:Q' || (100 + n_nationkey), '\"99\"' from nation where n_regionkey = 1) group by 1")
+def checked_revisions(spark, sf_dir):
+    more = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(NAMES.graph("entity", F.concat(F.lit("Q"), (F.col("n_nationkey") + 100).cast("string"))).alias("graph"), F.lit('"99"').alias("o"))
+    return sync.checked_revision(versions(spark, sf_dir).unionByName(more))
+
+
+WANTED = """select concat('Q', c_custkey + 1) as entity_id, c_custkey % 50 + case when c_custkey % 7 = 0 then 1 else 0 end as revision, case when c_custkey % 11 <> 0 then concat('Item:Q', c_custkey + 1) else 'Item:Q0' end as title, c_custkey % 50 as last_revision,
+case when c_custkey % 13 <> 0 then concat('<http://b/entity/Q', c_custkey + 1, '> <http://schema.org/version> "', c_custkey % 50 - case when c_custkey % 17 = 0 then 1 else 0 end, '"') end as rdf from customer"""
+
+
+@query("""select 'Q' || (c_custkey + 1) as entity_id, c_custkey % 50 + case when c_custkey % 7 = 0 then 1 else 0 end as revision, case when c_custkey % 11 = 0 then 'PAGE_MISMATCH' when c_custkey % 7 = 0 then 'REVISION_NOT_AVAILABLE' when c_custkey % 13 = 0 then 'RDF_MISSING' when c_custkey % 17 = 0 then 'REVISION_MISMATCH' end as fault from customer""")
+def exact_revisions(spark, sf_dir):
+    rows = spark.sql(WANTED.replace("from customer", "from {customer}"), customer=table(spark, sf_dir, "customer"))
+    return sync.exact_revision(rows.select("entity_id", "revision"), rows.select("entity_id", "title", "last_revision"), rows.where("rdf is not null").select("entity_id", "revision", "rdf"))
+
+
+#: What a revision of an entity says; a dataset before and after changes.
+SAYS = "select entity_id, revid, concat('<http://b/entity/', entity_id, '> <http://schema.org/version> \"', revid, '\" .') as line from e union all select entity_id, revid, concat('<http://b/entity/', entity_id, '> <http://b/seen> \"', revid % 7, '\" .') from e"
+BEFORE = f"select distinct concat('{NAMES.graphs}:entity:', entity_id) as graph, concat('<http://b/entity/', entity_id, '> <http://schema.org/version> \"0\" .') as line from e union all select '{NAMES.graphs}:global', '<http://b/x> <http://b/y> \"z\" .'"
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The dataset after all changes, and what the fence decided."""
+    events = event_rows(spark, sf_dir).select("entity_id", "revid")
+    decided = save(decisions(spark, sf_dir), "decided")
+    contents, before = (spark.sql(x.replace("from e", "from {e}"), e=events) for x in (SAYS, BEFORE))
+    return sync.replay(before, decided, contents.distinct()), decided
+
+
+@query(f"{FENCE}, last as (select entity_id, max(indexed) as revid from fold group by 1) select concat('{NAMES.graphs}:entity:', entity_id) as graph, unnest([concat('<http://b/entity/', entity_id, '> <http://schema.org/version> \"', revid, '\" .'), concat('<http://b/entity/', entity_id, '> <http://b/seen> \"', revid % 7, '\" .')]) as line from last union all select '{NAMES.graphs}:global', '<http://b/x> <http://b/y> \"z\" .'")
+def replay_equals_rebuild(spark, sf_dir):
+    return replayed(spark, sf_dir)[0]
+
+
+@query(f"{FENCE} select entity_id, max(revid) as revision from fold group by 1 having max(revid) <> max(indexed)")
+def unverified_revisions(spark, sf_dir):
+    """The last revisions seen that the graphs don't have."""
+    graphs, decided = replayed(spark, sf_dir)
+    return sync.unverified(graphs, decided.groupBy("entity_id").agg(F.max("revid").alias("revision")))
+
+
+# ---- registry ------------------------------------------------------------------------------------------------------
+ENTITY_STATES = "select event_id % 40 as generation, case event_type when 'error' then 'FAILED' when 'view' then 'GAP' when 'click' then 'CURRENT' else 'PENDING' end as status from events where event_id % 40 <> 3"
+
+
+@query(f"select count(*) filter (where status = 'CURRENT') as current, count(*) filter (where status in ('FAILED', 'GAP')) as failed from ({ENTITY_STATES})")
+def entity_counts(spark, sf_dir):
+    return registry.entity_counts(spark.sql(ENTITY_STATES.replace("from events", "from {events}"), events=table(spark, sf_dir, "events")))
+
+
+@query(f"select g.generation, (select count(*) from ({ENTITY_STATES}) s where s.generation = g.generation and status in ('FAILED', 'GAP')) as failed from (select distinct event_id % 40 as generation from events) g")
+def failed_per_generation(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    states = spark.sql(ENTITY_STATES.replace("from events", "from {events}"), events=events)
+    return registry.failed_per_generation(events.select((F.col("event_id") % 40).alias("generation")).distinct(), states)
+
+
+INSTANCES = """select c_custkey, case when c_custkey % 5 = 0 then null when c_custkey % 7 = 0 then 'x' else concat(substr(md5(c_name), 1, 8), '-', substr(md5(c_name), 9, 4), '-4', substr(md5(c_name), 14, 3), '-a', substr(md5(c_name), 18, 3), '-', substr(md5(c_name), 21, 12)) end as instance,
+case when c_custkey % 10 = 0 then 'custom-source.short' when c_custkey % 9 = 0 then concat('custom-source.', repeat('0', 36)) end as source from customer"""
+
+
+@query(f"""select c_custkey, case when instance is null and source is null then '{NAMES.first_instance}' when error is null then instance end as instance, case when instance is null and source is null then 'standalone' when error is null then coalesce(source, 'custom-source.' || instance) end as source,
+case when instance is null and source is null then 'standalone-query' when error is null then 'custom-query-' || instance end as query, error from (select *, case when instance is null and source is null then null when coalesce(length(instance), 0) <> 36 then 'INVALID_INSTANCE_IDENTITY' when source like '%short' then 'INVALID_QUERY_IDENTITY' end as error from ({INSTANCES}))""")
+def instance_identities(spark, sf_dir):
+    rows = spark.sql(INSTANCES.replace("from customer", "from {customer}"), customer=table(spark, sf_dir, "customer"))
+    return rows.select("c_custkey", registry.identities(F.col("instance"), F.col("source"), F.lit(None).cast("string")).alias("i")).select("c_custkey", "i.*")
+
+
+REGISTERED = f"""select source, generation, state, case when generation % 31 <> 0 then created_at end as snapshot_ts, case when generation % 37 <> 0 then generation % 50 - 1 end as snapshot_rcid, repeat('a', case when generation % 41 = 0 then 63 else 64 end) as checksum, generation % 43 as version from ({GENERATIONS}) made"""
+
+
+@query(f"""with r as ({REGISTERED}) select source, rule, count(*) as n from (select source, unnest(list_filter([case when (snapshot_ts is null) <> (snapshot_rcid is null) then 'cursor_pair' end, case when snapshot_rcid < 0 then 'rcid_range' end, case when length(checksum) <> 64 then 'checksum_form' end, case when version < 1 then 'version_range' end], lambda x: x is not null)) as rule from r) group by 1, 2
+union all select source, 'one_serving', count(*) from r where state = 'SERVING' group by 1 having count(*) > 1""")
+def constraint_violations(spark, sf_dir):
+    return registry.violations(spark.sql(REGISTERED.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders")))
+
+
+@query("select p_partkey as version, md5(p_name) as checksum, case when p_partkey % 3 = 0 then 'pending' when p_partkey % 5 = 0 then 'checksum_mismatch' else 'applied' end as state from part")
+def migration_status(spark, sf_dir):
+    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("version"), F.md5(F.col("p_name").cast("binary")).alias("checksum"))
+    applied = known.where("version % 3 <> 0").withColumn("checksum", F.when(F.col("version") % 5 == 0, "x").otherwise(F.col("checksum")))
+    return registry.migration_status(known, applied)
+
+
+@query("select doc_id as id from documents where text is null or doc_id % 9 = 0 or doc_id % 10 = 0")
+def artifact_faults(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    digest = F.when(F.col("id") % 9 == 0, "0").otherwise(F.sha2(F.col("content").cast("binary"), 256))
+    return registry.artifact_faults(rows.withColumns({"sha256": digest, "bytes": F.octet_length("content") + F.when(F.col("id") % 10 == 0, 1).otherwise(0)}))
+
+
+LOADED = f"select source, generation, state, case when generation % 8 = 0 then 'CATCHING_UP' else 'CURRENT' end as sync_state, case when generation % 6 = 0 then 'PENDING' else 'CURRENT' end as schema_state, created_at as ts, generation % 10 as rcid from ({GENERATIONS}) made"
+HEADS = "select source, max(ts) as head_ts, 5 as head_rcid from c where source <> 's1' group by source"
+KINDS = "select generation, case when generation % 3 = 0 then 'ENTITY' else 'GLOBAL' end as partition_kind from c where generation % 2 = 0 union all select generation, 'PROPERTY_SCHEMA' from c where generation % 5 = 0"
+
+
+@query(f"""with c as ({LOADED}), h as ({HEADS}) select source, generation, (ts, rcid) >= (head_ts, 5) as caught_up, case when (ts, rcid) >= (head_ts, 5) then 0 else (epoch(head_ts) - epoch(ts))::bigint end as lag, (ts, rcid) >= (head_ts, 5) and sync_state = 'CURRENT' and schema_state = 'CURRENT' as ready_for_validation,
+state in ('LOADING', 'CATCHING_UP', 'VALIDATING') as rebuilding, (generation % 2 = 0 and generation % 3 = 0)::bigint as entity, (generation % 5 = 0)::bigint as property_schema, (generation % 2 = 0 and generation % 3 <> 0)::bigint as global from c join h using (source)""")
+def candidate_observation(spark, sf_dir):
+    rows = spark.sql(LOADED.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders")).withColumn("ts", F.col("ts").cast("timestamp"))
+    made = [spark.sql(x.replace("from c", "from {c}"), c=rows) for x in (HEADS, KINDS)]
+    return registry.observed(rows, *made, F.lit(NOW).cast("timestamp"))
+
+
+@query(f"""select source, generation, case when reasons like '%PROMOTION_INCOMPLETE%' then 'INCOMPLETE_PROMOTION' when regexp_matches(reasons, 'GENERATION_SERVING|SERVING_PROTECTED|SERVING_POINTER_CURRENT') then 'SERVING_GENERATION_PROTECTED'
+when regexp_matches(reasons, 'ROLLBACK_PROTECTED|SERVING_POINTER_PREVIOUS|ROLLBACK_INCOMPLETE') then 'ROLLBACK_GENERATION_PROTECTED' else 'RETIREMENT_WAITING_ELIGIBILITY' end as code from ({ORACLES["retirement_reasons"]})""")
+def public_errors(spark, sf_dir):
+    return retirement_reasons(spark, sf_dir).select("source", "generation", registry.public_error(F.split("reasons", ",")).alias("code"))

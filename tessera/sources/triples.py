@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from .store import table
 
-IRI = "<[^>]+>"
-BNODE = "_:[A-Za-z0-9][A-Za-z0-9._-]*"
-LITERAL = r'"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]+>)?'
-STRICT = rf"^({IRI}|{BNODE})\s+({IRI})\s+({IRI}|{BNODE}|{LITERAL})\s*\.$"
-LAX = rf"^({IRI}|{BNODE})\s+({IRI})\s+(.+)\s*\.$"
+# Terms after the grammar of N-Triples (IRIREF, BLANK_NODE_LABEL, STRING_LITERAL_QUOTE, LANGTAG). Looser where texts in use are:
+# an IRI may hold any character but blanks and angle brackets, a literal may escape any character, and a language tag may begin with a digit.
+IRI = r"<[^\x00-\x20<>]++>"
+BNODE = r"_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.-]*[\p{L}\p{N}_-])?"
+QUOTED = r'"(?:[^"\\]++|\\.)*+"'
+TAG = "@[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
+LITERAL = rf"{QUOTED}(?:{TAG}|\^\^{IRI})?"
+#: Neither subject nor predicate has a blank in it, so a line falls apart at its first two runs of them.
+BLANKS, STOP = r"\s+", r"\s*\.$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -22,11 +26,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def scan(lines: DataFrame, strict: bool = True) -> DataFrame:
     """lines (line) -> line, s, p, o and o_kind; a line that doesn't parse fails the job when its row is used."""
-    pattern = STRICT if strict else LAX
     code = "unsupported N-Triples line" if strict else "RDF_NORMALIZATION_UNSUPPORTED_SYNTAX"
-    part = lambda k: F.regexp_extract("line", pattern, k)
-    s = F.when(F.col("line").rlike(pattern), part(1)).otherwise(F.raise_error(F.concat(F.lit(code + ": "), F.col("line"))))
-    return lines.select("line", s.alias("s"), part(2).alias("p"), F.trim(part(3)).alias("o")).withColumn("o_kind", kind(F.col("o")))
+    parts = F.split("line", BLANKS, 3)
+    s, p, rest = (F.get(parts, F.lit(k)) for k in range(3))
+    o = F.regexp_replace(rest, STOP, "")
+    fits = s.rlike(f"^(?:{IRI}|{BNODE})$") & p.rlike(f"^{IRI}$") & rest.rlike(STOP)
+    fits = fits & (o.rlike(f"^(?:{IRI}|{BNODE}|{LITERAL})$") if strict else o != "")
+    s = F.when(fits, s).otherwise(F.raise_error(F.concat(F.lit(code + ": "), F.col("line"))))
+    return lines.select("line", s.alias("s"), p.alias("p"), o.alias("o"), kind(o).alias("o_kind"))
 
 
 def kind(term: Column) -> Column:
@@ -35,7 +42,8 @@ def kind(term: Column) -> Column:
 
 def terms(triples: DataFrame) -> DataFrame:
     """Adds lexical form, language and datatype of literal objects."""
-    lex = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)
+    lex = F.regexp_extract("o", rf"^({QUOTED})", 1)
+    lex = F.substr(lex, F.lit(2), F.length(lex) - 2)
     return triples.select(
         "*",
         F.when(F.col("o_kind") == "literal", lex).alias("o_lex"),

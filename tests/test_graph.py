@@ -1,3 +1,5 @@
+import datetime as dt
+import itertools
 import pytest
 from pyspark.errors import PySparkException
 
@@ -28,7 +30,7 @@ def test_partition_of_a_small_graph(spark):
     graphs = {}
     for r in out:
         graphs.setdefault(r["graph"], set()).add(MINI.index(r["line"]))
-    assert graphs == {"urn:jwb:entity:Q1": {0, 1, 2, 3}, "urn:jwb:entity:P1": {4}, "urn:jwb:schema:P1": {5, 6}, "urn:jwb:global": {7}}
+    assert graphs == {"urn:kg:entity:Q1": {0, 1, 2, 3}, "urn:kg:entity:P1": {4}, "urn:kg:schema:P1": {5, 6}, "urn:kg:global": {7}}
 
 
 def test_shared_nodes_are_copied_to_each_owner(spark):
@@ -130,7 +132,7 @@ def test_patterns(spark):
 
 
 def test_pointer_is_compare_and_swap(spark, tmp_path):
-    store = Generations(str(tmp_path / "g"))
+    store = Generations(spark, f"file://{tmp_path}/g")
     data = spark.createDataFrame([("g", "GLOBAL", "l")], "graph string, partition_kind string, line string")
     store.load("a", data)
     store.load("b", data)
@@ -141,7 +143,11 @@ def test_pointer_is_compare_and_swap(spark, tmp_path):
     assert store.rollback(2)["generation"] == "a"
     with pytest.raises(ValueError):
         store.promote("missing", 3)
-    assert store.read(spark).count() == 1
+    late = Generations(spark, f"file://{tmp_path}/g")
+    late.pointer = lambda: {"version": 2, "generation": "b", "previous": "a"}  # read before the other's promotion
+    with pytest.raises(StalePointer):
+        late.promote("b", 2)
+    assert store.read().count() == 1
 
 
 def test_legal_and_routable(spark):
@@ -156,3 +162,98 @@ def test_escapes():
     u = chr(92) + "u"
     assert decode_text(f"{u}65E5 {u}0022 {chr(92)}{u}0041 {chr(92)}U0001F600") == chr(0x65E5) + f" {u}0022 {chr(92)}{u}0041 " + chr(0x1F600)
     assert encode_text(chr(0x65E5) + "a" + chr(0x1F600)) == f"{u}65E5a{chr(92)}U0001F600"
+
+
+def slow_isomorphic(a, b):
+    """Whether some renaming of blank nodes makes one set of triples the other."""
+    nodes = lambda rows: sorted({x for r in rows for x in r if x.startswith("_:")})
+    if len(nodes(a)) != len(nodes(b)) or len(set(a)) != len(set(b)):
+        return False
+    for order in itertools.permutations(nodes(b)):
+        name = dict(zip(nodes(a), order))
+        if {tuple(name.get(x, x) for x in r) for r in a} == set(b):
+            return True
+    return False
+
+
+def canonical_lines(spark, rows):
+    return sorted(r["line"] for r in compare.canonical_text(lines(spark, [" ".join((*r, ".")) for r in rows])).collect())
+
+
+RING = [(f"_:n{k}", "<p>", f"_:n{(k + 1) % 6}") for k in range(6)]
+TWO_RINGS = [(f"_:n{k}", "<p>", f"_:n{k // 3 * 3 + (k + 1) % 3}") for k in range(6)]
+PAIRS = [("_:a", "<p>", "_:b"), ("_:b", "<p>", "_:a"), ("_:c", "<p>", "_:d"), ("_:d", "<p>", "_:c")]
+
+
+@pytest.mark.parametrize("a,b", [
+    (RING, TWO_RINGS), (RING, [(s[:2] + "x" + s[3:], p, o[:2] + "x" + o[3:]) for s, p, o in RING[::-1]]), (PAIRS, [(o, p, s) for s, p, o in PAIRS]),
+    (PAIRS, PAIRS[:2] + [("_:c", "<p>", "_:c"), ("_:d", "<p>", "_:d")]), ([("_:a", "<p>", '"1"'), ("_:b", "<p>", '"1"')], [("_:z", "<p>", '"1"'), ("_:y", "<p>", '"1"')]),
+    ([("_:a", "<p>", '"1"'), ("_:b", "<p>", '"1"')], [("_:z", "<p>", '"1"')]),
+])
+def test_canonical_text_tells_isomorphic_graphs(spark, a, b):
+    one, two = canonical_lines(spark, a), canonical_lines(spark, b)
+    assert (one == two) == slow_isomorphic(a, b) and len(one) == len(set(a))
+
+
+def test_search_has_a_limit(spark):
+    rows = lines(spark, [f"_:a <p> _:b{k} ." for k in range(9)] + [f"_:b{k} <p> _:a ." for k in range(9)] + [f"_:c <p> _:d{k} ." for k in range(9)] + [f"_:d{k} <p> _:c ." for k in range(9)])
+    with pytest.raises(Exception, match="RDF_CANONICALIZATION_SEARCH_LIMIT"):
+        compare.canonical_text(rows).collect()
+
+
+def test_partition_of_one_entity(spark):
+    t = T.scan(lines(spark, MINI))
+    entity = partition.entities(t).first()["entity_id"]
+    assert partition.entity_partition(t, entity).where(f"graph like '%:entity:{entity}'").count() > 0
+    with pytest.raises(ValueError):
+        partition.entity_partition(t, "Q999")
+
+
+def test_lax_scan_and_filters(spark):
+    odd = lines(spark, ["<a> <b> nonsense .", '<a> <b> "x y"@en-GB .', "_:b <b> <c>."])
+    out = sorted((r["s"], r["o"], r["o_kind"]) for r in T.scan(odd, strict=False).collect())
+    assert out == [("<a>", '"x y"@en-GB', "literal"), ("<a>", "nonsense", "literal"), ("_:b", "<c>", "iri")]
+    for bad in ("<a> <b>", "<a> _:p <c> .", '"s" <b> <c> .', "<a> <b> <c>", "<a> <b>  ."):
+        with pytest.raises(Exception, match="UNSUPPORTED_SYNTAX"):
+            T.scan(lines(spark, [bad]), strict=False).collect()
+    assert patterns.literal('a"b\\', "ja") == '"a\\"b\\\\"@ja' and patterns.literal("1", datatype="x") == '"1"^^<x>'
+    long = '<a> <b> "' + "x\\n" * 50_000 + '" .'
+    assert len(T.terms(T.scan(lines(spark, [long]))).first()["o_lex"]) == 150_000
+
+
+def test_stream_applies_what_replay_gives(spark, tmp_path):
+    from tessera.operators import changes, sync
+    from tessera.streaming import apply as A
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [("Q1", t, 1, 10, 0), ("Q2", t, 2, 5, 0), ("Q1", t, 3, 11, 10), ("Q1", t, 4, 10, 0), ("Q2", t, 5, 9, 7), ("Q3", t, 6, 4, 0), ("Q1", t, 7, 12, 11)]
+    schema = "entity_id string, ts timestamp_ntz, rcid long, revid long, old_revid long"
+    for k, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    contents = spark.createDataFrame([(e, r, f"<{e}> <v> \"{r}\" .") for e, _, _, r, _ in rows if e != "Q3"], "entity_id string, revid long, line string")
+    before = spark.createDataFrame([("urn:kg:entity:Q1", "old"), ("urn:kg:entity:Q3", "old"), ("urn:kg:global", "g")], "graph string, line string")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    for stop in ("BEFORE_FETCH", "BEFORE_UPDATE", "AFTER_UPDATE", None):  # cut off at each phase of the second batch, then to the end
+
+        def phase(name, batch, stop=stop):
+            if name == stop and batch == 1:
+                raise RuntimeError("cut off")
+
+        query = A.apply_stream(stream(), contents, f"{tmp_path}/graphs", f"{tmp_path}/checkpoint", on_phase=phase)
+        try:
+            query.awaitTermination()
+            assert stop is None
+        except Exception:
+            assert stop is not None
+    got = sorted(map(tuple, A.applied(spark, f"{tmp_path}/graphs", before).collect()))
+    want = sync.replay(before, changes.fence(spark.createDataFrame(rows, schema), 2), contents)
+    assert got == sorted(map(tuple, want.collect())) == [("urn:kg:entity:Q1", '<Q1> <v> "12" .'), ("urn:kg:entity:Q2", '<Q2> <v> "5" .'), ("urn:kg:global", "g")]
+
+
+def test_reset_needs_its_token(spark):
+    from tessera.operators import sync
+
+    rows = lines(spark, MINI)
+    assert sync.reset(rows, "i", "reset:i").count() == 0
+    with pytest.raises(ValueError):
+        sync.reset(rows, "i", "reset:j")

@@ -28,14 +28,14 @@ def test_tombstones(spark):
 
 
 def test_deleted_property_loses_both_graphs(spark):
-    quads = spark.createDataFrame([(f"urn:jwb:{g}", "x") for g in ("entity:P1", "schema:P1", "entity:Q1", "schema:P2", "global")], "graph string, line string")
+    quads = spark.createDataFrame([(f"urn:kg:{g}", "x") for g in ("entity:P1", "schema:P1", "entity:Q1", "schema:P2", "global")], "graph string, line string")
     gone = spark.createDataFrame([("P1",), ("Q1",)], "entity_id string")
-    assert sorted(r["graph"] for r in lifecycle.without_deleted(quads, gone).collect()) == ["urn:jwb:global", "urn:jwb:schema:P2"]
+    assert sorted(r["graph"] for r in lifecycle.without_deleted(quads, gone).collect()) == ["urn:kg:global", "urn:kg:schema:P2"]
 
 
 def test_manifest_keys_are_exact(spark):
-    good = {"manifestVersion": "jwb-snapshot-v1", "snapshotId": "0B0E8A5C-1111-4111-8111-0123456789ab", "sourceIdentity": "jwb-standalone", "createdAt": "2024-01-01T00:00:00Z",
-            "cursor": {"timestamp": "2024-01-01T00:00:00Z", "rcid": 0}, "normalizationModel": "jwb-rdf-normalization-v1", "partitionModel": "jwb-partition-v1",
+    good = {"manifestVersion": "snapshot-v1", "snapshotId": "0B0E8A5C-1111-4111-8111-0123456789ab", "sourceIdentity": "standalone", "createdAt": "2024-01-01T00:00:00Z",
+            "cursor": {"timestamp": "2024-01-01T00:00:00Z", "rcid": 0}, "normalizationModel": "normalization-v1", "partitionModel": "partition-v1",
             "artifact": {"format": "application/n-triples", "sha256": "0" * 64, "bytes": 0, "graphCount": 1}}
     bad = [good | {"more": 1}, {k: v for k, v in good.items() if k != "createdAt"}, good | {"cursor": good["cursor"] | {"x": 1}}, good | {"artifact": good["artifact"] | {"graphCount": 0}}]
     texts = [json.dumps(x) for x in [good, *bad]] + ["", "[]", "no", None]
