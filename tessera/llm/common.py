@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import save, scratch, table  # noqa: F401
+
 #: A word: a run of anything but space and the five ASCII control blanks.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_own_folder: list[str] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return _own_folder[0]
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, and any executor can read it again."""
-    path = f"{scratch(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -44,13 +20,15 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
-#: Rows up to which a frame of ids and counts is small enough to broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a frame of ids, counts and digests is small enough to broadcast; what a row and a column of it take there.
+BROADCAST_BYTES = 48 << 20
+ROW_BYTES, LONG_BYTES, DIGEST_BYTES = 24, 8, 32
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """A saved frame of narrow rows, to be broadcast if its counted size allows that; else joined by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A saved frame of narrow rows, to be broadcast if its counted rows fit in BROADCAST_BYTES; else joined by shuffle."""
+    width = ROW_BYTES + sum(LONG_BYTES if t in ("long", "bigint", "int", "double") else DIGEST_BYTES for _, t in df.dtypes)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
 ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
