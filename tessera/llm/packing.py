@@ -241,20 +241,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         by_length[run[0]].append(run[1:])
     shared = spark.sparkContext.broadcast({n: np.array(x, np.int64) for n, x in by_length.items()})
 
-    def placer(frames):
+    def placer(batches):
         runs = shared.value
-        for pdf in frames:
-            seq, place = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            length, rank = pdf["length"].to_numpy(), (pdf["__rank"] + pdf["__before"]).to_numpy()
+        for batch in batches:
+            n = batch.num_rows
+            seq, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            length, rank, before = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "__rank", "__before"))
+            rank = rank + before
             order = np.argsort(length, kind="stable")
             cuts = np.flatnonzero(np.diff(length[order])) + 1
-            for at in np.split(order, cuts) if len(order) else []:
-                n = length[at[0]]
-                lo, _, first, per, start = runs[int(n)][np.searchsorted(runs[int(n)][:, 0], rank[at], "right") - 1].T
+            for at in np.split(order, cuts) if n else []:
+                size = length[at[0]]
+                lo, _, first, per, start = runs[int(size)][np.searchsorted(runs[int(size)][:, 0], rank[at], "right") - 1].T
                 seq[at] = first + (rank[at] - lo) // per
-                place[at] = start + (rank[at] - lo) % per * n
-            yield pdf.drop(columns=["__bucket", "__rank", "__before"]).assign(sequence_id=seq, offset=place)
+                place[at] = start + (rank[at] - lo) % per * size
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(seq), pa.array(place)], [*kept, "sequence_id", "offset"])
 
     kept = [c for c in pieces.columns if c != "__bucket"]
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*kept).dtypes)
-    return ranked.select(*kept, "__bucket", "__rank", "__before").mapInPandas(placer, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*kept, "__bucket", "__rank", "__before").mapInArrow(placer, f"{schema}, sequence_id long, offset long")
