@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, language_id, mixing, packing, secret_scan
-from tessera.llm.common import save, table
+from tessera.llm.common import save, small_side, table
 from tessera.llm.queries import tokenizer_path
 
 #: A document whose language is less likely than this is rejected, as is one without a letter.
@@ -49,9 +49,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own = F.coalesce(F.col("doc_id").cast("long"), FIRST_OWN_ID + F.shiftrightunsigned(F.xxhash64("text"), 2))
     keyed = docs.withColumns({key: own, digest: F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))})
     found = save(jaccard.join(keyed.select(F.col(key).alias("doc_id"), "text")), "joined")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = keyed.join(gone, key, "left_anti")
+    gone = save(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    kept = keyed.join(small_side(gone), key, "left_anti")
     repeated = save(kept.groupBy(key, digest).agg(F.count("*").alias(times)).where(F.col(times) > 1).select(key, digest), "repeated")
+    repeated = small_side(repeated)
     whole = F.struct(*docs.columns)
     first = kept.join(repeated, [key, digest], "left_semi").groupBy(key, digest).agg(F.min_by(whole, F.to_json(whole)).alias(row))
     return kept.join(repeated, [key, digest], "left_anti").select(*docs.columns).unionByName(first.select(f"{row}.*"))
