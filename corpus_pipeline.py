@@ -73,8 +73,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece: its token ids (little-endian, unsigned, 32 bits each), its sequence and its place there."""
-    return packing.pack(packing.tokenize(docs, tokenizer_path()))
+    """A row for each piece: its token ids (little-endian, unsigned, 32 bits each), its sequence and its place there.
+
+    Places are found for narrow rows, and the ids are joined to them by the number of the written row.
+    """
+    pieces = packing.tokenize(docs, tokenizer_path()).withColumn("row", F.monotonically_increasing_id())
+    pieces = save(pieces, "tokens")
+    placed = packing.pack(pieces.drop("ids"))
+    return placed.join(pieces.select("row", "ids"), "row").drop("row")
 
 
 STAGES = [
