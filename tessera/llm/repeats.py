@@ -11,8 +11,8 @@ Phrases meet by core:
 - a core that occurs once isn't repeated;
 - phrases with the same core but other contents (the ends of longer matches) are resolved
   string by string, which needs the text of their documents only.
-The order of single suffixes, one row a byte, isn't made: cores of 337 bytes and more leave few strings to look at.
-parse_order.py has it for comparison, and the README its figures. Counts by core, content and string are combined
+The order of single suffixes, one row a byte, isn't made: cores of 337 bytes and more leave few strings to look at
+(the README says what that means for the method named). Counts by core, content and string are combined
 before their shuffle and joined back, so that a core of very many documents is no group of one task: AQE can split
 the join. Strings are compared by hashes of 64 bits for core and 64 for content or string, both needed.
 
