@@ -117,8 +117,11 @@ def _encoder(path: str) -> _Encoder:
     return _tokenizers[path]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """docs (doc_id, text) -> one row a piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit)."""
+def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, codec: str | None = None) -> DataFrame:
+    """docs (doc_id, text) -> one row a piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit).
+
+    With a codec of Arrow's (such as "zstd") the ids of each piece are compressed by it; see `plain_ids`.
+    """
     id_type = dict(docs.select("doc_id").dtypes)["doc_id"]
     end = np.array([END], "<u4").tobytes()
 
@@ -132,13 +135,16 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
                     row.append(k)
                     piece.append(n)
                     data.append(ids[at : at + 4 * capacity])
+            length = [len(x) // 4 for x in data]
+            if codec:
+                data = [pa.compress(x, codec=codec, asbytes=True) for x in data]
             piece = np.array(piece, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(row)),
                     pa.array(piece),
                     pa.array(piece.astype(np.int64) * capacity),
-                    pa.array([len(x) // 4 for x in data], pa.int64()),
+                    pa.array(length, pa.int64()),
                     pa.array(data, pa.binary()),
                 ],
                 ["doc_id", "piece", "start", "length", "ids"],
@@ -149,6 +155,19 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
     return rows.mapInArrow(cutter, f"doc_id {id_type}, piece int, start long, length long, ids binary")
 
 
+def plain_ids(pieces: DataFrame, codec: str) -> DataFrame:
+    """Pieces whose ids `tokenize` has compressed -> the same rows and columns with plain ids."""
+    at = pieces.columns.index("ids")
+
+    def expander(batches):
+        for batch in batches:
+            lengths = batch.column("length").to_pylist()
+            data = [pa.decompress(x, 4 * n, codec=codec, asbytes=True) for x, n in zip(batch.column("ids").to_pylist(), lengths)]
+            yield batch.set_column(at, "ids", pa.array(data, pa.binary()))
+
+    return pieces.mapInArrow(expander, pieces.schema)
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Runs (length, lo, hi, first bin, per bin, place) that pack every item of the histogram."""
     left = {n: c for n, c in histogram.items() if c > 0}

@@ -206,6 +206,20 @@ def test_packing(spark):
     assert packing.pack(packing.tokenize(d.limit(0), tokenizer_path())).count() == 0
 
 
+def test_compressed_ids(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.queries import tokenizer_path
+
+    rows, _ = texts(40, 8)
+    d = table_of(spark, [*rows, "ab cd " * 9000])
+    plain = packing.tokenize(d, tokenizer_path(), 1000)
+    small = packing.tokenize(d, tokenizer_path(), 1000, "zstd")
+    told = lambda df: sorted(tuple(r) for r in df.select("doc_id", "piece", "start", "length", F.hex("ids")).na.fill(-1).collect())
+    assert told(packing.plain_ids(small, "zstd")) == told(plain) != told(small)
+    assert packing.plain_ids(small, "zstd").schema == plain.schema and packing.plain_ids(small.limit(0), "zstd").count() == 0
+
+
 def slow_repeats(words):
     seen = {}
     for i in range(len(words) - 7):
