@@ -23,6 +23,8 @@ from tessera.llm.queries import tokenizer_path
 
 #: A document whose language is less likely than this is rejected, as is one without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Token ids are kept and shuffled in this compression.
+IDS_CODEC = "zstd"
 #: Ids that rows without one take begin here.
 FIRST_OWN_ID = 1 << 62
 
@@ -77,10 +79,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Places are found for narrow rows, and the ids are joined to them by the number of the written row.
     """
-    pieces = packing.tokenize(docs, tokenizer_path()).withColumn("row", F.monotonically_increasing_id())
+    pieces = packing.tokenize(docs, tokenizer_path(), codec=IDS_CODEC).withColumn("row", F.monotonically_increasing_id())
     pieces = save(pieces, "tokens")
     placed = packing.pack(pieces.drop("ids"))
-    return placed.join(pieces.select("row", "ids"), "row").drop("row")
+    return packing.plain_ids(placed.join(pieces.select("row", "ids"), "row").drop("row"), IDS_CODEC)
 
 
 STAGES = [
