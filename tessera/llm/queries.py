@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language_id, mixing, near_vectors, packing, quality, repeats, secret_scan, url_rules
+from . import bpe, chat, jaccard, language_id, mixing, near_vectors, packing, quality, repeats, secret_scan, url_rules, whitening
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -82,7 +82,29 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_chat_formatting, op7_url_filters, op8_secret_scans, op9_suffix_array_dedup, op10_source_mixing)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def byte_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = byte_tokenizer_path()
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"), "n_chunks", "n_shared")
+
+
+_ALL = [
+    op1_embedding_near_dedup, op2_language_id, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_chat_formatting, op7_url_filters,
+    op8_secret_scans, op9_suffix_array_dedup, op10_source_mixing, op11_embedding_whitening, op13_bpe_codec,
+]
+QUERIES = {f.__name__: f for f in _ALL}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
