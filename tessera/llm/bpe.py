@@ -8,8 +8,8 @@ ahead, so from a pre-token's start that is right, a chunk's pre-tokens are right
 joint the text from the last such start is encoded anew until a pre-token starts where one of the next chunk does; from there
 the next chunk's ids hold. Where none does, the text that is encoded anew doubles, over as many chunks as that takes.
 
-Encodings of shared chunks are broadcast if their counted bytes are small (`BROADCAST_BYTES`); else they are joined
-to the chunks' places by digest, gathered per document (never more than its text), and joined to the documents.
+Encodings of shared chunks are joined to the texts that use them by digest, gathered per text (never more than the text has) and
+joined to the documents; texts without a chunk that may be shared are not shuffled.
 
 Pre-tokens of Latin texts are remembered by a worker; other texts go to the tokenizers library, whose ids and pre-tokens are used
 as they are. Decoding puts the bytes of ids in a row and replaces what isn't UTF-8, as the library does.
@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 from typing import NamedTuple
 
 import numpy as np
@@ -30,12 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, save, small_batches, text_bytes
-from .hashing import STEP_BYTES, Hashes, by_bytes
+from .common import save, small_batches, text_bytes
+from .hashing import STEP_BYTES, by_bytes
 
 WINDOW = 24
-_MIX = np.uint64(0x9FB21C651E98DF25)
 SPREAD = 1024
+_WORDS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (3, 2, 1)]
+_MIX, _LEAST = np.uint64(0x9FB21C651E98DF25), np.uint64((1 << 64) // SPREAD)
 #: Bits of the map of digests that may occur again: 2^MAP_BITS of them, 32 MB.
 MAP_BITS = 28
 #: First and last pre-token starts that are kept of a shared chunk; characters of the next chunk that a joint first looks at.
@@ -107,17 +110,23 @@ class Encoder:
         if len(known) > KNOWN:
             known.clear()
         found = [_PARTS.findall(x) if _LATIN.fullmatch(x) and not (self.added and self.added.search(x)) else None for x in texts]
-        new = {p for parts in found if parts for p in parts if p not in known}
-        if new:
-            self._learn(list(new))
-        out = []
-        for text, parts in zip(texts, found):
-            if parts is None:
-                out.append(self._by_library(text))
-            else:
-                ids = list(map(known.__getitem__, parts))
-                out.append(Chunk(b"".join(ids), _places(map(len, parts), len(parts)), _places(map(len, ids), len(ids)) >> 2))
-        return out
+        ids = [None if parts is None else list(map(known.get, parts)) for parts in found]
+        lacking = [(parts, i, [k for k, x in enumerate(i) if x is None]) for parts, i in zip(found, ids) if i and None in i]
+        if lacking:
+            self._learn(list({parts[k] for parts, _, at in lacking for k in at}))
+            for parts, i, at in lacking:
+                for k in at:
+                    i[k] = known[parts[k]]
+        return [self._by_library(x) if parts is None else self._chunk(len(x), parts, i) for x, parts, i in zip(texts, found, ids)]
+
+    def _chunk(self, length: int, parts: list[str], ids: list[bytes]) -> Chunk:
+        """Of many pre-tokens only the places of the first and last are found."""
+        data = b"".join(ids)
+        if len(parts) <= 2 * EDGE:
+            return Chunk(data, _places(map(len, parts), len(parts)), _places(map(len, ids), len(ids)) >> 2)
+        chars = [0, *accumulate(map(len, parts[:EDGE])), *list(accumulate(map(len, parts[: -EDGE - 1 : -1]), sub, initial=length))[::-1]]
+        counts = [0, *accumulate(map(len, ids[:EDGE])), *list(accumulate(map(len, ids[: -EDGE - 1 : -1]), sub, initial=len(data)))[::-1]]
+        return Chunk(data, np.array(chars), np.array(counts) >> 2)
 
     def _by_library(self, text: str) -> Chunk:
         whole = self.tokenizer.encode(text, add_special_tokens=False)
@@ -160,25 +169,26 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def triggers(data: np.ndarray) -> np.ndarray:
-    """Ends of windows whose rolling hash is in the least of SPREAD parts."""
+def triggers(data: bytes) -> np.ndarray:
+    """Ends of windows whose rolling hash is in the least of SPREAD parts: a polynomial of the window's three 8-byte words, rolled over every byte."""
     found = []
     for at in range(0, max(len(data) - WINDOW + 1, 0), STEP_BYTES):
         part = data[at : at + STEP_BYTES + WINDOW - 1]
-        sums, inverse = (h := Hashes(part)).sums, h.inverse
-        n = len(part) - WINDOW + 1
-        rolled = (sums[WINDOW:] - sums[:n]) * inverse[:n] * _MIX
-        found.append(np.flatnonzero(rolled < np.uint64((1 << 64) // SPREAD)) + at + WINDOW)
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+        for phase in range(8):  # words that start at a byte of this remainder
+            words = np.frombuffer(part, "<u8", (len(part) - phase) // 8, phase)
+            if len(words) > 2:
+                rolled = (words[:-2] * _WORDS[0] + words[1:-1] * _WORDS[1] + words[2:] * _WORDS[2]) * _MIX
+                found.append(np.flatnonzero(rolled < _LEAST) * 8 + (at + phase + WINDOW))
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def chunks(texts: list[bytes]) -> list[list[bytes]]:
     """The chunks of each text. A trigger less than a window behind another doesn't count, so a run of one character isn't cut to pieces; a cut is at a character's start."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    whole = b"".join(texts)
     ends = _places(map(len, texts), len(texts))
     out = []
-    padded = np.append(data, np.zeros(4, np.uint8))
-    cuts = triggers(data)
+    padded = np.frombuffer(whole + bytes(4), np.uint8)
+    cuts = triggers(whole)
     for k, text in enumerate(texts):
         lo, hi = ends[k], ends[k + 1]
         own = cuts[np.searchsorted(cuts, lo + WINDOW) : np.searchsorted(cuts, hi)]
@@ -294,17 +304,13 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
     found, mask = _repeated(rows)
     bitmap = spark.sparkContext.broadcast(found)
     shared = _shared(rows, bitmap, mask, tokenizer)
-    size = shared.agg(F.sum(F.octet_length("ids") + F.octet_length("places") + 200)).first()[0] or 0
     docs = docs.select(F.col(key).alias("key"), text_bytes().alias("text"))
-    small = size <= BROADCAST_BYTES
-    known = spark.sparkContext.broadcast([tuple(map(bytes, r)) for r in shared.collect()]) if small else None
 
     def encoder_of(apart: bool):
         """apart: only texts without a chunk that may be shared."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = _encoder(tokenizer)
-            everywhere = {d: encoder.unpack(ids, places) for d, ids, places in known.value} if small else {}
             for batch in by_bytes(batches):
                 texts = batch.column("text").to_pylist()
                 owned = batch.column("known").to_pylist() if "known" in batch.schema.names else [None] * len(texts)
@@ -313,7 +319,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
                     digests = [_digest(c) for c in parts]
                     if apart and any(_has(bitmap.value, mask, d) for d in digests):
                         continue
-                    there = {x["digest"]: encoder.unpack(x["ids"], x["places"]) for x in own} if own else everywhere
+                    there = {x["digest"]: encoder.unpack(x["ids"], x["places"]) for x in own} if own else {}
                     at.append(k)
                     kept.append((text.decode(), [c.decode() for c in parts], [there.get(d) for d in digests]))
                 new = iter(encoder.encode_all([x for _, strings, found in kept for x, c in zip(strings, found) if c is None]))
@@ -327,8 +333,6 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
         return run
 
     schema = f"{key} {kind}, ids binary, n_chunks int, n_shared int"
-    if small:
-        return docs.mapInArrow(encoder_of(False), schema)
     return docs.mapInArrow(encoder_of(True), schema).unionByName(_with_chunks(docs, shared, bitmap, mask).mapInArrow(encoder_of(False), schema))
 
 
