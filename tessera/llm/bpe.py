@@ -356,6 +356,7 @@ def _with_chunks(docs: DataFrame, shared: DataFrame, bitmap, mask: int) -> DataF
     docs = docs.withColumn("whole", F.md5("text"))
     uses = docs.select("whole", "text").mapInArrow(uses_of, "whole string, digest binary").distinct()
     known = uses.join(shared, "digest").groupBy("whole").agg(F.collect_list(F.struct("digest", "ids", "places")).alias("known"))
+    known = save(known, "known")  # so that the join is dealt by itself, and a text that many rows share can be split
     return docs.mapInArrow(using, docs.schema).join(known, "whole", "left").select("key", "text", "known")
 
 

@@ -84,4 +84,23 @@ sources as (
 select doc_id, size, source_size, target, size * copies as taken, source, copies from counted
 """
 
-ORACLES = {"op6_chat_formatting": OP6, "op7_url_filters": OP7, "op8_secret_scans": OP8, "op10_source_mixing": OP10}
+OP12 = r"""
+with words as (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), d as (select row, doc_id, w, len(w)::bigint as n from words where len(w) > 0),
+s as (select count(*)::bigint as total, sum(n)::bigint as length from d),
+asked as (
+  select item, item_id, term, count(*)::bigint as times from (
+    select row_number() over () as item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+  ) group by all
+),
+postings as (select row, doc_id, n, term, count(*)::bigint as tf from (select row, doc_id, n, unnest(w) as term from d) group by all),
+weights as (select term, floor(1000 * ln((2 * total + 2)::double / (2 * df + 1)::double))::bigint as w from (select term, count(*)::bigint as df from postings group by term), s),
+scored as (
+  select item, item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * total) // length))))::bigint as score
+  from asked join postings using (term) join weights using (term), s group by item, item_id, row, doc_id
+), ranked as (select item_id, row_number() over (partition by item order by score desc, doc_id nulls last) as rank, doc_id, score from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20
+"""
+
+ORACLES = {"op6_chat_formatting": OP6, "op7_url_filters": OP7, "op8_secret_scans": OP8, "op10_source_mixing": OP10, "op12_ranked_search": OP12}

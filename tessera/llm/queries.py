@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, language_id, mixing, near_vectors, packing, quality, repeats, secret_scan, url_rules, whitening
+from . import bpe, chat, jaccard, language_id, mixing, near_vectors, packing, quality, ranked_search, repeats, secret_scan, url_rules, whitening
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -86,6 +86,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def byte_tokenizer_path() -> str:
     import public_tokenizers
 
@@ -102,7 +106,7 @@ def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = [
     op1_embedding_near_dedup, op2_language_id, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_chat_formatting, op7_url_filters,
-    op8_secret_scans, op9_suffix_array_dedup, op10_source_mixing, op11_embedding_whitening, op13_bpe_codec,
+    op8_secret_scans, op9_suffix_array_dedup, op10_source_mixing, op11_embedding_whitening, op12_ranked_search, op13_bpe_codec,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 
