@@ -76,11 +76,16 @@ def fence(events: DataFrame, width: int) -> DataFrame:
 
 
 def entity_state(decided: DataFrame) -> DataFrame:
-    """entity_id, indexed_revision, latest_seen_revision, status after all decisions."""
-    last = F.max_by("decision", F.struct("ts", "rcid"))
-    return decided.groupBy("entity_id").agg(
-        F.max("indexed").alias("indexed_revision"), F.max("revid").alias("latest_seen_revision"), F.when(last == "GAP_DETECTED", "GAP").otherwise("CURRENT").alias("status")
-    )
+    """entity_id, indexed_revision, latest_seen_revision, status after all decisions.
+
+    Duplicates and older revisions change nothing: GAP holds until a revision is applied, and the latest revision seen is that of the
+    gap, or else the largest applied.
+    """
+    moved = F.col("decision").isin("APPLY", "GAP_DETECTED")
+    last = F.max_by(F.when(moved, F.struct("decision", "revid")), F.when(moved, F.struct("ts", "rcid")))
+    gap = F.col("last.decision") == "GAP_DETECTED"
+    per = decided.groupBy("entity_id").agg(F.max("indexed").alias("indexed_revision"), last.alias("last"))
+    return per.select("entity_id", "indexed_revision", F.when(gap, F.col("last.revid")).otherwise(F.col("indexed_revision")).alias("latest_seen_revision"), F.when(gap, "GAP").otherwise("CURRENT").alias("status"))
 
 
 def before_stop(decided: DataFrame) -> DataFrame:

@@ -112,7 +112,16 @@ def replay(dataset: DataFrame, decided: DataFrame, contents: DataFrame, names: N
     """dataset after all changes that the fence let through: of each entity the graph of its last applied revision.
 
     decided: entity_id, revid, decision. contents: entity_id, revid, line. Earlier revisions needn't be written, as each replaces the graph.
+    A graph whose text is missing stays as it is and is told by `without_text`; `machine.applied` also verifies, and stops sources.
     """
-    last = decided.where("decision = 'APPLY'").groupBy("entity_id").agg(F.max("revid").alias("revid"))
-    graphs = last.join(contents, ["entity_id", "revid"], "left").select(names.graph("entity", F.col("entity_id")).alias("graph"), "line")
+    graphs = last_applied(decided).join(contents, ["entity_id", "revid"]).select(names.graph("entity", F.col("entity_id")).alias("graph"), "line")
     return replaced(dataset, graphs)
+
+
+def last_applied(decided: DataFrame) -> DataFrame:
+    return decided.where("decision = 'APPLY'").groupBy("entity_id").agg(F.max("revid").alias("revid"))
+
+
+def without_text(decided: DataFrame, contents: DataFrame) -> DataFrame:
+    """entity_id, revid of the revisions that a replay should write but for which there is no text."""
+    return last_applied(decided).join(contents, ["entity_id", "revid"], "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import NAMES
-from ..operators import changes, compare, contracts, control, inventory, lifecycle, normalize, partition, patterns, registry, sync
+from ..operators import changes, compare, contracts, control, inventory, lifecycle, machine, normalize, partition, patterns, registry, sync
 from ..sources import triples as T
 from ..sources.store import save, table
 
@@ -250,7 +250,8 @@ def fence_counters(spark, sf_dir):
     return decisions(spark, sf_dir).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query(f"{FENCE} select entity_id, max(indexed) as indexed_revision, max(revid) as latest_seen_revision, case when arg_max(decision, k) = 'GAP_DETECTED' then 'GAP' else 'CURRENT' end as status from fold group by 1")
+@query(f"""{FENCE}, ended as (select entity_id, max(indexed) as indexed_revision, arg_max(decision, k) filter (decision in ('APPLY', 'GAP_DETECTED')) as d, arg_max(revid, k) filter (decision in ('APPLY', 'GAP_DETECTED')) as r from fold group by 1)
+select entity_id, indexed_revision, case when d = 'GAP_DETECTED' then r else indexed_revision end as latest_seen_revision, case when d = 'GAP_DETECTED' then 'GAP' else 'CURRENT' end as status from ended""")
 def sync_entity_state(spark, sf_dir):
     return changes.entity_state(decisions(spark, sf_dir))
 
@@ -671,6 +672,105 @@ def unverified_revisions(spark, sf_dir):
     return sync.unverified(graphs, decided.groupBy("entity_id").agg(F.max("revid").alias("revision")))
 
 
+# ---- the state machine of a source ---------------------------------------------------------------------------------
+# Touches of entities by events, in SQL that Spark and DuckDB both run: twenty sources, revisions that count an entity's touches, merges that touch two
+# entities, and now and then a gap, an ambiguous event or lifecycle, a text that is missing or wrong, or an undelete without a tombstone.
+KIND = """case when event_type = 'error' and event_id % 3 = 0 then 'NON_ENTITY_CHANGE' when event_id % 1777 = 7 then 'UNKNOWN' when event_type = 'purchase' then case when event_id % 2 = 0 then 'ENTITY_DELETE' else 'ENTITY_UNDELETE' end
+  when event_id % 50 = 0 then 'ENTITY_MERGE' when event_id % 50 = 1 then 'ENTITY_REDIRECT' else 'ENTITY_EDIT' end"""
+TOUCHES = f"""
+  select source, rcid, ts, action, entity, first, greatest(cast(0 as bigint), cast(r - case when rcid % 40 = 6 and action = 'ENTITY_EDIT' then 1 else 0 end as bigint)) as revid,
+    greatest(cast(0 as bigint), cast(r - 1 + case when rcid % 997 = 5 then 1 else 0 end as bigint)) as old_revid
+  from (select *, sum(case when action in ('ENTITY_DELETE', 'NON_ENTITY_CHANGE', 'UNKNOWN') or rcid % 10 = 3 and action = 'ENTITY_EDIT' then 0 else 1 end) over (partition by entity order by ts, rcid) as r
+    from (select event_id as rcid, date_trunc('second', ts) as ts, concat('s', user_id % 20) as source, {KIND} as action, user_id + 1 as entity, true as first from events
+      union all select event_id, date_trunc('second', ts), concat('s', user_id % 20), 'ENTITY_MERGE', user_id + 21, false from events where {KIND} = 'ENTITY_MERGE') touched) ran
+"""
+FIRST_STATES = "select concat(case when entity % 9 = 0 then 'P' else 'Q' end, entity) as entity_id, cast(0 as bigint) as indexed_revision, cast(0 as bigint) as latest_seen_revision, 'CURRENT' as status from (select distinct entity from t) known where entity % 97 <> 5"
+TEXTS = """select entity_id, revid, 'entity' as kind, concat('<http://b/entity/', entity_id, '> <http://schema.org/version> "', revid + case when (entity * 31 + revid) % 509 = 0 then 1 else 0 end, '" .') as line from v where (entity * 31 + revid) % 503 <> 0
+  union all select entity_id, revid, 'entity', concat('<http://b/entity/', entity_id, '> <http://b/seen> "', revid % 7, '" .') from v where (entity * 31 + revid) % 503 <> 0
+  union all select entity_id, revid, 'schema', concat('<http://b/prop/direct/', entity_id, '> <http://b/seen> "', revid, '" .') from v where entity % 9 = 0 and (entity * 31 + revid) % 307 <> 0"""
+REVISED = "select distinct concat(case when entity % 9 = 0 then 'P' else 'Q' end, entity) as entity_id, entity, revid from t"
+STEPPED = f"""
+with recursive t as ({TOUCHES}), v as ({REVISED}), texts as ({TEXTS}), first_states as ({FIRST_STATES}),
+named as (select *, concat(case when entity % 9 = 0 then 'P' else 'Q' end, entity) as entity_id from t),
+placed as (select *, (row_number() over (partition by rcid order by entity_id) - 1)::int as part from named where action not in ('ENTITY_MERGE') or rcid % 1999 <> 0 or first),
+steps as (select *, case when action = 'UNKNOWN' then 'AMBIGUOUS_EVENT' when action = 'ENTITY_MERGE' and rcid % 1999 = 0 then 'AMBIGUOUS_LIFECYCLE' end as code,
+  case when (entity * 31 + revid) % 503 = 0 then 'ENTITY_MISSING' when entity % 9 = 0 and (entity * 31 + revid) % 307 = 0 then 'PROPERTY_SCHEMA_PARTITION_MISSING' when (entity * 31 + revid) % 509 = 0 then 'BACKEND_VERIFY_FAILED' end as fault,
+  row_number() over (partition by entity_id order by ts, rcid, part) as k from placed where action <> 'NON_ENTITY_CHANGE'),
+fold as (
+  select null::varchar as source, null::timestamp as ts, null::bigint as rcid, null::int as part, null::varchar as action, e.entity_id, null::bigint as revid, 0::bigint as k, null::varchar as outcome, null::varchar as error,
+    coalesce(f.indexed_revision, 0) as indexed, coalesce(f.latest_seen_revision, 0) as latest, coalesce(f.status, 'PENDING') as status
+  from (select distinct entity_id from steps) e left join first_states f on f.entity_id = e.entity_id
+  union all
+  select s.source, s.ts, s.rcid, s.part, s.action, s.entity_id, s.revid, s.k, d.outcome, d.error,
+    case when d.outcome in ('APPLIED', 'RESTORED') then s.revid else f.indexed end,
+    case when d.outcome in ('APPLIED', 'RESTORED') then greatest(f.latest, s.revid) when d.error = 'REVISION_GAP' then s.revid else f.latest end,
+    case when d.outcome in ('APPLIED', 'RESTORED') then 'CURRENT' when d.outcome = 'DELETED' then 'DELETED' when d.error = 'REVISION_GAP' then 'GAP' when s.action = 'ENTITY_UNDELETE' and d.error = s.fault then 'RESTORING' else f.status end
+  from fold f join steps s on s.entity_id = f.entity_id and s.k = f.k + 1,
+    lateral (select case when s.code is not null then s.code when s.action = 'ENTITY_DELETE' then null when s.action = 'ENTITY_UNDELETE' and f.status not in ('DELETED', 'RESTORING', 'CURRENT') then 'UNDELETE_WITHOUT_TOMBSTONE'
+      when s.action = 'ENTITY_EDIT' and s.revid > f.indexed and f.indexed > 0 and s.old_revid <> f.indexed then 'REVISION_GAP' when s.action = 'ENTITY_UNDELETE' or s.revid > f.indexed then s.fault end as error) x,
+    lateral (select x.error, case when x.error is not null then 'STOPPED' when s.action = 'ENTITY_DELETE' then 'DELETED' when s.action = 'ENTITY_UNDELETE' then 'RESTORED' when s.revid = f.indexed then 'DUPLICATE' when s.revid < f.indexed then 'OLDER' else 'APPLIED' end as outcome) d
+),
+everything as (
+  select source, ts, rcid, part, action, entity_id, revid, outcome, error, indexed, latest, status from fold where k > 0
+  union all select source, ts, rcid, part, action, entity_id, revid, 'SKIPPED', null, null, null, null from placed where action = 'NON_ENTITY_CHANGE'
+),
+stops as (select source, min((ts, rcid, part)) as stop from everything where outcome = 'STOPPED' group by 1),
+decided as (select e.*, stop is not null and (ts, rcid, part) > stop as held from everything e left join stops using (source))
+"""
+
+
+def machine_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Classified events, what lifecycle events come to, first states, and texts."""
+    touches = spark.sql(TOUCHES.replace("from events", "from {events}"), events=table(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    touches = save(touches.withColumn("entity_id", F.concat(F.when(F.col("entity") % 9 == 0, "P").otherwise("Q"), F.col("entity").cast("string"))), "touches")
+    lifecycle_rows = touches.where(F.col("action").isin(lifecycle.LOOKED_UP))
+    one = F.struct(F.col("entity_id").alias("id"), F.col("entity_id").alias("canonical"), F.col("revid").alias("revision"), F.lit(False).alias("redirect"))
+    resolved = lifecycle_rows.groupBy("source", "rcid").agg(F.sort_array(F.collect_list(one)).alias("entities"))  # two at most
+    resolved = resolved.withColumn("unambiguous", F.col("rcid") % 1999 != 0)
+    # the undelete and redirect of an event whose number is ambiguous are of one entity, and stay clear
+    alone = touches.where("first").select("source", "rcid", "action")
+    resolved = resolved.join(alone, ["source", "rcid"]).withColumn("unambiguous", F.col("unambiguous") | (F.col("action") != "ENTITY_MERGE")).drop("action")
+    first = spark.sql(FIRST_STATES.replace("from t", "from {t}"), t=touches)
+    revised = spark.sql(REVISED.replace("from t", "from {t}"), t=touches)
+    return touches.where("first").drop("first", "entity"), resolved, first, spark.sql(TEXTS.replace("from v", "from {v}"), v=revised)
+
+
+def machine_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each step comes to, the first states and the texts."""
+    events, resolved, first, texts = machine_inputs(spark, sf_dir)
+    folded = machine.fold(machine.steps(events, resolved), first, texts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return save(machine.outcomes(save(folded, "folded")), "decided"), first, texts
+
+
+@query(f"{STEPPED} select source, rcid, part, entity_id, case when held then 'HELD' else outcome end as outcome, case when not held then error end as error, case when not held then indexed end as indexed, case when not held then status end as status from decided")
+def sync_outcomes(spark, sf_dir):
+    return machine_run(spark, sf_dir)[0].select("source", "rcid", "part", "entity_id", "outcome", "error", "indexed", "status")
+
+
+@query(f"""{STEPPED}, last as (select entity_id, arg_max(indexed, (ts, rcid, part)) as i, arg_max(latest, (ts, rcid, part)) as l, arg_max(status, (ts, rcid, part)) as s from decided where not held and indexed is not null group by 1)
+select coalesce(f.entity_id, last.entity_id) as entity_id, coalesce(i, indexed_revision) as indexed_revision, coalesce(l, latest_seen_revision) as latest_seen_revision, coalesce(s, status) as status from first_states f full join last on last.entity_id = f.entity_id""")
+def sync_machine_states(spark, sf_dir):
+    decided, first, _ = machine_run(spark, sf_dir)
+    return machine.entity_states(decided, first)
+
+
+@query(f"""{STEPPED}, per as (select source, ts, rcid, bool_or(held or outcome = 'STOPPED') as open, max(case when not held then error end) as code from decided group by 1, 2, 3)
+select source, (max(struct_pack(ts := ts, rcid := rcid)) filter (not open)).ts as ts, (max(struct_pack(ts := ts, rcid := rcid)) filter (not open)).rcid as rcid,
+  case when max(code) is null then 'HEALTHY' else 'REBUILD_REQUIRED' end as status, max(code) as code from per group by 1""")
+def sync_sources(spark, sf_dir):
+    return machine.source_states(machine_run(spark, sf_dir)[0])
+
+
+@query(f"""{STEPPED}, old as (select concat('{NAMES.graphs}:entity:', entity_id) as graph, entity_id, 'old' as line from (select distinct entity_id from steps)),
+last as (select entity_id, case when arg_max(outcome, (ts, rcid, part)) <> 'DELETED' then arg_max(revid, (ts, rcid, part)) end as revid from decided where not held and outcome in ('APPLIED', 'RESTORED', 'DELETED') group by 1)
+select graph, line from old where entity_id not in (select entity_id from last)
+union all select concat('{NAMES.graphs}:', kind, ':', entity_id), line from last join texts using (entity_id, revid)""")
+def sync_graphs(spark, sf_dir):
+    decided, _, texts = machine_run(spark, sf_dir)
+    old = decided.where("entity_id is not null and action <> 'NON_ENTITY_CHANGE'").select(NAMES.graph("entity", F.col("entity_id")).alias("graph"), F.lit("old").alias("line")).distinct()
+    return machine.applied(old, decided, texts)
+
+
 # ---- registry ------------------------------------------------------------------------------------------------------
 ENTITY_STATES = "select event_id % 40 as generation, case event_type when 'error' then 'FAILED' when 'view' then 'GAP' when 'click' then 'CURRENT' else 'PENDING' end as status from events where event_id % 40 <> 3"
 

@@ -221,33 +221,14 @@ def test_lax_scan_and_filters(spark):
     assert len(T.terms(T.scan(lines(spark, [long]))).first()["o_lex"]) == 150_000
 
 
-def test_stream_applies_what_replay_gives(spark, tmp_path):
-    from tessera.operators import changes, sync
-    from tessera.streaming import apply as A
-
-    t = dt.datetime(2024, 1, 1)
-    rows = [("Q1", t, 1, 10, 0), ("Q2", t, 2, 5, 0), ("Q1", t, 3, 11, 10), ("Q1", t, 4, 10, 0), ("Q2", t, 5, 9, 7), ("Q3", t, 6, 4, 0), ("Q1", t, 7, 12, 11)]
-    schema = "entity_id string, ts timestamp_ntz, rcid long, revid long, old_revid long"
-    for k, part in enumerate((rows[:3], rows[3:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
-    contents = spark.createDataFrame([(e, r, f"<{e}> <v> \"{r}\" .") for e, _, _, r, _ in rows if e != "Q3"], "entity_id string, revid long, line string")
-    before = spark.createDataFrame([("urn:kg:entity:Q1", "old"), ("urn:kg:entity:Q3", "old"), ("urn:kg:global", "g")], "graph string, line string")
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    for stop in ("BEFORE_FETCH", "BEFORE_UPDATE", "AFTER_UPDATE", None):  # cut off at each phase of the second batch, then to the end
-
-        def phase(name, batch, stop=stop):
-            if name == stop and batch == 1:
-                raise RuntimeError("cut off")
-
-        query = A.apply_stream(stream(), contents, f"{tmp_path}/graphs", f"{tmp_path}/checkpoint", on_phase=phase)
-        try:
-            query.awaitTermination()
-            assert stop is None
-        except Exception:
-            assert stop is not None
-    got = sorted(map(tuple, A.applied(spark, f"{tmp_path}/graphs", before).collect()))
-    want = sync.replay(before, changes.fence(spark.createDataFrame(rows, schema), 2), contents)
-    assert got == sorted(map(tuple, want.collect())) == [("urn:kg:entity:Q1", '<Q1> <v> "12" .'), ("urn:kg:entity:Q2", '<Q2> <v> "5" .'), ("urn:kg:global", "g")]
+def test_replay_keeps_a_graph_without_text(spark):
+    from tessera.operators import sync
+
+    before = spark.createDataFrame([("urn:kg:entity:Q1", "old"), ("urn:kg:global", "g")], "graph string, line string")
+    decided = spark.createDataFrame([("Q1", 5, "APPLY"), ("Q2", 1, "APPLY"), ("Q2", 2, "OLDER")], "entity_id string, revid long, decision string")
+    contents = spark.createDataFrame([("Q2", 1, "new")], "entity_id string, revid long, line string")
+    assert sorted(map(tuple, sync.replay(before, decided, contents).collect())) == [("urn:kg:entity:Q1", "old"), ("urn:kg:entity:Q2", "new"), ("urn:kg:global", "g")]
+    assert list(map(tuple, sync.without_text(decided, contents).collect())) == [("Q1", 5)]
 
 
 def test_reset_needs_its_token(spark):
