@@ -92,3 +92,31 @@ def before_stop(decided: DataFrame) -> DataFrame:
     """Decisions strictly before the first gap of any entity, where the source stops."""
     stop = decided.where("decision = 'GAP_DETECTED'").agg(F.min(F.struct("ts", "rcid")).alias("stop")).first()["stop"]  # one row
     return decided if stop is None else decided.where(F.struct("ts", "rcid") < F.struct(F.lit(stop["ts"]).alias("ts"), F.lit(stop["rcid"]).alias("rcid")))
+
+
+def poll_pages(events: DataFrame, limit: int, width: int, most_pages: int = 10) -> DataFrame:
+    """events (source, ts, rcid) -> the same with poll (from 0) and error: how polls of pages of `limit` rows deliver each source's changes.
+
+    A poll starts at the first row of its cursor's second and takes the first page with something new; error tells that this page is beyond
+    `most_pages`, where the source ends. Rows are dealt by source and sorted; the fold holds a few numbers.
+    """
+
+    def folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, second, inside, poll, left, failed = None, None, 0, 0, limit, False
+        for pdf in frames:
+            polls, errors = [], []
+            for s, ts in zip(pdf["source"], pdf["ts"]):
+                if s != source:
+                    source, second, inside, poll, left, failed = s, None, 0, 0, limit, False
+                if not left:  # `inside` rows of the last second are at or before the cursor
+                    page = inside // limit
+                    failed = failed or page >= most_pages
+                    poll, left = poll + 1, limit * (page + 1) - inside
+                second, inside = ts, inside + 1 if ts == second else 1
+                left -= 1
+                polls.append(poll)
+                errors.append("RECENT_CHANGES_SAME_SECOND_SCAN_LIMIT" if failed else None)
+            yield pdf.assign(poll=polls, error=errors)
+
+    rows = events.select("source", "ts", "rcid").repartition(width, "source").sortWithinPartitions("source", "ts", "rcid")
+    return rows.mapInPandas(folded, "source string, ts timestamp_ntz, rcid long, poll int, error string")

@@ -771,6 +771,23 @@ def sync_graphs(spark, sf_dir):
     return machine.applied(old, decided, texts)
 
 
+#: Changes of twenty sources in coarse seconds, so that pages end inside them.
+COARSE = "select concat('s', user_id % 20) as source, case when user_id % 20 = 7 then date_trunc('year', ts) else date_trunc('day', ts) end as ts, event_id as rcid from events"
+
+
+@query(f"""with recursive rows as (select *, row_number() over (partition by source order by ts, rcid) - 1 as n from ({COARSE})), starts as (select *, min(n) over (partition by source, ts) as s from rows),
+polls as (
+  select source, 0 as poll, 0::bigint as lo, 9::bigint as hi, false as failed from rows group by source
+  union all
+  select p.source, p.poll + 1, p.hi, p.hi + 9 * ((p.hi - r.s) // 9 + 1) - (p.hi - r.s), p.failed or (p.hi - r.s) // 9 >= 10 from polls p join starts r on r.source = p.source and r.n = p.hi - 1 join rows x on x.source = p.source and x.n = p.hi
+)
+select p.source, poll, count(*) as n, min(rcid) as first, max(rcid) as last, case when bool_or(failed) then 'RECENT_CHANGES_SAME_SECOND_SCAN_LIMIT' end as error from polls p join rows r on r.source = p.source and r.n >= lo and r.n < hi group by 1, 2""")
+def change_pages(spark, sf_dir):
+    rows = spark.sql(COARSE.replace("from events", "from {events}"), events=table(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found = changes.poll_pages(rows, 9, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return found.groupBy("source", "poll").agg(F.count("*").alias("n"), F.min("rcid").alias("first"), F.max("rcid").alias("last"), F.max("error").alias("error"))
+
+
 # ---- registry ------------------------------------------------------------------------------------------------------
 ENTITY_STATES = "select event_id % 40 as generation, case event_type when 'error' then 'FAILED' when 'view' then 'GAP' when 'click' then 'CURRENT' else 'PENDING' end as status from events where event_id % 40 <> 3"
 
