@@ -24,16 +24,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("line <> '' and line not like '#%'")
 
 
+#: A whole line of the strict scan.
+LINE = rf"^(?:{IRI}|{BNODE}){BLANKS}{IRI}{BLANKS}(?:{IRI}|{BNODE}|{LITERAL}){STOP}"
+# Error codes of the two scans.
+STRICT_CODE, LAX_CODE = "unsupported N-Triples line", "RDF_NORMALIZATION_UNSUPPORTED_SYNTAX"
+
+
 def scan(lines: DataFrame, strict: bool = True) -> DataFrame:
-    """lines (line) -> line, s, p, o and o_kind; a line that doesn't parse fails the job when its row is used."""
-    code = "unsupported N-Triples line" if strict else "RDF_NORMALIZATION_UNSUPPORTED_SYNTAX"
+    """lines (line) -> line, s, p, o and o_kind; a line that doesn't parse fails the job.
+
+    Lines are checked once, by a filter of their own; the terms are plain parts of a split, so later filters on them stay cheap wherever Catalyst puts them.
+    """
     parts = F.split("line", BLANKS, 3)
     s, p, rest = (F.get(parts, F.lit(k)) for k in range(3))
     o = F.regexp_replace(rest, STOP, "")
-    fits = s.rlike(f"^(?:{IRI}|{BNODE})$") & p.rlike(f"^{IRI}$") & rest.rlike(STOP)
-    fits = fits & (o.rlike(f"^(?:{IRI}|{BNODE}|{LITERAL})$") if strict else o != "")
-    s = F.when(fits, s).otherwise(F.raise_error(F.concat(F.lit(code + ": "), F.col("line"))))
-    return lines.select("line", s.alias("s"), p.alias("p"), o.alias("o"), kind(o).alias("o_kind"))
+    fits = F.col("line").rlike(LINE) if strict else s.rlike(f"^(?:{IRI}|{BNODE})$") & p.rlike(f"^{IRI}$") & rest.rlike(STOP) & (o != "")
+    fail = F.raise_error(F.concat(F.lit((STRICT_CODE if strict else LAX_CODE) + ": "), F.coalesce("line", F.lit("null"))))
+    checked = lines.where(F.when(F.coalesce(fits, F.lit(False)), True).otherwise(fail.cast("boolean")))
+    return checked.select("line", s.alias("s"), p.alias("p"), o.alias("o"), kind(o).alias("o_kind"))
 
 
 def kind(term: Column) -> Column:
