@@ -23,6 +23,12 @@ def decode_text(text: str) -> str:
     return _ESCAPE.sub(_decoded, text)
 
 
+def decode_all_text(text: str) -> str:
+    """All escapes as characters, those of eight digits first, quotes and backslashes too; a code point that there isn't stays."""
+    point = lambda m: chr(int(m[1], 16)) if int(m[1], 16) <= 0x10FFFF and not 0xD800 <= int(m[1], 16) < 0xE000 else m[0]
+    return re.sub(r"\\u([0-9A-Fa-f]{4})", point, re.sub(r"\\U([0-9A-Fa-f]{8})", point, text))
+
+
 def encode_text(text: str) -> str:
     return "".join(c if " " <= c <= "~" else f"\\u{ord(c):04X}" if ord(c) < 0x10000 else f"\\U{ord(c):08X}" for c in text)
 
@@ -35,3 +41,8 @@ def decode(text: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def encode(text: pd.Series) -> pd.Series:
     return text.map(encode_text, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def decode_all(text: pd.Series) -> pd.Series:
+    return text.map(decode_all_text, na_action="ignore")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the form of an instance's UUID.
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
 
 
@@ -21,6 +22,8 @@ class Names:
     #: Sources and query services of an instance are these, then a point or hyphen, then its UUID.
     instance_source: str = "custom-source"
     instance_query: str = "custom-query"
+    #: What an inventory calls a subject that is an entity.
+    entity_type: str = "wikibase-entity"
     first_instance: str = "00000000-0000-4000-8000-000000000001"
 
     def graph(self, kind: str, entity: Column | None = None) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import escapes
+from ..functions.names import NAMES, Names
 from .normalize import DUMP, EXPORT_PREDICATES, triple_class
 
 # Categories of subjects by what they contain, in the order of the rules.
@@ -26,12 +28,13 @@ def object_category(o: Column) -> Column:
     return F.when(o.startswith("_:"), "BLANK_NODE").when(o.startswith("<"), "IRI").otherwise("LITERAL")
 
 
-def subject_type(s: Column) -> Column:
-    return F.when(s.contains("/wiki/Special:EntityData/"), "entity-export").when(s == DUMP, "dump-export").when(s.contains("/entity/"), "entity").otherwise("other")
+def subject_type(s: Column, names: Names = NAMES) -> Column:
+    return F.when(s.contains("/wiki/Special:EntityData/"), "entity-export").when(s == DUMP, "dump-export").when(s.contains("/entity/"), names.entity_type).otherwise("other")
 
 
 def treatment(s: Column, p: Column) -> Column:
     """(semantic, treatment) that is proposed for a difference: provenance moves to the manifest, all else is unknown."""
+    # What a semantic and a treatment are called.
     of = lambda semantic, what: F.struct(F.lit(semantic).alias("semantic"), F.lit(what).alias("treatment"))
     export = s.contains("/wiki/Special:EntityData/") & p.isin(EXPORT_PREDICATES)
     return (
@@ -60,12 +63,14 @@ def without_serialisation(lines: DataFrame) -> DataFrame:
 
 
 def older_line_form(line: Column) -> Column:
-    """The older normal form: one space for tabs, and decimals without plus and trailing zeros; leading zeros stay."""
+    """The older normal form: one space for tabs, all code-point escapes as characters, and decimals without plus and trailing zeros; leading zeros stay."""
     datatype = r"\^\^<http://www\.w3\.org/2001/XMLSchema#decimal>"
     line = F.regexp_replace(line, r"\t+", " ")
+    line = F.coalesce(escapes.decode_all(F.when(line.rlike(r"\\[uU]"), line)), line)
     line = F.regexp_replace(line, rf'"\+(-?[0-9]+(?:\.[0-9]+)?)"(?={datatype})', '"$1"')
-    line = F.regexp_replace(line, rf'"(-?[0-9]+\.[0-9]*?)0+"(?={datatype})', '"$1"')
-    return F.regexp_replace(line, rf'"(-?[0-9]+)\."(?={datatype})', '"$1"')
+    # digits stand on both sides of a point before zeros go, and the point goes with them
+    line = F.regexp_replace(line, rf'"(-?[0-9]+\.[0-9]*[1-9])0+"(?={datatype})', '"$1"')
+    return F.regexp_replace(line, rf'"(-?[0-9]+)\.0+"(?={datatype})', '"$1"')
 
 
 def missing(lines: DataFrame, needles: list[str]) -> DataFrame:
@@ -73,9 +78,3 @@ def missing(lines: DataFrame, needles: list[str]) -> DataFrame:
     seen = lines.agg(*[F.coalesce(F.bool_or(F.contains("line", F.lit(n))), F.lit(False)).alias(f"n{k}") for k, n in enumerate(needles)])
     rows = F.array(*[F.struct(F.lit(n).alias("needle"), F.col(f"n{k}").alias("seen")) for k, n in enumerate(needles)])
     return seen.select(F.inline(rows)).where("not seen").select("needle")
-
-
-def first_parts(lines: DataFrame, words: int) -> DataFrame:
-    """line, and its first words as s, p, ..."""
-    parts = F.split("line", " ", words + 1)
-    return lines.select("line", *[F.get(parts, F.lit(k)).alias(c) for k, c in zip(range(words), "spo")])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import NAMES, Names, checked_entity
 from ..sources.store import save
 
+# Objects that an entity's closure follows, and subjects that belong to an entity.
 FOLLOWED = "/(entity/statement|value|reference)/"
 ROOT = r"(?:/entity|/wiki/Special:EntityData)/([QP][1-9][0-9]*)>$"
 

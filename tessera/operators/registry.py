@@ -75,7 +75,8 @@ def observed(candidates: DataFrame, sources: DataFrame, graphs: DataFrame, now:
     """
     counts = graphs.groupBy("generation").agg(*[F.count_if(F.col("partition_kind") == k).alias(k.lower()) for k in KINDS])
     rows = candidates.join(sources, "source").join(counts, "generation", "left")
-    made = freshness(F.struct("ts", "rcid"), F.struct(F.col("head_ts").alias("ts"), F.col("head_rcid").alias("rcid")), now)
+    own = F.when(F.col("ts").isNotNull() & F.col("rcid").isNotNull(), F.struct("ts", "rcid"))  # none before the first commit
+    made = freshness(own, F.struct(F.col("head_ts").alias("ts"), F.col("head_rcid").alias("rcid")), now)
     ready = made["caught_up"] & (F.col("sync_state") == "CURRENT") & (F.col("schema_state") == "CURRENT")
     return rows.select(
         "source", "generation", made["caught_up"].alias("caught_up"), made["lag"].alias("lag"), ready.alias("ready_for_validation"),
@@ -84,7 +85,7 @@ def observed(candidates: DataFrame, sources: DataFrame, graphs: DataFrame, now:
 
 
 def public_error(reasons: Column) -> Column:
-    """The one code that is told of reasons against a retirement, by priority."""
+    """The one code that is told of reasons against a retirement, by priority. The groups and codes are fixed values."""
     any_of = lambda *names: F.arrays_overlap(reasons, F.array(*map(F.lit, names)))
     return (
         F.when(any_of("PROMOTION_INCOMPLETE"), "INCOMPLETE_PROMOTION")

@@ -15,10 +15,13 @@ SOURCE_STATES = {
 IDLE_FROM = ["BOOTSTRAPPING", "CATCHING_UP", "STALE"]
 VERSION = "<http://schema.org/version>"
 MAX_ENTITY_BYTES = 2_000_000
+# Fixed value: an entity graph without exactly one revision.
+AMBIGUOUS_REVISION = "SNAPSHOT_ENTITY_REVISION_AMBIGUOUS"
 
 
 def cursor_fault(source: Column, ts: Column, rcid: Column) -> Column:
     """Why a cursor is none, or null: source name, rcid of 0 or more, a whole second of UTC that exists."""
+    # The three messages and the forms of a source's name and of a second.
     sound = lambda c: F.coalesce(c, F.lit(False))
     whole = ts.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$") & F.try_to_timestamp(ts).isNotNull()
     return (
@@ -63,26 +66,35 @@ def idle_state(state: Column, schema_state: Column, seen: Column) -> Column:
 def exact_revision(wanted: DataFrame, pages: DataFrame, texts: DataFrame) -> DataFrame:
     """wanted (entity_id, revision) -> the same with fault, null where the text of just that revision is sound.
 
-    pages: entity_id, title, last_revision. texts: entity_id, revision, rdf.
+    pages: entity_id, title, last_revision. texts: entity_id, revision, rdf. A page counts only under the title of its kind, Item or Property.
     """
     rows = wanted.join(pages, "entity_id", "left").join(texts, ["entity_id", "revision"], "left")
-    named = F.coalesce(F.split_part("title", F.lit(":"), F.lit(-1)) == F.col("entity_id"), F.lit(False))
+    sound = lambda c: F.coalesce(c, F.lit(False))
+    kind = F.when(F.col("entity_id").startswith("Q"), "Item:").otherwise("Property:")
     iri = F.contains("rdf", F.concat(F.lit("/entity/"), "entity_id", F.lit(">")))
     version = F.contains("rdf", F.concat(F.lit(f'{VERSION} "'), F.col("revision").cast("string"), F.lit('"')))
+    # The error codes of a fetch.
     fault = (
-        F.when(~F.coalesce(F.col("entity_id").rlike("^[QP][1-9][0-9]*$"), F.lit(False)), "invalid entity ID")
-        .when(~named, "PAGE_MISMATCH").when(F.col("last_revision") < F.col("revision"), "REVISION_NOT_AVAILABLE").when(F.col("rdf").isNull(), "RDF_MISSING")
-        .when(F.octet_length("rdf") > MAX_ENTITY_BYTES, "RDF_TOO_LARGE").when(~iri, "ENTITY_MISSING").when(~version, "REVISION_MISMATCH")
+        F.when(~sound(F.col("entity_id").rlike("^[QP][1-9][0-9]*$") & (F.col("revision") >= 1)), "invalid entity fetch input")
+        .when(~sound((F.col("title") == F.concat(kind, "entity_id")) & (F.col("last_revision") >= F.col("revision"))), "REVISION_MISMATCH")
+        .when(F.col("rdf").isNull(), "ENTITY_MISSING").when(F.octet_length("rdf") > MAX_ENTITY_BYTES, "ENTITY_RDF_TOO_LARGE").when(~(iri & version), "REVISION_EVIDENCE_MISSING")
     )
     return rows.select("entity_id", "revision", fault.alias("fault"))
 
 
-def checked_revision(versions: DataFrame) -> DataFrame:
-    """graph, revision, error of version triples (graph, o): exactly one distinct version of 1 or more, or an error."""
-    number = F.regexp_extract("o", r'^"([0-9]+)"', 1).try_cast("long")
-    per = versions.groupBy("graph").agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
+def checked_revision(dataset: DataFrame) -> DataFrame:
+    """graph, revision, error of each entity graph of a dataset (graph, partition_kind, line).
+
+    A graph's revision is the one version of 1 or more that the entity or its document is said to have; none, or several, is an error.
+    """
+    parts = F.split("line", " ", 4)
+    s, p, o = (F.get(parts, F.lit(k)) for k in range(3))
+    entity = F.substring_index("graph", ":", -1)
+    own = s.endswith(F.concat(F.lit("/entity/"), entity, F.lit(">"))) | s.endswith(F.concat(F.lit("/wiki/Special:EntityData/"), entity, F.lit(">")))
+    number = F.when((p == VERSION) & own, F.regexp_extract(o, r'^"([0-9]+)"', 1).try_cast("long"))
+    per = dataset.where("partition_kind = 'ENTITY'").groupBy("graph").agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
     sound = F.coalesce((F.col("lo") == F.col("hi")) & (F.col("lo") >= 1), F.lit(False))
-    return per.select("graph", F.when(sound, F.col("lo")).alias("revision"), F.when(~sound, "SNAPSHOT_ENTITY_REVISION_AMBIGUOUS").alias("error"))
+    return per.select("graph", F.when(sound, F.col("lo")).alias("revision"), F.when(~sound, AMBIGUOUS_REVISION).alias("error"))
 
 
 def replaced(dataset: DataFrame, graphs: DataFrame) -> DataFrame:

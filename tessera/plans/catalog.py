@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import NAMES
-from ..operators import changes, compare, contracts, control, inventory, lifecycle, machine, normalize, partition, patterns, registry, sync
+from ..operators import changes, compare, contracts, control, inventory, lifecycle, loader, machine, normalize, partition, patterns, registry, sync
 from ..sources import triples as T
 from ..sources.store import save, table
 
@@ -105,7 +105,15 @@ def partition_counts(spark, sf_dir):
 
 @query(f"{GRAPHS} select graph, sha256(string_agg(line, chr(10) order by line) || chr(10)) as checksum from graphs where partition_kind <> 'GLOBAL' group by 1")
 def graph_checksums(spark, sf_dir):
-    return dataset(spark, sf_dir).where("partition_kind <> 'GLOBAL'").groupBy("graph").agg(normalize.checksum(F.col("line")).alias("checksum"))
+    return loader.registry(dataset(spark, sf_dir)).where("partition_kind <> 'GLOBAL'").select("graph", "checksum")
+
+
+@query(f"""{GRAPHS}, per as (select graph, partition_kind, line, nullif(regexp_extract(line, '/(?:entity|wiki/Special:EntityData)/' || regexp_extract(graph, '[^:]*$') || '> <http://schema.org/version> "([0-9]+)"', 1), '')::bigint as v from graphs where partition_kind <> 'GLOBAL')
+select graph, partition_kind, regexp_extract(graph, '[^:]*$') as entity_id, count(*) as lines, sha256(string_agg(line, chr(10) order by line) || chr(10)) as checksum, case when partition_kind = 'ENTITY' and count(distinct v) = 1 then min(v) end as revision,
+  case when partition_kind = 'ENTITY' and count(distinct v) <> 1 then 'SNAPSHOT_ENTITY_REVISION_AMBIGUOUS' end as error from per group by 1, 2
+union all select 'urn:kg:global', 'GLOBAL', null, count(*) filter (where partition_kind = 'GLOBAL'), sha256(string_agg(line, chr(10) order by line) filter (where partition_kind = 'GLOBAL') || chr(10)), null, null from graphs""")
+def graph_registry(spark, sf_dir):
+    return loader.registry(dataset(spark, sf_dir))
 
 
 @query(f"{GRAPHS} select concat(left(line, length(line) - 2), ' <', graph, '> .') as quad from graphs")
@@ -481,7 +489,7 @@ def inventory_categories(spark, sf_dir):
     return inventory.summary(rows, "subject", "predicate", "object")
 
 
-@query(f"""{LINES} select case when s like '%/wiki/Special:EntityData/%' then 'entity-export' when s = '{normalize.DUMP}' then 'dump-export' when s like '%/entity/%' then 'entity' else 'other' end as subject_type,
+@query(f"""{LINES} select case when s like '%/wiki/Special:EntityData/%' then 'entity-export' when s = '{normalize.DUMP}' then 'dump-export' when s like '%/entity/%' then '{NAMES.entity_type}' else 'other' end as subject_type,
 case when s = '{normalize.DUMP}' then 'export-provenance' when s like '%/wiki/Special:EntityData/%' and p = '<http://schema.org/softwareVersion>' then 'entity-export-provenance' else 'unclassified' end as semantic,
 case when s = '{normalize.DUMP}' or s like '%/wiki/Special:EntityData/%' and p = '<http://schema.org/softwareVersion>' then 'MOVE_TO_GENERATION_MANIFEST' else 'REJECT_UNKNOWN' end as treatment, count(*) as n from lines group by 1, 2, 3""")
 def inventory_treatment(spark, sf_dir):
@@ -508,9 +516,18 @@ def nt_strip_metadata(spark, sf_dir):
     return inventory.without_serialisation(T.bridge(spark, sf_dir))
 
 
-@query(f"{LINES} select line_ as line, count(*) as n from (select case when p = '<http://wikiba.se/ontology#quantityAmount>' then replace(replace(line, '\"+', '\"'), '.500\"', '.5\"') else line end as line_ from lines) group by 1")
+DECIMAL = "^^<http://www.w3.org/2001/XMLSchema#decimal>"
+#: Objects with odd lexical forms, and what the older form makes of them.
+ODD_FORMS = [(f'"5."{DECIMAL}', f'"5."{DECIMAL}'), (f'"+007.00"{DECIMAL}', f'"007"{DECIMAL}'), ('"\\u65E5\\u0022 \\U0001F600"', '"日" 😀"'), (f'"-1.10"{DECIMAL}', f'"-1.1"{DECIMAL}'), (f'"+-20.0500"{DECIMAL}', f'"-20.05"{DECIMAL}'), (f'"100"{DECIMAL}', f'"100"{DECIMAL}')]
+
+
+@query(f"""{LINES} select line_ as line, count(*) as n from (select case when p = '<http://wikiba.se/ontology#quantityAmount>' then replace(replace(line, '"+', '"'), '.500"', '.5"') else line end as line_ from lines
+union all select concat('<http://b/part/', p_partkey, '> <http://b/form> ', case p_partkey % {len(ODD_FORMS)} {' '.join(f"when {k} then '{after}'" for k, (_, after) in enumerate(ODD_FORMS))} end, ' .') from part) group by 1""")
 def nt_normalize_older(spark, sf_dir):
-    return T.bridge(spark, sf_dir).groupBy(inventory.older_line_form(F.col("line")).alias("line")).agg(F.count("*").alias("n"))
+    forms = F.array(*[F.lit(before) for before, _ in ODD_FORMS])
+    form = F.get(forms, (F.col("p_partkey") % len(ODD_FORMS)).cast("int"))
+    odd = table(spark, sf_dir, "part").select(F.concat(F.lit("<http://b/part/"), F.col("p_partkey").cast("string"), F.lit(">\t\t<http://b/form> "), form, F.lit(" .")).alias("line"))
+    return T.bridge(spark, sf_dir).unionByName(odd).groupBy(inventory.older_line_form(F.col("line")).alias("line")).agg(F.count("*").alias("n"))
 
 
 @query(f"{GRAPHS} select direction, {CLASS} as class, count(*) as n from (select 'canonicalOnly' as direction, graph, line from (select graph, line from graphs except select graph, line from {SECOND}) union all select 'generationOnly', graph, line from (select graph, line from {SECOND} except select graph, line from graphs)) group by 1, 2")
@@ -631,17 +648,25 @@ def state_mapping(spark, sf_dir):
     return rows.select("event_id", mapped.alias("generation_state"), sync.idle_state(F.col("state"), F.col("schema_state"), F.col("seen")).alias("idle_state"), told.alias("told"))
 
 
-@query(f"{GRAPHS} select graph, case when count(distinct o) = 1 then min(regexp_extract(o, '\"([0-9]+)\"', 1)::bigint) end as revision, case when count(distinct o) > 1 then 'SNAPSHOT_ENTITY_REVISION_AMBIGUOUS' end as error from (select graph, o from graphs where p = '<http://schema.org/version>' union all select '{NAMES.graphs}:entity:Q' || (100 + n_nationkey), '\"99\"' from nation where n_regionkey = 1) group by 1")
+#: More lines of entity graphs: a second version of the document of some entities, and one of a subject that isn't the entity.
+MORE = f"""select concat('{NAMES.graphs}:entity:Q', 100 + n_nationkey) as graph, concat('<http://b/', case when n_regionkey = 1 then concat('wiki/Special:EntityData/Q', 100 + n_nationkey) else 'entity/statement/Q1-x' end, '> <http://schema.org/version> "99" .') as line
+  from nation where n_regionkey in (1, 2)"""
+
+
+@query(f"""{GRAPHS}, everything as (select graph, line from graphs where partition_kind = 'ENTITY' union all {MORE}),
+found as (select graph, nullif(regexp_extract(line, '/(?:entity|wiki/Special:EntityData)/' || regexp_extract(graph, '[^:]*$') || '> <http://schema.org/version> "([0-9]+)"', 1), '')::bigint as v from everything)
+select graph, case when count(distinct v) = 1 and min(v) >= 1 then min(v) end as revision, case when not (count(distinct v) = 1 and min(v) >= 1) then 'SNAPSHOT_ENTITY_REVISION_AMBIGUOUS' end as error from found group by 1""")
 def checked_revisions(spark, sf_dir):
-    more = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(NAMES.graph("entity", F.concat(F.lit("Q"), (F.col("n_nationkey") + 100).cast("string"))).alias("graph"), F.lit('"99"').alias("o"))
-    return sync.checked_revision(versions(spark, sf_dir).unionByName(more))
+    more = spark.sql(MORE.replace("from nation", "from {nation}"), nation=table(spark, sf_dir, "nation")).withColumn("partition_kind", F.lit("ENTITY"))
+    return sync.checked_revision(dataset(spark, sf_dir).select("graph", "partition_kind", "line").unionByName(more))
 
 
-WANTED = """select concat('Q', c_custkey + 1) as entity_id, c_custkey % 50 + case when c_custkey % 7 = 0 then 1 else 0 end as revision, case when c_custkey % 11 <> 0 then concat('Item:Q', c_custkey + 1) else 'Item:Q0' end as title, c_custkey % 50 as last_revision,
+WANTED = """select concat('Q', c_custkey + 1) as entity_id, c_custkey % 50 + case when c_custkey % 7 = 0 then 1 else 0 end as revision, case when c_custkey % 11 <> 0 then concat(case when c_custkey % 19 = 0 then 'User talk:Q' else 'Item:Q' end, c_custkey + 1) else 'Item:Q0' end as title, c_custkey % 50 as last_revision,
 case when c_custkey % 13 <> 0 then concat('<http://b/entity/Q', c_custkey + 1, '> <http://schema.org/version> "', c_custkey % 50 - case when c_custkey % 17 = 0 then 1 else 0 end, '"') end as rdf from customer"""
 
 
-@query("""select 'Q' || (c_custkey + 1) as entity_id, c_custkey % 50 + case when c_custkey % 7 = 0 then 1 else 0 end as revision, case when c_custkey % 11 = 0 then 'PAGE_MISMATCH' when c_custkey % 7 = 0 then 'REVISION_NOT_AVAILABLE' when c_custkey % 13 = 0 then 'RDF_MISSING' when c_custkey % 17 = 0 then 'REVISION_MISMATCH' end as fault from customer""")
+@query("""select 'Q' || (c_custkey + 1) as entity_id, c_custkey % 50 + case when c_custkey % 7 = 0 then 1 else 0 end as revision,
+case when c_custkey % 50 = 0 and c_custkey % 7 <> 0 then 'invalid entity fetch input' when c_custkey % 11 = 0 or c_custkey % 19 = 0 or c_custkey % 7 = 0 then 'REVISION_MISMATCH' when c_custkey % 13 = 0 then 'ENTITY_MISSING' when c_custkey % 17 = 0 then 'REVISION_EVIDENCE_MISSING' end as fault from customer""")
 def exact_revisions(spark, sf_dir):
     rows = spark.sql(WANTED.replace("from customer", "from {customer}"), customer=table(spark, sf_dir, "customer"))
     return sync.exact_revision(rows.select("entity_id", "revision"), rows.select("entity_id", "title", "last_revision"), rows.where("rdf is not null").select("entity_id", "revision", "rdf"))

@@ -12,10 +12,12 @@ _saved: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or an own folder where that is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset a local master has a folder of its own; on a cluster other machines couldn't read that, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
     return _own_folder[0]
