@@ -70,6 +70,57 @@ def suite(triples: DataFrame, checks: dict[str, list[tuple[str, str, str]]]) ->
     return reduce(DataFrame.unionByName, [ask(triples, p).select(F.lit(name).alias("name"), "answer") for name, p in checks.items()])
 
 
+def quads(dataset: DataFrame) -> DataFrame:
+    """graph, s, p, o of a dataset (graph, line)."""
+    parts = F.split("line", " ", 3)
+    return dataset.select("graph", F.get(parts, F.lit(0)).alias("s"), F.get(parts, F.lit(1)).alias("p"), F.regexp_replace(F.get(parts, F.lit(2)), r"\s*\.$", "").alias("o"))
+
+
+def match_in(rows: DataFrame, graph: str, pattern: tuple[str, str, str]) -> DataFrame:
+    """Bindings of GRAPH graph { pattern } over quads; graph is an IRI's text, or a variable, which is bound as well."""
+    if graph.startswith("?"):
+        found = rows.select(F.concat(F.lit("<"), "graph", F.lit(">")).alias("_g"), "s", "p", "o")
+        same = [c for c, t in zip("spo", pattern) if t == graph]  # a variable that also stands in the pattern
+        for c in same:
+            found = found.where(F.col(c) == F.col("_g"))
+        variables = {t[1:]: c for c, t in reversed(list(zip("spo", pattern))) if t.startswith("?")}
+        found = found.where(holds(pattern))
+        return found.select(F.col("_g").alias(graph[1:]), *[F.col(c).alias(v) for v, c in sorted(variables.items()) if v != graph[1:]])
+    return match(rows.where(F.col("graph") == graph), pattern)
+
+
+def holds(pattern: tuple[str, str, str], graph: str | None = None) -> Column:
+    """Whether a row of triples, or of quads where a graph is named, matches one pattern."""
+    pattern = (pattern[0], TYPE if pattern[1] == "a" else pattern[1], pattern[2])
+    tests, first = [F.lit(True)], {}
+    for column, term in zip("spo", pattern):
+        if not term.startswith("?"):
+            tests.append(F.col(column) == term)
+        elif term in first:
+            tests.append(F.col(column) == F.col(first[term]))
+        else:
+            first[term] = column
+    if graph is not None and not graph.startswith("?"):
+        tests.append(F.col("graph") == graph)
+    return reduce(Column.__and__, tests)
+
+
+def asked_once(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """name, answer of checks that each look for one row (conditions, such as `holds(...) & filter`): all in a single scan and one aggregate."""
+    found = rows.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"c{k}") for k, c in enumerate(checks.values())])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"c{k}").alias("answer")) for k, name in enumerate(checks)])))
+
+
+def isolation_faults(own: DataFrame, seen: DataFrame) -> DataFrame:
+    """own (instance, label), seen (instance, label) -> instance, other, fault: labels of another instance that one shows (LEAKED), and instances that don't
+    show their own (HIDDEN, with other = instance). By label, so no instance meets all others."""
+    own, seen = own.distinct(), seen.distinct()
+    met = seen.join(own.withColumnRenamed("instance", "other"), "label")
+    leaked = met.where("other <> instance").select("instance", "other", F.lit("LEAKED").alias("fault")).distinct()
+    hidden = own.join(seen, ["instance", "label"], "left_anti").select("instance", F.col("instance").alias("other"), F.lit("HIDDEN").alias("fault")).distinct()
+    return leaked.unionByName(hidden)
+
+
 def construct(bindings: DataFrame, template: list[tuple[str, str, str]]) -> DataFrame:
     term = lambda t: F.col(t[1:]) if t.startswith("?") else F.lit(t)
     parts = [bindings.select(*[term(t).alias(c) for c, t in zip(("s", "p", "o"), row)]) for row in template]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import NAMES
-from ..operators import changes, compare, contracts, control, inventory, lifecycle, loader, machine, normalize, partition, patterns, registry, sync
+from ..operators import changes, compare, contracts, control, inventory, lifecycle, loader, machine, normalize, partition, patterns, rebuild, registry, sync, validate
 from ..sources import triples as T
 from ..sources.store import save, table
 
@@ -200,6 +200,52 @@ def pattern_describe(spark, sf_dir):
     return patterns.describe(kept_triples(spark, sf_dir).select("s", "p", "o"), "<http://b/entity/Q1000001>")
 
 
+# Checks of one row each, over the quads of named graphs or of any: name -> (graph, pattern, condition in SQL).
+QUAD_SUITE = {
+    "label": ("?g", ("?s", LABEL, "?o"), None),
+    "label-in-graph": ("urn:kg:entity:Q101", ("<http://b/entity/Q101>", LABEL, "?o"), None),
+    "label-elsewhere": ("urn:kg:entity:Q102", ("<http://b/entity/Q101>", LABEL, "?o"), None),
+    "typed": ("?g", ("?s", "a", "<http://wikiba.se/ontology#Item>"), None),
+    "string": ("?g", ("?s", "?p", '"BUILDING"'), None),
+    "quantity": ("?g", ("?s", "<http://wikiba.se/ontology#quantityAmount>", "?o"), "o like '\"+0%'"),
+    "unknown": ("?g", ("?s", "?p", '"nowhere"'), None),
+    "property-schema": ("urn:kg:schema:P3", ("?s", "?p", "?o"), None),
+    "no-schema": ("urn:kg:schema:P99", ("?s", "?p", "?o"), None),
+    "reference": ("?g", ("?s", "<http://www.w3.org/ns/prov#wasDerivedFrom>", "?o"), "o like '%/reference/%'"),
+    "self": ("?g", ("?s", "?p", "?s"), None),
+}
+
+
+def _suite_sql(graph, pattern, condition) -> str:
+    tests = [f"{c} = '{patterns.TYPE if t == 'a' else t}'" for c, t in zip("spo", pattern) if not t.startswith("?")] + ([f"graph = '{graph}'"] if graph[0] != "?" else []) + ([condition] if condition else [])
+    tests += ["s = o"] if pattern[0] == pattern[2] else []
+    return " and ".join(tests) or "true"
+
+
+@query(f"{GRAPHS}" + " union all ".join(f" select '{name}' as name, coalesce(bool_or({_suite_sql(*check)}), false) as answer from graphs" for name, check in QUAD_SUITE.items()))
+def quad_suite(spark, sf_dir):
+    rows = patterns.quads(dataset(spark, sf_dir))
+    return patterns.asked_once(rows, {name: patterns.holds(pattern, graph) & (F.expr(condition) if condition else F.lit(True)) for name, (graph, pattern, condition) in QUAD_SUITE.items()})
+
+
+@query(f"{GRAPHS} select '<' || graph || '>' as g, s as item, o as label from graphs where p = '{LABEL}'")
+def pattern_graph_variable(spark, sf_dir):
+    return patterns.match_in(patterns.quads(dataset(spark, sf_dir)), "?g", ("?item", LABEL, "?label")).select("g", "item", "label")
+
+
+#: Instances with a label of their own, and what they show: some show another's, some not their own.
+OWN_LABELS = "select s_suppkey as instance, concat('label ', s_suppkey % 900) as label from supplier"
+SEEN_LABELS = "select s_suppkey as instance, concat('label ', s_suppkey % 900) as label from supplier where s_suppkey % 13 <> 0 union all select s_suppkey, concat('label ', (s_suppkey + 1) % 900) from supplier where s_suppkey % 7 = 0"
+
+
+@query(f"""with own as ({OWN_LABELS}), seen as ({SEEN_LABELS})
+select distinct seen.instance, own.instance as other, 'LEAKED' as fault from seen join own using (label) where own.instance <> seen.instance
+union all select instance, instance, 'HIDDEN' from own where not exists (select 1 from seen where seen.instance = own.instance and seen.label = own.label)""")
+def isolation_matrix(spark, sf_dir):
+    read = lambda sql: spark.sql(sql.replace("from supplier", "from {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    return patterns.isolation_faults(read(OWN_LABELS), read(SEEN_LABELS))
+
+
 # ---- change events -------------------------------------------------------------------------------------------------
 # The event bridge, in SQL that Spark and DuckDB both run. Entities follow users; revisions are a running sum.
 EVENTS = """
@@ -697,6 +743,26 @@ def unverified_revisions(spark, sf_dir):
     return sync.unverified(graphs, decided.groupBy("entity_id").agg(F.max("revid").alias("revision")))
 
 
+# ---- contracts -----------------------------------------------------------------------------------------------------
+#: A sound contract, changes to its text, and the paths that each breaks.
+CONTRACT = '{"contractVersion":"runtime-v1","distribution":{"type":"kg","version":"1.2.3-rc.1"},"instance":{"id":"00000000-0000-4000-8000-000000000001"},"endpoints":{"mediawiki":"http://a.example/w","actionApi":"https://a.example/api.php"},"health":{"state":"healthy"},"queryService":{"enabled":true,"backendType":"one","logicalEndpoint":"http://a.example/sparql","syncState":"CURRENT","freshness":{"cursorTimestamp":"2024-01-01T00:00:00Z","sourceHeadTimestamp":null,"lagSeconds":5,"syncLagSeconds":5,"sourceIdleSeconds":null},"servingGeneration":"gen-a"},"capabilities":{"queryOptional":true,"instanceStopPreservesData":false}}'
+BREAKS = [
+    ("runtime-v1", "runtime-v1", ""), ('"healthy"', '"fine"', "health.state"), ('"version":"1.2.3-rc.1"', '"version":"01.2.3"', "distribution.version"), ('"type":"kg",', "", "distribution.unexpected-or-missing-field"),
+    ('"lagSeconds":5,', '"lagSeconds":6,', "queryService.freshness.lagSeconds"), ('"enabled":true,', '"enabled":false,', "queryService.unexpected-or-missing-field"), ('"enabled":true', '"enabled":"true"', "queryService.enabled"),
+    ("http://a.example/w", "ftp://a.example/w", "endpoints.mediawiki"), ("https://a.example/api.php", "https://user@a.example/api.php", "endpoints.actionApi"), ('{"state":"healthy"}', '["healthy"]', "health"),
+    ("2024-01-01T00:00:00Z", "2024-13-01T00:00:00Z", "queryService.freshness.cursorTimestamp"), ('"queryOptional":true', '"queryOptional":false', "capabilities.queryOptional"),
+    ('"gen-a"},"capabilities"', '"gen_a","more":1},"capabilities"', "queryService.unexpected-or-missing-field,queryService.servingGeneration"), ("00000000-0000-4000", "00000000-0000-9000", "instance.id"),
+    ('"lagSeconds":5,"syncLagSeconds":5', '"lagSeconds":-1,"syncLagSeconds":1.5', "queryService.freshness.lagSeconds,queryService.freshness.syncLagSeconds"), ('{"contractVersion"', '[{"contractVersion"', "contract"),
+]
+
+
+@query("select p_partkey as id, case p_partkey % " + str(len(BREAKS)) + " " + " ".join(f"when {k} then '{f}'" for k, (_, _, f) in enumerate(BREAKS)) + " end as faults from part")
+def contract_faults(spark, sf_dir):
+    texts = F.array(*[F.lit(CONTRACT.replace(a, b)) for a, b, _ in BREAKS])
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(texts, (F.col("p_partkey") % len(BREAKS)).cast("int")).alias("text"))
+    return rows.select("id", F.array_join(validate.faults(F.col("text"), validate.runtime("runtime-v1", "kg", ("one", "two"))), ",").alias("faults"))
+
+
 # ---- the state machine of a source ---------------------------------------------------------------------------------
 # Touches of entities by events, in SQL that Spark and DuckDB both run: twenty sources, revisions that count an entity's touches, merges that touch two
 # entities, and now and then a gap, an ambiguous event or lifecycle, a text that is missing or wrong, or an undelete without a tombstone.
@@ -786,16 +852,33 @@ def sync_sources(spark, sf_dir):
     return machine.source_states(machine_run(spark, sf_dir)[0])
 
 
-@query(f"""{STEPPED}, old as (select concat('{NAMES.graphs}:entity:', entity_id) as graph, entity_id, 'old' as line from (select distinct entity_id from steps)),
+SYNCED = f"""{STEPPED}, old as (select concat('{NAMES.graphs}:entity:', entity_id) as graph, entity_id, 'old' as line from (select distinct entity_id from steps)),
 last as (select entity_id, case when arg_max(outcome, (ts, rcid, part)) <> 'DELETED' then arg_max(revid, (ts, rcid, part)) end as revid from decided where not held and outcome in ('APPLIED', 'RESTORED', 'DELETED') group by 1)
 select graph, line from old where entity_id not in (select entity_id from last)
-union all select concat('{NAMES.graphs}:', kind, ':', entity_id), line from last join texts using (entity_id, revid)""")
+union all select concat('{NAMES.graphs}:', kind, ':', entity_id), line from last join texts using (entity_id, revid)"""
+
+
+@query(SYNCED)
 def sync_graphs(spark, sf_dir):
     decided, _, texts = machine_run(spark, sf_dir)
     old = decided.where("entity_id is not null and action <> 'NON_ENTITY_CHANGE'").select(NAMES.graph("entity", F.col("entity_id")).alias("graph"), F.lit("old").alias("line")).distinct()
     return machine.applied(old, decided, texts)
 
 
+@query(SYNCED)
+def rebuild_graphs(spark, sf_dir):
+    """A snapshot of the first half of the events, and the rest replayed from each source's cursor: the same graphs as of all events at once."""
+    events, resolved, first, texts = machine_inputs(spark, sf_dir)
+    events = save(events, "events")
+    middle = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    old = events.where("action <> 'NON_ENTITY_CHANGE'").select("entity_id", "rcid").unionByName(resolved.select(F.explode("entities.id").alias("entity_id"), "rcid"))
+    old = old.select(NAMES.graph("entity", F.col("entity_id")).alias("graph"), F.lit("old").alias("line")).distinct()
+    nothing = spark.createDataFrame([], "source string, ts timestamp_ntz, rcid long, status string, code string")
+    half = events.groupBy("source").agg(F.max(F.when(F.unix_micros(F.col("ts").cast("timestamp")) <= middle, F.struct("ts", "rcid"))).alias("x")).select("source", "x.ts", "x.rcid")
+    snapshot = rebuild.catch_up(rebuild.Candidate(old, first, nothing), events, resolved, texts, half.where("ts is not null"))
+    return rebuild.catch_up(snapshot, events, resolved, texts).dataset
+
+
 #: Changes of twenty sources in coarse seconds, so that pages end inside them.
 COARSE = "select concat('s', user_id % 20) as source, case when user_id % 20 = 7 then date_trunc('year', ts) else date_trunc('day', ts) end as ts, event_id as rcid from events"
 

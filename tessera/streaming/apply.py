@@ -68,6 +68,16 @@ class Root:
             changed = self.read(name).join(changed.select(key).distinct(), key, "left_anti").unionByName(changed)
         changed.write.mode("overwrite").parquet(f"{self.path}/{name}/number={number}")
 
+    def seed(self, states: DataFrame, sources: DataFrame) -> None:
+        """The first commit of a new root: where a candidate generation has come to, so that a stream goes on from there."""
+        if self.last()[0]:
+            raise ValueError(f"{self.path} has commits")
+        none = lambda c: F.lit(None).cast("string").alias(c)
+        self.write("graphs", self.read("graphs"), 1, False)
+        self.write("states", states.select("entity_id", "indexed_revision", "latest_seen_revision", "status", none("checksum"), none("error")), 1, False)
+        self.write("sources", sources.select("source", "ts", "rcid", "status", "code"), 1, False)
+        self.commit(1, 0)
+
     def commit(self, number: int, base: int) -> None:
         self.spark.createDataFrame([(base,)], "base long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/number={number}")
 
