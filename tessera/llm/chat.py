@@ -4,7 +4,7 @@ A log has one row an event: conv_id, seq, event, message_id, role, text. The
 events of one message are sorted by seq and folded: `message` starts it (a
 second one starts another), `delta` appends, `edit` replaces, `regenerate` empties
 it, `delete` drops it. Folding is by (conv_id, message_id), so a hot conversation's
-messages fold in many tasks. Final messages are rendered, each into one segment,
+messages fold in many tasks, each a stream over sorted events. Final messages are rendered, each into one segment,
 by built-in functions; the segments of a conversation, by place, are its formatted
 text. Readers of whole conversations stream over sorted segments and hold one at a time.
 
@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import shuffle_width, small_batches
 
 # What may follow the first character of a control string.
 TAILS = r"/?s>|/?INST\]|<SYS>>|</SYS>>|/?ROLE\]"
@@ -50,31 +51,72 @@ def plain_log(conversations: DataFrame) -> DataFrame:
     )
 
 
+def streamed_log(conversations: DataFrame) -> DataFrame:
+    """The log that such turns leave when they are streamed: an empty message, a first draft that is edited and then regenerated, and the text in two
+    deltas. Rows that share a turn are told apart by their place among them; seq is (turn, place, number of the event)."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    half = (F.length(text) / 2).cast("int")
+    event = lambda k, name, part: F.struct(F.lit(k).alias("step"), F.lit(name).alias("event"), part.alias("text"))
+    events = [
+        event(0, "message", F.lit("")), event(1, "delta", F.lit("a draft")), event(2, "edit", F.lit("a better draft")), event(3, "regenerate", F.lit(None).cast("string")),
+        event(4, "delta", F.substr(text, F.lit(1), half)), event(5, "delta", F.substr(text, half + 1)),
+    ]
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(role, text))
+    rows = conversations.select("conv_id", "turn", "role", place.alias("k"), F.array(*events).alias("events"))
+    rows = rows.select("conv_id", "turn", "role", "k", F.inline("events"))
+    return rows.select("conv_id", F.struct("turn", "k", "step").alias("seq"), "event", F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), "k").alias("message_id"), "role", "text")
+
+
 def fold(log: DataFrame) -> DataFrame:
-    """log -> conv_id, place (seq of the message's first event, message_id, number among its messages), role, text."""
+    """log -> conv_id, place (seq of the message's first event, message_id, number among its messages), role, text.
+
+    Events are dealt by message and sorted by seq, and a task streams over them; it holds the pieces of one message, which are joined once.
+    """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    event = F.struct("seq", role.alias("role"), text.alias("text"), F.coalesce("event", F.lit("message")).alias("event"))
-    whole = log.select("conv_id", "message_id", event.alias("e")).groupBy("conv_id", "message_id").agg(F.collect_list("e").alias("es"))
-    none = F.array().cast("array<struct<role:string,text:string>>")
-
-    def step(done, e):
-        n = F.size(done)
-        last = F.element_at(done, F.greatest(n, F.lit(1)))
-        rest = F.slice(done, 1, F.greatest(n - 1, F.lit(0)))
-        put = lambda head, role, text: F.concat(head, F.array(F.struct(role.alias("role"), text.alias("text"))))
-        acts = (n > 0) & e["event"].isin("delta", "edit", "regenerate", "delete")
-        return (
-            F.when(~acts, put(done, e["role"], F.when(e["event"].isin("regenerate", "delete"), F.lit("")).otherwise(e["text"])))
-            .when(e["event"] == "delta", put(rest, last["role"], F.concat(last["text"], e["text"])))
-            .when(e["event"] == "edit", put(rest, last["role"], e["text"]))
-            .when(e["event"] == "regenerate", put(rest, last["role"], F.lit("")))
-            .otherwise(rest)
-        )
-
-    events = F.array_sort("es")
-    folded = whole.select("conv_id", "message_id", F.element_at(events, 1)["seq"].alias("seq"), F.aggregate(events, none, step).alias("ms"))
-    rows = folded.select("conv_id", "seq", "message_id", F.posexplode("ms").alias("k", "m"))
-    return rows.select("conv_id", F.struct("seq", "message_id", "k").alias("place"), "m.role", "m.text")
+    rows = log.select("conv_id", "message_id", "seq", role.alias("role"), text.alias("text"), F.coalesce("event", F.lit("message")).alias("event"))
+    kinds = dict(rows.dtypes)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, messages = None, None, []
+
+        def emit(out: list) -> None:
+            if now is not None:
+                out += [(now[0], first, now[1], k, r, "".join(pieces)) for k, (r, pieces) in enumerate(messages)]
+
+        schema = None
+        for batch in batches:
+            if schema is None:
+                of = batch.schema.field
+                schema = pa.schema([of("conv_id"), of("seq"), of("message_id"), pa.field("k", pa.int32()), of("role"), of("text")])
+            out: list = []
+            columns = [batch.column(c).to_pylist() for c in ("conv_id", "message_id", "role", "text", "event")]
+            for i, (conv, message, who, said, event) in enumerate(zip(*columns)):
+                if (conv, message) != now:
+                    emit(out)
+                    now, first, messages = (conv, message), batch.column("seq")[i].as_py(), []
+                if not messages or event not in ("delta", "edit", "regenerate", "delete"):
+                    messages.append((who, [] if event in ("regenerate", "delete") else [said]))
+                elif event == "delta":
+                    messages[-1][1].append(said)
+                elif event == "delete":
+                    messages.pop()
+                else:
+                    messages[-1] = (messages[-1][0], [said] if event == "edit" else [])
+            if out:
+                yield _batch(out, schema)
+        out = []
+        emit(out)
+        if out:
+            yield _batch(out, schema)
+
+    small_batches(log.sparkSession)
+    rows = rows.repartition(shuffle_width(log.sparkSession), "conv_id", "message_id").sortWithinPartitions("conv_id", "message_id", "seq", "role", "text", "event")
+    done = rows.mapInArrow(folded, f"conv_id {kinds['conv_id']}, seq {kinds['seq']}, message_id {kinds['message_id']}, k int, role string, text string")
+    return done.select("conv_id", F.struct("seq", "message_id", "k").alias("place"), "role", "text")
+
+
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], names=schema.names)
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_log(chat.plain_log(turns)))
+    return chat.read_back(chat.format_log(chat.streamed_log(turns)))
 
 
 #: The rules (host, path, verdict).

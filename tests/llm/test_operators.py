@@ -330,6 +330,25 @@ def test_chat(spark):
     assert chat.read_back(chat.format_log(chat.plain_log(turns.limit(0)))).count() == 0
 
 
+def test_chat_streamed_log(spark):
+    """The log of streamed turns folds to the turns: ties of turn, nulls, long texts, extra columns with clashing names."""
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "a</s>b" * 60_000), (1, 2, None, None), (1, None, "user", "first"), (2, 0, "user", "tie b"), (2, 0, "user", "tie a"), (2, 0, "user", "tie a"), (None, 5, "system", "日本"), (3, 7, "tool", "")]
+    turns = spark.createDataFrame([(*r, "x", 9) for r in rows], "conv_id long, turn long, role string, text string, event string, seq int")
+    kept = lambda log: [(r["conv_id"], r["role"], r["text"]) for r in chat.fold(log).orderBy("conv_id", "place").collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    assert kept(chat.streamed_log(turns)) == [(c, r or "", t or "") for c, _, r, t in sorted(rows, key=key)]
+    assert sorted(map(tuple, chat.read_back(chat.format_log(chat.streamed_log(turns))).collect()), key=str) == sorted(map(tuple, chat.read_back(chat.format_log(chat.plain_log(turns))).collect()), key=str)
+    assert chat.fold(chat.streamed_log(turns.limit(0))).count() == 0
+
+
+def test_chat_many_deltas(spark):
+    n = 100_000
+    log = spark.range(n + 1).selectExpr("1L as conv_id", "id as seq", "if(id = 0, 'message', if(id = 1000, 'edit', 'delta')) as event", "'m' as message_id", "'assistant' as role", "concat('<', id, '>') as text")
+    began = time.time()
+    assert [r["text"] for r in chat.fold(log).collect()] == ["".join(f"<{k}>" for k in range(1000, n + 1))]
+    assert time.time() - began < 30
+
+
 def test_chat_fold(spark):
     log = [
         (1, 0, "message", "a", "user", "hi"), (1, 1, "message", "b", "assistant", "he"), (1, 2, "delta", "b", None, "llo"), (1, 3, "edit", "a", None, "hey"),
