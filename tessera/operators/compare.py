@@ -61,6 +61,8 @@ def colours(triples: DataFrame) -> DataFrame:
     """node, colour of each blank node: a hash of its incident lines, refined with its neighbours' colours until stable.
 
     A round only ever splits colours, so the colouring is stable once their count no longer grows: after n + 1 rounds at most.
+    Chains, such as lists, are told apart before by doubling: what a node sees along its only link of a direction is hashed over 1, 2, 4, ... links, so rounds
+    follow the logarithm of a chain's length. That says no more than rounds of one link would, so what is stable in the end is the same.
     Lines are combined by a sum of hashes, so a node with any number of lines needs no list; labels never enter a colour.
     """
     bare = lambda c: F.when(F.col(c).rlike(f"^{BNODE}$"), F.lit("@BNODE")).otherwise(F.col(c))
@@ -68,23 +70,45 @@ def colours(triples: DataFrame) -> DataFrame:
     arcs = None
     for own, other, side in ends:
         part = triples.where(F.col(own).startswith("_:")).select(
-            F.col(own).alias("node"), F.col(other).alias("other"), F.xxhash64(F.lit(side), "p", F.when(F.col("s") == F.col("o"), "@SELF").otherwise(bare(other))).alias("h")
+            F.col(own).alias("node"), F.col(other).alias("other"), F.xxhash64(F.lit(side), "p", F.when(F.col("s") == F.col("o"), "@SELF").otherwise(bare(other))).alias("h"), F.lit(side).alias("side")
         )
         arcs = part if arcs is None else arcs.unionByName(part)
     arcs = save(arcs, "arcs")
     digest = F.xxhash64(F.sum(F.col("h").cast("decimal(38,0)")), F.count("*"))
     now = save(arcs.groupBy("node").agg(digest.alias("colour")), "colours")
+    linked = arcs.where(F.col("other").startswith("_:"))
+    now = _along(now, linked.where(F.col("node") != F.col("other")))
     distinct, before = now.select("colour").distinct().count(), 0
     while distinct > before:
         near = now.withColumnRenamed("node", "other").withColumnRenamed("colour", "c")
         met = arcs.join(near, "other", "left").select("node", F.xxhash64("h", F.coalesce("c", F.lit(0))).alias("h"))
-        now = save(met.groupBy("node").agg(digest.alias("colour")), "colours")
+        # its own colour is part of what a node becomes, so that no round undoes a split
+        own = met.groupBy("node").agg(digest.alias("met")).join(now, "node")
+        now = save(own.select("node", F.xxhash64("met", "colour").alias("colour")), "colours")
         distinct, before = now.select("colour").distinct().count(), distinct
     return now
 
 
-#: Orders of tied nodes that are tried in one component, and lines that it may have; beyond them the job fails.
-SEARCH_LIMIT, MOST_LINES = 100_000, 100_000
+def _along(coloured: DataFrame, links: DataFrame) -> DataFrame:
+    """Colours (node, colour) with what stands along each node's only link of a side (links: node, other, h, side), by doubling."""
+    only = links.groupBy("node", "side").agg(F.count("*").alias("n"), F.min("other").alias("next"), F.min("h").alias("h")).where("n = 1")
+    now = save(only.join(coloured, "node").select("node", "side", "next", F.xxhash64("h", "colour").alias("seen")), "ways")
+    most, length = now.count(), 1
+    while length <= most:  # a ring has no end, but nothing new after as many links
+        far = now.select(F.col("node").alias("next"), "side", F.col("next").alias("after"), F.col("seen").alias("more"))
+        last = coloured.select(F.col("node").alias("next"), F.col("colour").alias("end"))
+        met = now.where("next is not null").join(far, ["next", "side"], "left").join(last, "next", "left")
+        met = met.select("node", "side", F.col("after").alias("next"), F.xxhash64("seen", F.coalesce("more", "end")).alias("seen"))
+        now = save(met.unionByName(now.where("next is null")), "ways")
+        if now.where("next is not null").isEmpty():
+            break
+        length *= 2
+    both = now.groupBy("node").agg(F.sum(F.xxhash64("side", "seen").cast("decimal(38,0)")).alias("way"))
+    return save(coloured.join(both, "node", "left").select("node", F.xxhash64("colour", F.coalesce("way", F.lit(0))).alias("colour")), "colours")
+
+
+#: Orders of tied nodes that are tried in one component; beyond them the job fails, as it must somewhere: they grow with the factorial of the tied nodes.
+SEARCH_LIMIT = 100_000
 #: Copies of one component are numbered in so many parts.
 PARTS = 256
 
@@ -111,8 +135,10 @@ def canonical_names(triples: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
     label = _components(tied.select("node"), near.where("s_colour is not null and o_colour is not null and s <> o").select("s", "o"))
     owned = near.join(label.withColumnRenamed("node", "s"), "s", "left").join(label.select(F.col("node").alias("o"), F.col("component").alias("far")), "o", "left")
     owned = save(owned.withColumn("component", F.coalesce("component", "far")).drop("far"), "owned")
-    over = owned.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > MOST_LINES)
-    if not over.isEmpty():
+    # a component's orders are counted before its lines come together, so one that can't be searched fails early whatever its size
+    tied_in = tied.join(label, "node").groupBy("component", "colour").agg(F.count("*").alias("n"))
+    orders = tied_in.groupBy("component").agg(F.sum(F.log2(F.expr("factorial(least(n, 20))"))).alias("bits"), F.max("n").alias("most"))
+    if not orders.where((F.col("most") > 20) | (F.col("bits") > math.log2(limit) + 1e-6)).isEmpty():
         raise ValueError("RDF_CANONICALIZATION_SEARCH_LIMIT")
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,12 +172,20 @@ def canonical_names(triples: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component: the least node that is linked. As many rounds as the longest way in a component."""
+    """node, component: the least node that is linked.
+
+    Each round a node takes the least component next to it, tells its former component of that, and then takes its component's own, so rounds
+    follow the logarithm of the longest way in a component.
+    """
     both = save(edges.unionByName(edges.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct(), "both")
     now = save(nodes.select("node", F.col("node").alias("component")), "component")
     while True:
         near = both.join(now.withColumnRenamed("node", "o"), "o").groupBy(F.col("s").alias("node")).agg(F.min("component").alias("near"))
-        new = save(now.join(near, "node", "left").select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved")), "component")
+        least = now.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("to"))
+        told = least.groupBy("component").agg(F.min("to").alias("told")).select(F.col("component").alias("node"), "told")
+        hooked = save(least.join(told, "node", "left").select("node", "component", F.least("to", "told").alias("to")), "component")
+        up = hooked.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        new = save(hooked.join(up, "to").select("node", F.col("up").alias("component"), (F.col("up") < F.col("component")).alias("moved")), "component")
         moved = not new.where("moved").isEmpty()
         now = new.drop("moved")
         if not moved:

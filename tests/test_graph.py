@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import random
 import pytest
 from pyspark.errors import PySparkException
 
@@ -195,6 +196,33 @@ def test_canonical_text_tells_isomorphic_graphs(spark, a, b):
     assert (one == two) == slow_isomorphic(a, b) and len(one) == len(set(a))
 
 
+def test_long_list_takes_few_rounds(spark, monkeypatch):
+    """A list of 10,000 blank nodes, and an equal one whose labels are shuffled: colours in at most 40 written rounds, and no difference."""
+    n, rng = 10_000, random.Random(4)
+    label = rng.sample(range(n), n)
+    first = [f"_:a{k} <p> _:a{k + 1} ." for k in range(n - 1)] + [f'_:a{n - 1} <q> "end" .']
+    other = [f"_:b{label[k]} <p> _:b{label[k + 1]} ." for k in range(n - 1)] + [f'_:b{label[n - 1]} <q> "end" .']
+    rounds = []
+    real = compare.save
+    monkeypatch.setattr(compare, "save", lambda df, name: rounds.append(name) or real(df, name))
+    coloured = compare.colours(T.scan(lines(spark, first)))
+    assert coloured.select("colour").distinct().count() == n and len(rounds) <= 40
+    assert compare.diff(lines(spark, first), lines(spark, other), ["line"]).count() == 0
+    assert compare.diff(lines(spark, first), lines(spark, other[1:]), ["line"]).count() == 2 * n - 1
+
+
+def test_components_of_a_path_take_few_rounds(spark, monkeypatch):
+    n, rng = 2_000, random.Random(5)
+    names = [f"_:{k:05d}" for k in rng.sample(range(n), n)]
+    nodes = spark.createDataFrame([(x,) for x in names], "node string")
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "s string, o string")
+    rounds = []
+    real = compare.save
+    monkeypatch.setattr(compare, "save", lambda df, name: rounds.append(name) or real(df, name))
+    got = compare._components(nodes, edges).collect()
+    assert {r["component"] for r in got} == {"_:00000"} and len(got) == n and len(rounds) <= 60
+
+
 def test_search_has_a_limit(spark):
     rows = lines(spark, [f"_:a <p> _:b{k} ." for k in range(9)] + [f"_:b{k} <p> _:a ." for k in range(9)] + [f"_:c <p> _:d{k} ." for k in range(9)] + [f"_:d{k} <p> _:c ." for k in range(9)])
     with pytest.raises(Exception, match="RDF_CANONICALIZATION_SEARCH_LIMIT"):
