@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import NAMES
@@ -170,6 +172,33 @@ def bnode_colours(spark, sf_dir):
     return compare.colours(kept_triples(spark, sf_dir)).agg(F.count("*").alias("nodes"), F.count_distinct("colour").cast("int").alias("colours"))
 
 
+# A blank node for each order, linked to its customer's next one: lists, and rings of customers with two to five orders. Two copies with other labels; in the
+# second one every tenth customer's list ends in another value, or its ring has one other predicate.
+CHAINED = """select o_custkey as customer, o_orderkey as node, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as following, min(o_orderkey) over (partition by o_custkey) as first,
+  count(*) over (partition by o_custkey) between 2 and 5 as ring, o_custkey % 10 = 0 as changed from orders"""
+
+
+def chained(rows: DataFrame, label: Callable[[Column], Column], changes: bool) -> DataFrame:
+    node = lambda c: F.concat(F.lit("_:n"), label(F.col(c)).cast("string"))
+    other = F.col("changed") if changes else F.lit(False)
+    last = F.col("following").isNull()
+    p = F.when(last & F.col("ring") & other, "<http://b/other>").when(last & ~F.col("ring"), "<http://b/end>").otherwise("<http://b/next>")
+    end = F.concat(F.lit('"'), F.when(other, "x").otherwise(""), F.col("customer").cast("string"), F.lit('"'))
+    o = F.when(~last, node("following")).when(F.col("ring"), node("first")).otherwise(end)
+    return rows.select(F.concat_ws(" ", node("node"), p, o, F.lit(".")).alias("line"))
+
+
+@query(f"""with c as ({CHAINED}), per as (select customer, bool_or(ring) as ring, count(*) as m from c where changed group by 1),
+found as (select 'canonicalOnly' as direction, '<http://b/next>' as p, case when ring then m else m - 1 end as n from per union all select 'generationOnly', '<http://b/next>', m - 1 from per
+  union all select d, '<http://b/end>', case when ring then 0 else 1 end from per, (values ('canonicalOnly'), ('generationOnly')) x(d) union all select 'generationOnly', '<http://b/other>', case when ring then 1 else 0 end from per)
+select direction, p, sum(n)::bigint as n from found group by 1, 2 having sum(n) > 0""")
+def chained_diff(spark, sf_dir):
+    rows = save(spark.sql(CHAINED.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders")), "chained")
+    first, second = chained(rows, lambda c: c, False), chained(rows, lambda c: c * 7 + 1, True)
+    found = compare.diff(first, second, ["line"])
+    return found.groupBy("direction", F.split_part("line", F.lit(" "), F.lit(2)).alias("p")).agg(F.count("*").alias("n"))
+
+
 # ---- graph patterns ------------------------------------------------------------------------------------------------
 LABEL, REGION, NATION = "<http://www.w3.org/2000/01/rdf-schema#label>", "<http://b/prop/direct/P3>", "<http://b/prop/direct/P2>"
 
