@@ -14,6 +14,13 @@ def after_cursor(events: DataFrame, ts: str, rcid: int) -> DataFrame:
     return events.where(F.struct("ts", "rcid") > F.struct(F.lit(ts).cast("timestamp_ntz").alias("ts"), F.lit(rcid).cast("long").alias("rcid")))
 
 
+def cursor_order(left: Column, right: Column) -> Column:
+    """-1, 0 or 1 as the left cursor (source, ts, rcid) comes before, with or after the right one; cursors of two sources fail the job."""
+    place = lambda c: F.struct(c["ts"].alias("ts"), c["rcid"].alias("rcid"))
+    order = F.when(place(left) < place(right), -1).when(place(left) > place(right), 1).otherwise(0)
+    return F.when(left["source"].eqNullSafe(right["source"]), order).otherwise(F.raise_error(F.lit("cursor source mismatch")).cast("int"))
+
+
 def entity_id(title: Column) -> Column:
     return F.nullif(F.regexp_extract(title, r"^(?:Item|Property):([QP][1-9][0-9]*)$", 1), F.lit(""))
 
@@ -88,6 +95,22 @@ def entity_state(decided: DataFrame) -> DataFrame:
     return per.select("entity_id", "indexed_revision", F.when(gap, F.col("last.revid")).otherwise(F.col("indexed_revision")).alias("latest_seen_revision"), F.when(gap, "GAP").otherwise("CURRENT").alias("status"))
 
 
+def fence_commits(fences: DataFrame, results: DataFrame) -> DataFrame:
+    """fences (entity_id, indexed_revision, latest_seen_revision, status) after results (entity_id, revision, code; one a fence), with error.
+
+    A result without a code commits its revision, which must be above what is indexed and seen already, or the fence stays and error tells so. One
+    with a code fails the fence: its status is ERROR, and what is indexed stays.
+    """
+    rows = fences.join(results.select("entity_id", "revision", "code", F.lit(True).alias("told")), "entity_id", "left")
+    failed = F.col("told") & F.col("code").isNotNull()
+    commits = F.col("told") & F.col("code").isNull()
+    sound = F.coalesce((F.col("revision") > F.col("indexed_revision")) & (F.col("revision") <= F.col("latest_seen_revision")), F.lit(False))
+    return rows.select(
+        "entity_id", F.when(commits & sound, F.col("revision")).otherwise(F.col("indexed_revision")).alias("indexed_revision"), "latest_seen_revision",
+        F.when(failed, "ERROR").when(commits & sound, "HEALTHY").otherwise(F.col("status")).alias("status"), F.when(failed, F.col("code")).when(commits & ~sound, "invalid fence commit").alias("error"),
+    )
+
+
 def before_stop(decided: DataFrame) -> DataFrame:
     """Decisions strictly before the first gap of any entity, where the source stops."""
     stop = decided.where("decision = 'GAP_DETECTED'").agg(F.min(F.struct("ts", "rcid")).alias("stop")).first()["stop"]  # one row

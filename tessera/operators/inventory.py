@@ -44,6 +44,12 @@ def treatment(s: Column, p: Column) -> Column:
     )
 
 
+def classified(triples: DataFrame, source: str, stability: str, names: Names = NAMES) -> DataFrame:
+    """What an inventory says of each triple of a source: predicate, subject_type, source, stability, semantic, treatment."""
+    made = triples.select(F.regexp_extract("p", "^<(.*)>$", 1).alias("predicate"), subject_type(F.col("s"), names).alias("subject_type"), treatment(F.col("s"), F.col("p")).alias("t"))
+    return made.select("predicate", "subject_type", F.lit(source).alias("source"), F.lit(stability).alias("stability"), "t.*")
+
+
 def summary(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count("*").alias("n"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import NAMES
@@ -345,6 +345,28 @@ def applied_before_stop(spark, sf_dir):
     return changes.before_stop(decided).where("decision = 'APPLY'").groupBy("entity_id").agg(F.count("*").alias("applied"))
 
 
+#: Fences of users, and a result for most: commits that are sound, too low or never seen, and failures.
+FENCES = "select concat('Q', user_id + 1) as entity_id, count(*) as indexed_revision, count(*) + user_id % 4 as latest_seen_revision, case user_id % 3 when 0 then 'GAP_DETECTED' else 'HEALTHY' end as status from events group by user_id"
+RESULTS = "select concat('Q', user_id + 1) as entity_id, count(*) + user_id % 5 as revision, case when user_id % 11 = 0 then 'VERIFY_FAILED' end as code from events where user_id % 6 <> 1 group by user_id"
+
+
+@query(f"""select entity_id, case when code is null and revision > indexed_revision and revision <= latest_seen_revision then revision else indexed_revision end as indexed_revision, latest_seen_revision,
+case when code is not null then 'ERROR' when revision > indexed_revision and revision <= latest_seen_revision then 'HEALTHY' else status end as status,
+case when code is not null then code when revision is not null and not (revision > indexed_revision and revision <= latest_seen_revision) then 'invalid fence commit' end as error from ({FENCES}) left join ({RESULTS}) using (entity_id)""")
+def fence_results(spark, sf_dir):
+    fences, results = (spark.sql(x.replace("from events", "from {events}"), events=table(spark, sf_dir, "events")) for x in (FENCES, RESULTS))
+    return changes.fence_commits(fences, results)
+
+
+@query("""with c as (select event_id, user_id % 20 as source, date_trunc('hour', ts) as ts, event_id * 7 % 1000 as rcid from events), n as (select *, lead((ts, rcid)) over (partition by source order by event_id) as next from c)
+select event_id, case when (ts, rcid) < next then -1 when (ts, rcid) > next then 1 else 0 end as comes from n where next is not null""")
+def cursor_orders(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).cast("string").alias("source"), F.date_trunc("hour", "ts").alias("ts"), (F.col("event_id") * 7 % 1000).alias("rcid"))
+    rows = rows.withColumn("cursor", F.struct("source", "ts", "rcid"))
+    rows = rows.withColumn("next", F.lead("cursor").over(Window.partitionBy("source").orderBy("event_id"))).where("next is not null")
+    return rows.select("event_id", changes.cursor_order(F.col("cursor"), F.col("next")).alias("comes"))
+
+
 # ---- control plane -------------------------------------------------------------------------------------------------
 GENERATIONS = """select concat('s', o_custkey % 20) as source, o_orderkey as generation, case o_orderstatus when 'O' then 'READY' when 'F' then case when o_orderkey % 3 = 0 then 'FAILED' else 'RETIRED' end else 'SERVING' end as state, o_orderdate as created_at, case when o_orderkey % 4 = 0 then 'INVALID' else 'VALID' end as validation, o_orderkey % 5 <> 0 as models_match, case when o_orderkey % 7 <> 0 then 'm' end as manifest from orders"""
 
@@ -792,6 +814,19 @@ def contract_faults(spark, sf_dir):
     return rows.select("id", F.array_join(validate.faults(F.col("text"), validate.runtime("runtime-v1", "kg", ("one", "two"))), ",").alias("faults"))
 
 
+SORTED_OUT = f"""trim(p, '<>') as predicate, case when s like '%/wiki/Special:EntityData/%' then 'entity-export' when s = '{normalize.DUMP}' then 'dump-export' when s like '%/entity/%' then '{NAMES.entity_type}' else 'other' end as subject_type,
+  case when s = '{normalize.DUMP}' then 'export-provenance' when s like '%/wiki/Special:EntityData/%' and p = '<http://schema.org/softwareVersion>' then 'entity-export-provenance' else 'unclassified' end as semantic,
+  case when s = '{normalize.DUMP}' or s like '%/wiki/Special:EntityData/%' and p = '<http://schema.org/softwareVersion>' then 'MOVE_TO_GENERATION_MANIFEST' else 'REJECT_UNKNOWN' end as treatment"""
+
+
+@query(f"""{KEPT}, everything as (select {SORTED_OUT}, 'FULL_DUMP' as source, 'VOLATILE' as stability from lines union all select {SORTED_OUT}, 'ENTITY_DATA', 'STABLE' from kept)
+select predicate, subject_type, source, stability, semantic, treatment, count(*) as n from everything group by 1, 2, 3, 4, 5, 6""")
+def inventory_summary(spark, sf_dir):
+    rows = save(T.scan(T.bridge(spark, sf_dir)), "scanned")
+    both = inventory.classified(rows, "FULL_DUMP", "VOLATILE").unionByName(inventory.classified(normalize.kept(rows), "ENTITY_DATA", "STABLE"))
+    return inventory.summary(both, "predicate", "subject_type", "source", "stability", "semantic", "treatment")
+
+
 # ---- the state machine of a source ---------------------------------------------------------------------------------
 # Touches of entities by events, in SQL that Spark and DuckDB both run: twenty sources, revisions that count an entity's touches, merges that touch two
 # entities, and now and then a gap, an ambiguous event or lifecycle, a text that is missing or wrong, or an undelete without a tombstone.

@@ -49,3 +49,21 @@ def test_cursor(spark):
     rows = events(spark, [(1, 0), (2, 1), (3, 2)])
     assert [r["rcid"] for r in changes.after_cursor(rows, "2024-01-01 00:00:00", 1).collect()] == [2]
     assert rows.select(F.max("rcid")).first()[0] == 2
+
+
+def test_fence_commits_and_cursor_order(spark):
+    from pyspark.sql import functions as F
+
+    fences = spark.createDataFrame([(e, 5, 8, "GAP_DETECTED") for e in ("a", "b", "c", "d", "e")], "entity_id string, indexed_revision long, latest_seen_revision long, status string")
+    results = spark.createDataFrame([("a", 6, None), ("b", 5, None), ("c", 9, None), ("d", 6, "VERIFY_FAILED")], "entity_id string, revision long, code string")
+    got = {r["entity_id"]: tuple(r)[1:] for r in changes.fence_commits(fences, results).collect()}
+    bad = (5, 8, "GAP_DETECTED", "invalid fence commit")
+    assert got == {"a": (6, 8, "HEALTHY", None), "b": bad, "c": bad, "d": (5, 8, "ERROR", "VERIFY_FAILED"), "e": (5, 8, "GAP_DETECTED", None)}
+    cursor = lambda s, t, k: F.struct(F.lit(s).alias("source"), F.lit(t).alias("ts"), F.lit(k).alias("rcid"))
+    row = spark.range(1).select(*[changes.cursor_order(cursor("s", *x), cursor("s", 1, 5)).alias(f"c{k}") for k, x in enumerate([(1, 4), (1, 5), (1, 6), (0, 9), (2, 0)])]).first()
+    assert tuple(row) == (-1, 0, 1, -1, 1)
+    try:
+        spark.range(1).select(changes.cursor_order(cursor("s", 1, 1), cursor("t", 1, 1))).collect()
+        raise AssertionError("cursors of two sources compare")
+    except Exception as error:
+        assert "cursor source mismatch" in str(error)
