@@ -510,7 +510,7 @@ def test_queries_and_pipeline(spark):
 
     sf = "/root/testdata/sf0.001"
     names = __spark_entry__.queries()
-    assert sum(k.startswith("op") and k[2].isdigit() for k in names) == 10 and "pipeline" in names
+    assert sum(k.startswith("op") and k[2].isdigit() for k in names) == 13 and "pipeline" in names
     rows = common.table(spark, sf, "documents")
     near = corpus_pipeline.drop_near_copies(spark, rows, sf)
     want = {c for _, _, c in brute_jaccard([(r["doc_id"], r["text"]) for r in rows.collect()])}
@@ -519,9 +519,9 @@ def test_queries_and_pipeline(spark):
     assert clean.count() == rows.count() and all(slow_spans(r["text"]) == "" for r in clean.collect())
     known = corpus_pipeline.identify_language(spark, table_of(spark, [r["text"] for r in rows.limit(30).collect()]), sf)
     assert not {900, 901, 902, 904} & {r["doc_id"] for r in known.collect()} and known.count() >= 29
-    for name in ("op6_chat_formatting", "op7_url_filters", "op8_secret_scans", "op10_source_mixing"):
+    for name in ("op6_chat_formatting", "op7_url_filters", "op8_secret_scans", "op10_source_mixing", "op12_ranked_search"):
         con = duckdb.connect()
-        for t in ("documents", "pages", "conversations"):
+        for t in ("documents", "pages", "conversations", "benchmark"):
             con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
         columns = sorted(names[name](spark, sf).columns)
         want = con.sql(f"select {', '.join(columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
