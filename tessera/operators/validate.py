@@ -19,15 +19,41 @@ VERSION = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(?:-[0-9A-Za-z.-]+
 
 
 class Value:
-    """A part of the parsed text: its JSON type, and its value as a string."""
+    """A part of the parsed text: its JSON type, its value as a string, and its keys if it is an object. Read from `parts`, which has them for every path."""
 
-    def __init__(self, root: Column, path: str):
-        self.root, self.path = root, path
-        self.type = F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_variant_get(root, path, "variant")), "^[A-Z]+", 0), F.lit("NONE"))
-        self.string = F.try_variant_get(root, path, "string")
+    def __init__(self, parts: Parts, path: str):
+        held = parts.of(path)
+        self.type, self.string, self.names = held["type"], held["string"], held["keys"]
 
     def keys(self) -> Column:
-        return F.json_object_keys(F.to_json(F.try_variant_get(self.root, self.path, "variant")))
+        return self.names
+
+
+class Parts:
+    """What a contract looks at in a text, computed once a row: a first walk notes the paths, and the second one reads them from the struct made of these."""
+
+    def __init__(self, held: Column | None = None, paths: dict[str, str] | None = None):
+        self.held, self.paths = held, {} if paths is None else paths
+
+    def of(self, path: str) -> Column:
+        name = self.paths.setdefault(path, f"p{len(self.paths)}")
+        return F.lit(None) if self.held is None else self.held[name]
+
+    def read(self, root: Column) -> Column:
+        return F.struct(*[self._part(root, path).alias(name) for path, name in self.paths.items()])
+
+    @staticmethod
+    def _part(root: Column, path: str) -> Column:
+        return _let(F.try_variant_get(root, path, "variant"), lambda at: F.struct(
+            F.coalesce(F.regexp_extract(F.schema_of_variant(at), "^[A-Z]+", 0), F.lit("NONE")).alias("type"),
+            F.try_variant_get(at, "$", "string").alias("string"),
+            F.when(F.schema_of_variant(at).startswith("OBJECT"), F.json_object_keys(F.to_json(at))).alias("keys"),
+        ))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 _ok = lambda c: F.coalesce(c, F.lit(False))
@@ -129,7 +155,7 @@ def _is(v: Value, kind: str) -> Column:
     return _ok(v.type == kind)
 
 
-def _of(node: object, root: Column, path: str, name: str, when: Column) -> list[Column]:
+def _of(node: object, root: Parts, path: str, name: str, when: Column) -> list[Column]:
     """An entry for each test: the failing path, or null."""
     v = Value(root, path)
     if isinstance(node, Either):
@@ -159,8 +185,11 @@ def _of(node: object, root: Column, path: str, name: str, when: Column) -> list[
 
 def faults(text: Column, contract: object) -> Column:
     """All failing paths of a JSON text, in order and each once; `contract` alone for what isn't an object or doesn't parse."""
-    root = F.try_parse_json(text)
-    return F.array_distinct(F.array_compact(F.array(*_of(contract, root, "$", "contract", F.lit(True)))))
+    walk = lambda parts: _of(contract, parts, "$", "contract", F.lit(True))
+    noted = Parts()
+    walk(noted)
+    found = lambda held: F.array_distinct(F.array_compact(F.array(*walk(Parts(held, noted.paths)))))
+    return _let(_let(F.try_parse_json(text), noted.read), found)
 
 
 def runtime(version: str, distribution: str, backends: tuple[str, ...]) -> Object:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import validate
 from tessera.plans.catalog import CONTRACT
@@ -57,3 +58,10 @@ def test_runtime(spark):
 ])
 def test_other_contracts(spark, contract, sound, cases):
     assert faults(spark, contract, [sound] + [changed(sound, path, new) for path, new, _ in cases]) == [[]] + [[bad] for _, _, bad in cases]
+
+
+def test_a_text_is_parsed_once(spark):
+    """However many tests a contract has."""
+    rows = spark.createDataFrame([(CONTRACT,)], "text string").select(validate.faults(F.col("text"), RUNTIME).alias("f"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1 and plan.count("queryService.freshness.lagSeconds,") <= 2
