@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import escapes
+from ..sources.triples import parted
 
 # Export metadata.
 DUMP = "<http://wikiba.se/ontology#Dump>"
@@ -24,11 +25,14 @@ def routed(triples: DataFrame, full_dump: bool = True) -> DataFrame:
     known = F.col("p").isin(DUMP_PREDICATES) if full_dump else F.lit(False)
     dump = F.when(known, "DUMP_EXPORT").otherwise(F.raise_error(F.concat(F.lit("RDF_NORMALIZATION_UNKNOWN_DUMP_METADATA: "), "p")))
     export = F.col("s").contains("/wiki/Special:EntityData/") & F.col("p").isin(EXPORT_PREDICATES)
-    return triples.withColumn("category", F.when(F.col("s") == DUMP, dump).when(export, "ENTITY_EXPORT"))
+    # most lines name neither, and their terms needn't be looked at
+    neither = ~(F.col("line").contains(DUMP) | F.col("line").contains("/wiki/Special:EntityData/"))
+    return triples.withColumn("category", F.when(neither, F.lit(None)).when(F.col("s") == DUMP, dump).when(export, "ENTITY_EXPORT"))
 
 
 def kept(triples: DataFrame, full_dump: bool = True) -> DataFrame:
-    return routed(triples, full_dump).where("category is null").drop("category").dropDuplicates(["line"])
+    """Distinct triples without export metadata. Only lines are shuffled, as terms are parts of them."""
+    return parted(routed(triples, full_dump).where("category is null").select("line").distinct())
 
 
 def provenance(triples: DataFrame, full_dump: bool = True) -> DataFrame:
@@ -44,15 +48,28 @@ def decimal(lex: Column) -> Column:
     return F.when(~lex.rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?$"), lex).when(x == "-0", "0").otherwise(x)
 
 
+_DECIMAL = '"^^<http://www.w3.org/2001/XMLSchema#decimal>'
+
+
 def line_form(line: Column) -> Column:
     """Tabs as one space, escapes as characters, decimals in canonical form."""
-    line = F.regexp_replace(line, r"\t+", " ")
-    line = F.coalesce(escapes.decode(F.when(line.rlike(r"\\[uU]"), line)), line)
+    line = F.when(line.contains("\t"), F.regexp_replace(line, r"\t+", " ")).otherwise(line)
+    return _decimal_form(F.coalesce(escapes.decode(F.when(line.rlike(r"\\[uU]"), line)), line))
+
+
+def in_line_form(rows: DataFrame) -> DataFrame:
+    """rows with their column line in line_form(); only lines with an escape go through Python."""
+    odd = F.coalesce(F.col("line").contains("\\u") | F.col("line").contains("\\U"), F.lit(False))
+    plain = F.when(F.col("line").contains("\t"), F.regexp_replace("line", r"\t+", " ")).otherwise(F.col("line"))
+    return rows.where(~odd).withColumn("line", _decimal_form(plain)).unionByName(rows.where(odd).withColumn("line", line_form(F.col("line"))))
+
+
+def _decimal_form(line: Column) -> Column:
     pattern = r'"([+-]?[0-9]+(?:\.[0-9]+)?)"(\^\^<http://www\.w3\.org/2001/XMLSchema#decimal>)'
     lex = F.regexp_extract(line, pattern, 1)
     head, tail = F.regexp_extract(line, f"(?s)^(.*){pattern}", 1), F.regexp_extract(line, f"(?s){pattern}(.*)$", 3)
     datatype = F.lit("^^<http://www.w3.org/2001/XMLSchema#decimal>")
-    return F.when(line.rlike(pattern), F.concat(head, F.lit('"'), decimal(lex), F.lit('"'), datatype, tail)).otherwise(line)
+    return F.when(line.contains(_DECIMAL) & line.rlike(pattern), F.concat(head, F.lit('"'), decimal(lex), F.lit('"'), datatype, tail)).otherwise(line)
 
 
 #: What a line of each class contains anywhere; the first that it contains decides.

@@ -41,7 +41,22 @@ def scan(lines: DataFrame, strict: bool = True) -> DataFrame:
     fits = F.col("line").rlike(LINE) if strict else s.rlike(f"^(?:{IRI}|{BNODE})$") & p.rlike(f"^{IRI}$") & rest.rlike(STOP) & (o != "")
     fail = F.raise_error(F.concat(F.lit((STRICT_CODE if strict else LAX_CODE) + ": "), F.coalesce("line", F.lit("null"))))
     checked = lines.where(F.when(F.coalesce(fits, F.lit(False)), True).otherwise(fail.cast("boolean")))
-    return checked.select("line", s.alias("s"), p.alias("p"), o.alias("o"), kind(o).alias("o_kind"))
+    return parted(checked)
+
+
+def parted(lines: DataFrame) -> DataFrame:
+    """lines (line) that scan() has checked -> line, s, p, o and o_kind. Most lines have single blanks and no other space, and need no pattern.
+
+    A step builds on the columns of the one before, so that a line is split once.
+    """
+    odd = F.col("line").contains("  ")
+    for c in "\t\n\x0b\f\r":
+        odd = odd | F.col("line").contains(c)
+    rows = lines.select("line", odd.alias("_odd"))
+    rows = rows.select("line", "_odd", F.when(F.col("_odd"), F.split("line", BLANKS, 3)).otherwise(F.split("line", " ", 3)).alias("_parts"))
+    rows = rows.select("line", "_odd", *[F.get("_parts", F.lit(k)).alias(c) for k, c in enumerate(("s", "p", "_rest"))])
+    o = F.when(~F.col("_odd") & F.endswith("_rest", F.lit(" .")), F.substr("_rest", F.lit(1), F.length("_rest") - 2)).otherwise(F.regexp_replace("_rest", STOP, ""))
+    return rows.select("line", "s", "p", o.alias("o")).select("*", kind(F.col("o")).alias("o_kind"))
 
 
 def kind(term: Column) -> Column:
