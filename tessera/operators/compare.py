@@ -12,47 +12,51 @@ from pyspark.sql import functions as F
 
 from ..sources.store import save
 from ..sources.triples import BNODE, scan
-from .normalize import line_form
+from .normalize import in_line_form
 
 # Lines with a blank node as subject or object.
 BOUND = r"^_:|^\S+\s+\S+\s+_:"
 
 
-def canonical(expected: DataFrame, actual: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides' distinct rows of `on`, lines in normal form and blank nodes under canonical names.
+def sided(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
+    """side ("0" or "1") and both sides' rows of `on`, lines in normal form and blank nodes under canonical names; a row may come twice.
 
-    Labels hold for a whole side, and graphs count in names. Both sides are coloured together, so in the same number of rounds.
+    Labels hold for a whole side, and graphs count in names. Both sides are coloured together, so in the same number of rounds. Rows without blank nodes are
+    neither shuffled nor written here.
     """
-    if "line" not in on:
-        return expected.select(*on).distinct(), actual.select(*on).distinct()
     sides = expected.select(F.lit("0").alias("side"), *on).unionByName(actual.select(F.lit("1").alias("side"), *on))
-    sides = save(sides.withColumn("line", line_form(F.col("line"))).distinct(), "sides")
-    bound = F.col("line").rlike(BOUND)
+    if "line" not in on:
+        return sides
+    forms = in_line_form(sides)
+    bound = F.col("line").contains("_:") & F.col("line").rlike(BOUND)
+    apart = save(forms.where(bound).distinct(), "sides")
+    if apart.isEmpty():
+        return forms
     inside = lambda c: F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:"), "side", F.lit("."), F.substr(c, F.lit(3)))).otherwise(F.col(c))
-    rows = sides.where(bound).join(scan(sides.where(bound).select("line").distinct()).select("line", "s", "p", "o"), "line")
+    rows = apart.join(scan(apart.select("line").distinct()).select("line", "s", "p", "o"), "line")
     rows = save(rows.select("side", *on, "p", inside("s").alias("s"), inside("o").alias("o")), "bound")
     single = canonical_names(rows.select("s", F.concat_ws(" ", "p", *[c for c in on if c != "line"]).alias("p"), "o"))
     for end in ("s", "o"):
         rows = rows.join(single.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name")), end, "left")
     own = lambda c: F.coalesce(f"{c}_name", c)
-    rows = rows.withColumn("line", F.concat_ws(" ", own("s"), "p", own("o"), F.lit("."))).select("side", *on).distinct()
-    made = save(sides.where(~bound).unionByName(rows), "canonical")
-    return made.where("side = '0'").select(*on), made.where("side = '1'").select(*on)
+    rows = rows.withColumn("line", F.concat_ws(" ", own("s"), "p", own("o"), F.lit("."))).select("side", *on)
+    return forms.where(~bound).select("side", *on).unionByName(rows)
+
+
+def _held(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct rows of `on` in canonical form, and e: 1 for the first side, 2 for the second, 3 for both. One shuffle of both sides."""
+    return sided(expected, actual, on).groupBy(*on).agg(F.bit_or(F.when(F.col("side") == "0", 1).otherwise(2)).alias("e"))
 
 
 def diff(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
     """direction (canonicalOnly, generationOnly) and the columns of `on`: the two set differences of the canonical forms."""
-    e, a = canonical(expected, actual, on)
-    lost = e.join(a, on, "left_anti").select(F.lit("canonicalOnly").alias("direction"), *on)
-    return lost.unionByName(a.join(e, on, "left_anti").select(F.lit("generationOnly").alias("direction"), *on))
+    direction = F.when(F.col("e") == 1, "canonicalOnly").otherwise("generationOnly")
+    return _held(expected, actual, on).where("e <> 3").select(direction.alias("direction"), *on)
 
 
 def by_graph(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """graph, missing, extra, valid from datasets of (graph, line), in canonical form."""
-    expected, actual = canonical(expected, actual, ["graph", "line"])
-    sides = expected.select("graph", "line", F.lit(1).alias("e")).unionByName(actual.select("graph", "line", F.lit(2).alias("e")))
-    lines = sides.groupBy("graph", "line").agg(F.bit_or("e").alias("e"))
-    return lines.groupBy("graph").agg(
+    return _held(expected, actual, ["graph", "line"]).groupBy("graph").agg(
         F.count_if(F.col("e") == 1).alias("missing"), F.count_if(F.col("e") == 2).alias("extra"), (F.count_if(F.col("e") != 3) == 0).alias("valid")
     )
 
@@ -93,16 +97,20 @@ def _along(coloured: DataFrame, links: DataFrame) -> DataFrame:
     """Colours (node, colour) with what stands along each node's only link of a side (links: node, other, h, side), by doubling."""
     only = links.groupBy("node", "side").agg(F.count("*").alias("n"), F.min("other").alias("next"), F.min("h").alias("h")).where("n = 1")
     now = save(only.join(coloured, "node").select("node", "side", "next", F.xxhash64("h", "colour").alias("seen")), "ways")
-    most, length = now.count(), 1
-    while length <= most:  # a ring has no end, but nothing new after as many links
-        far = now.select(F.col("node").alias("next"), "side", F.col("next").alias("after"), F.col("seen").alias("more"))
-        last = coloured.select(F.col("node").alias("next"), F.col("colour").alias("end"))
-        met = now.where("next is not null").join(far, ["next", "side"], "left").join(last, "next", "left")
-        met = met.select("node", "side", F.col("after").alias("next"), F.xxhash64("seen", F.coalesce("more", "end")).alias("seen"))
-        now = save(met.unionByName(now.where("next is null")), "ways")
-        if now.where("next is not null").isEmpty():
+    ended, before = now.where("next is null"), None
+    while True:
+        # ways that have ended are kept as they are; a ring has no end, and says nothing new once no way ends and no more kinds of ways are seen
+        open_ = now.where("next is not null")
+        state = open_.agg(F.count("*"), F.count_distinct("seen")).first()
+        if state[0] == 0 or state == before:
             break
-        length *= 2
+        before = state
+        far = open_.unionByName(ended).select(F.col("node").alias("next"), "side", F.col("next").alias("after"), F.col("seen").alias("more"))
+        last = coloured.select(F.col("node").alias("next"), F.col("colour").alias("end"))
+        met = open_.join(far, ["next", "side"], "left").join(last, "next", "left")
+        now = save(met.select("node", "side", F.col("after").alias("next"), F.xxhash64("seen", F.coalesce("more", "end")).alias("seen")), "ways")
+        ended = ended.unionByName(now.where("next is null"))
+    now = ended.unionByName(now.where("next is not null"))
     both = now.groupBy("node").agg(F.sum(F.xxhash64("side", "seen").cast("decimal(38,0)")).alias("way"))
     return save(coloured.join(both, "node", "left").select("node", F.xxhash64("colour", F.coalesce("way", F.lit(0))).alias("colour")), "colours")
 
@@ -194,4 +202,4 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def canonical_text(lines: DataFrame) -> DataFrame:
     """line: the distinct lines of a graph in canonical form. Equal for isomorphic graphs and for no others."""
-    return canonical(lines.select("line"), lines.select("line").limit(0), ["line"])[0]
+    return sided(lines.select("line"), lines.select("line").limit(0), ["line"]).select("line").distinct()

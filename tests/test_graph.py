@@ -266,3 +266,13 @@ def test_reset_needs_its_token(spark):
     assert sync.reset(rows, "i", "reset:i").count() == 0
     with pytest.raises(ValueError):
         sync.reset(rows, "i", "reset:j")
+
+
+def test_small_rings_take_few_rounds(spark, monkeypatch):
+    """Rings have no end, but doubling stops once it tells nothing new, however many rings there are."""
+    rings = [f"_:r{k}x{j} <p> _:r{k}x{(j + 1) % 3} ." for k in range(200) for j in range(3)]
+    rounds = []
+    real = compare.save
+    monkeypatch.setattr(compare, "save", lambda df, name: rounds.append(name) or real(df, name))
+    assert compare.colours(T.scan(lines(spark, rings))).select("colour").distinct().count() == 1
+    assert rounds.count("ways") <= 4
