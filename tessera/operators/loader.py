@@ -31,6 +31,8 @@ def registry(dataset: DataFrame, names: Names = NAMES, width: int | None = None)
     """
 
     def made(graph: str, kind: str, lines: int, digest, found: set[int]) -> tuple:
+        if not lines:  # the global graph's own row, with no line
+            return graph, kind, None, 0, None, None, None
         entity = None if kind == "GLOBAL" else graph.rsplit(":", 1)[-1]
         sound = kind == "ENTITY" and len(found) == 1 and min(found) >= 1
         return graph, kind, entity, lines, digest.hexdigest(), min(found) if sound else None, None if sound or kind != "ENTITY" else AMBIGUOUS_REVISION
@@ -44,7 +46,7 @@ def registry(dataset: DataFrame, names: Names = NAMES, width: int | None = None)
                     if now:
                         out.append(made(*now, lines, digest, found))
                     now, last, lines, digest, found = (graph, kind), None, 0, hashlib.sha256(), set()
-                if line == last:
+                if line is None or line == last:
                     continue
                 last, lines = line, lines + 1
                 digest.update(line.encode() + b"\n")
@@ -57,13 +59,10 @@ def registry(dataset: DataFrame, names: Names = NAMES, width: int | None = None)
 
     columns = [c.split()[0] for c in REGISTRY.split(", ")]
     width = width or int(dataset.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dataset.select("graph", "partition_kind", "line").repartition(width, "graph").sortWithinPartitions("graph", "partition_kind", "line")
-    rows = rows.mapInPandas(fold, REGISTRY)
-    empty = dataset.sparkSession.range(1).select(names.graph("global").alias("graph"), F.lit("GLOBAL").alias("partition_kind"))
-    empty = empty.join(rows.where("partition_kind = 'GLOBAL'").select("graph"), "graph", "left_anti")
-    none = {"entity_id": "string", "checksum": "string", "revision": "long", "error": "string"}
-    empty = empty.withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"lines": F.lit(0).cast("long")})
-    return rows.unionByName(empty.select(*columns))
+    # a row without a line stands for the global graph, so that it is met even if it is empty; asking for it afterwards would run the whole pass twice
+    empty = dataset.sparkSession.range(1).select(names.graph("global").alias("graph"), F.lit("GLOBAL").alias("partition_kind"), F.lit(None).cast("string").alias("line"))
+    rows = dataset.select("graph", "partition_kind", "line").unionByName(empty).repartition(width, "graph").sortWithinPartitions("graph", "partition_kind", "line")
+    return rows.mapInPandas(fold, REGISTRY)
 
 
 def first_states(rows: DataFrame) -> DataFrame:

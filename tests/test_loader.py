@@ -91,3 +91,10 @@ def test_golden_values(spark):
     found = loader.registry(partition.partition(kept))
     got = {r["partition_kind"]: (r["graphs"], r["lines"]) for r in found.groupBy("partition_kind").agg({"graph": "count", "lines": "sum"}).toDF("partition_kind", "x", "y").selectExpr("partition_kind", "least(x, y) as graphs", "greatest(x, y) as lines").collect()}
     assert got == {"ENTITY": (22, 711), "PROPERTY_SCHEMA": (15, 147), "GLOBAL": (0, 1)}
+
+
+def test_registry_is_one_pass(spark):
+    """The global graph's own row does not run the digests a second time, and is there though no line is."""
+    rows = loader.registry(spark.createDataFrame([("urn:kg:entity:Q1", "ENTITY", "<s> <p> <o> .")], "graph string, partition_kind string, line string"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert {r["graph"]: (r["lines"], r["checksum"] is None) for r in rows.collect()} == {"urn:kg:entity:Q1": (1, False), "urn:kg:global": (0, True)}
