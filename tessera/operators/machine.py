@@ -3,6 +3,7 @@
 Events of an entity are folded in cursor order, a task at a time over sorted rows, with one state held. A source stops at its first
 event that is ambiguous, leaves a gap, restores what has no tombstone, or whose text is missing or not verified. Folds of entities don't depend on
 each other before that event, so they run side by side, and what comes after the stop is cut off: it counts as HELD and changes nothing.
+An event that is ambiguous by itself stops its source whatever the states are, so what comes after it needn't be folded (`reachable`).
 An event that touches several entities has a step for each; the steps before the one that stops hold, as its event is tried again from there.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import NAMES, Names
+from ..sources.store import save
 from .changes import observe
 from .lifecycle import LOOKED_UP, RESTORABLE
 from .sync import VERSION, replaced
@@ -28,17 +30,31 @@ HEALTHY, STOPPED_SOURCE, FIRST_STATUS = "HEALTHY", "REBUILD_REQUIRED", "PENDING"
 PLACE = ("ts", "rcid", "part")
 
 
+def ambiguous() -> Column:
+    """Whether an event stops its source before any lookup or state."""
+    return (F.col("action") == "UNKNOWN") | (F.col("entity_id").isNull() & (F.col("action") != "NON_ENTITY_CHANGE"))
+
+
+def reachable(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events up to each source's first ambiguous one, that one included, and those after it, which are HELD whatever the others come to."""
+    place = F.struct("ts", "rcid")
+    bounds = save(classified.where(ambiguous()).groupBy("source").agg(F.min(place).alias("bound")), "bounds")
+    rows = classified.join(bounds, "source", "left")
+    past = F.coalesce(place > F.col("bound"), F.lit(False))
+    return rows.where(~past).drop("bound"), rows.where(past).drop("bound")
+
+
 def steps(classified: DataFrame, resolved: DataFrame) -> DataFrame:
     """classified (source, ts, rcid, action, entity_id, revid, old_revid) -> a row for each entity that an event touches, with part and code.
 
     resolved (source, rcid, unambiguous, entities): what lifecycle events come to, as `lifecycle.resolve` has it. The steps of such an event take
     the entities' present revisions, and follow whatever is indexed (old_revid is null). code: why the event stops its source before it is looked at.
     """
-    looked_up = F.col("action").isin(LOOKED_UP)
-    rows = classified.join(resolved.select("source", "rcid", "unambiguous", "entities"), ["source", "rcid"], "left")
+    looked_up = F.coalesce(F.col("action").isin(LOOKED_UP), F.lit(False))
+    found = resolved.select("source", "rcid", "unambiguous", "entities")
+    rows = classified.where(looked_up).join(found, ["source", "rcid"], "left").unionByName(classified.where(~looked_up), allowMissingColumns=True)
     clear = F.coalesce(F.col("unambiguous"), F.lit(False)) & (F.coalesce(F.size("entities"), F.lit(0)) > 0)
-    unknown = (F.col("action") == "UNKNOWN") | (F.col("entity_id").isNull() & (F.col("action") != "NON_ENTITY_CHANGE"))
-    code = F.when(unknown, AMBIGUOUS_EVENT).when(looked_up & ~clear, AMBIGUOUS_LIFECYCLE)
+    code = F.when(ambiguous(), AMBIGUOUS_EVENT).when(looked_up & ~clear, AMBIGUOUS_LIFECYCLE)
     named = F.transform("entities", lambda e: F.struct(e["id"].alias("entity_id"), e["revision"].cast("long").alias("revid"), F.lit(None).cast("long").alias("old_revid")))
     own = F.array(F.struct("entity_id", F.col("revid").cast("long").alias("revid"), F.col("old_revid").cast("long").alias("old_revid")))
     rows = rows.withColumn("code", code)
@@ -83,7 +99,8 @@ def advance(state: tuple[int, int, str], action: str, revid: int, old_revid: int
 
 def fold(rows: DataFrame, state: DataFrame, contents: DataFrame, width: int) -> DataFrame:
     """Steps -> the same with outcome, error, indexed, latest and status, as if no source stopped. state: the columns of STATE, for entities that have one."""
-    sound = faults(contents)
+    rows = save(rows, "steps")
+    sound = faults(contents.join(rows.select("entity_id", "revid"), ["entity_id", "revid"], "left_semi"))
     own = rows.where("entity_id is not null and action <> 'NON_ENTITY_CHANGE'").join(sound.withColumn("there", F.lit(True)), ["entity_id", "revid"], "left")
     own = own.withColumn("fault", F.when(F.col("there").isNull(), NO_TEXT).otherwise(F.col("fault")))
     own = own.join(state.select("entity_id", *[F.col(c).alias(f"first_{c}") for c in ("indexed_revision", "latest_seen_revision", "status")]), "entity_id", "left")
@@ -121,12 +138,18 @@ def stops(folded: DataFrame) -> DataFrame:
 
 def outcomes(folded: DataFrame) -> DataFrame:
     """What each step comes to: after the step that stops its source, HELD, with nothing changed. folded: a saved table, as it is read twice."""
-    rows = folded.join(stops(folded).select("source", "stop"), "source", "left")
+    rows = folded.join(save(stops(folded).select("source", "stop"), "stops"), "source", "left")
     held = F.coalesce(F.struct(*PLACE) > F.col("stop"), F.lit(False))
     unless = lambda c: F.when(~held, F.col(c)).alias(c)
     return rows.select("source", "ts", "rcid", "part", "action", "entity_id", "revid", F.when(held, "HELD").otherwise(F.col("outcome")).alias("outcome"), *map(unless, ("error", "indexed", "latest", "status")))
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """Steps of events that can't be reached, as `outcomes` has them."""
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("error", "string"), ("indexed", "long"), ("latest", "long"), ("status", "string"))]
+    return rows.select("source", "ts", "rcid", "part", "action", "entity_id", "revid", F.lit("HELD").alias("outcome"), *none)
+
+
 def entity_states(decided: DataFrame, state: DataFrame) -> DataFrame:
     """The columns of STATE after all steps that took place; an entity without any keeps its state."""
     last = decided.where("outcome <> 'HELD' and indexed is not null").groupBy("entity_id")
@@ -163,7 +186,8 @@ def graphs(last: DataFrame, contents: DataFrame, names: Names = NAMES) -> DataFr
 
 def applied(dataset: DataFrame, decided: DataFrame, contents: DataFrame, names: Names = NAMES) -> DataFrame:
     """dataset (graph, line) after all steps that took place. A graph changes only by a text that is there and verified, or by a delete."""
-    return replaced(dataset, graphs(written(decided), contents, names))
+    last = save(written(decided), "written")
+    return replaced(dataset, save(graphs(last, contents, names), "staged"))
 
 
 def checksums(states: DataFrame, contents: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def between(events: DataFrame, sources: DataFrame, end: DataFrame | None = None)
 def catch_up(candidate: Candidate, events: DataFrame, resolved: DataFrame, contents: DataFrame, end: DataFrame | None = None, names: Names = NAMES) -> Candidate:
     """The candidate after exactly the events after its cursors, up to the end. What overlaps the snapshot is cut by the cursor, so it is not applied twice."""
     spark = events.sparkSession
-    new = between(events, candidate.sources, end)
+    new, _ = machine.reachable(between(events, candidate.sources, end))  # what is held changes nothing
     folded = machine.fold(machine.steps(new, resolved), candidate.states, contents, int(spark.conf.get("spark.sql.shuffle.partitions")))
     decided = save(machine.outcomes(save(folded, "folded")), "decided")
     before = candidate.sources.select("source", *[F.col(c).alias(f"old_{c}") for c in ("ts", "rcid", "status", "code")])

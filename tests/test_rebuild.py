@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import machine, patterns, rebuild
 from tessera.sources.generations import Generations, StalePointer
@@ -80,6 +81,27 @@ def test_stopped_candidate_is_not_promoted(spark, tmp_path):
     assert sorted(map(tuple, rebuild.catch_up(candidate, events, resolved, texts).dataset.collect())) == sorted(map(tuple, rebuild.catch_up(start(spark), events, resolved, texts).dataset.collect()))
 
 
+def test_nothing_is_folded_after_an_ambiguous_event(spark, monkeypatch):
+    """That event stops its source whatever the states are; the other source goes on, and results are those of a fold of everything."""
+    own = [(*r[:3], "UNKNOWN" if k in (60, 200) else r[3], *r[4:]) for k, r in enumerate(burst(300))]
+    rows = own + [("t", ts, rcid, a, e and e.replace("Q", "P"), r, o) for _, ts, rcid, a, e, r, o in burst(50)]
+    events, resolved, texts = inputs(spark, rows)
+    texts = texts.unionByName(texts.where("entity_id like 'P%'").selectExpr("entity_id", "revid", "'schema' as kind", "'x' as line"))
+    folded = machine.fold(machine.steps(events, resolved), start(spark).states, texts, 4)
+    decided = spark.createDataFrame(machine.outcomes(folded).collect(), folded.schema)
+    seen = {}
+    monkeypatch.setattr(rebuild, "save", lambda df, name, own=rebuild.save: seen.setdefault(name, own(df, name)))
+    got = rebuild.catch_up(start(spark), events, resolved, texts)
+    rows_of = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows_of(got.dataset) == rows_of(machine.applied(start(spark).dataset, decided, texts))
+    assert rows_of(got.states) == rows_of(machine.entity_states(decided, start(spark).states))
+    assert rows_of(got.sources) == rows_of(machine.source_states(decided))
+    assert {r["source"]: r["n"] for r in seen["folded"].groupBy("source").agg(F.count("*").alias("n")).collect()} == {"s": 61, "t": 51}
+    reached, past = machine.reachable(events)
+    assert (reached.where("source = 's'").count(), past.count()) == (61, 240)
+    assert decided.where("outcome = 'HELD'").count() == 240 and {tuple(r) for r in machine.held(machine.steps(past, resolved)).collect()} == {tuple(r) for r in decided.where("outcome = 'HELD'").collect()}
+
+
 def test_suite_in_one_scan_and_graph_variables(spark, tmp_path):
     rows = [("g1", '<a> <p> "x" .'), ("g2", '<a> <p> "y"@en .'), ("g2", "<b> <q> <b> ."), ("http://h", "<http://h> <q> <c> .")]
     spark.createDataFrame(rows, "graph string, line string").write.parquet(f"{tmp_path}/quads")
