@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ LINE = rf"^(?:{IRI}|{BNODE}){BLANKS}{IRI}{BLANKS}(?:{IRI}|{BNODE}|{LITERAL}){STO
 STRICT_CODE, LAX_CODE = "unsupported N-Triples line", "RDF_NORMALIZATION_UNSUPPORTED_SYNTAX"
 
 
-def scan(lines: DataFrame, strict: bool = True) -> DataFrame:
-    """lines (line) -> line, s, p, o and o_kind; a line that doesn't parse fails the job.
+def scan(lines: DataFrame, strict: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """lines (line) -> line, s, p, o and o_kind, and the columns to keep; a line that doesn't parse fails the job.
 
     Lines are checked once, by a filter of their own; the terms are plain parts of a split, so later filters on them stay cheap wherever Catalyst puts them.
     """
@@ -41,22 +43,22 @@ def scan(lines: DataFrame, strict: bool = True) -> DataFrame:
     fits = F.col("line").rlike(LINE) if strict else s.rlike(f"^(?:{IRI}|{BNODE})$") & p.rlike(f"^{IRI}$") & rest.rlike(STOP) & (o != "")
     fail = F.raise_error(F.concat(F.lit((STRICT_CODE if strict else LAX_CODE) + ": "), F.coalesce("line", F.lit("null"))))
     checked = lines.where(F.when(F.coalesce(fits, F.lit(False)), True).otherwise(fail.cast("boolean")))
-    return parted(checked)
+    return parted(checked, keep)
 
 
-def parted(lines: DataFrame) -> DataFrame:
-    """lines (line) that scan() has checked -> line, s, p, o and o_kind. Most lines have single blanks and no other space, and need no pattern.
+def parted(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """lines (line) that scan() has checked -> line, s, p, o and o_kind, and the columns to keep. Most lines have single blanks and no other space, and need no pattern.
 
     A step builds on the columns of the one before, so that a line is split once.
     """
     odd = F.col("line").contains("  ")
     for c in "\t\n\x0b\f\r":
         odd = odd | F.col("line").contains(c)
-    rows = lines.select("line", odd.alias("_odd"))
-    rows = rows.select("line", "_odd", F.when(F.col("_odd"), F.split("line", BLANKS, 3)).otherwise(F.split("line", " ", 3)).alias("_parts"))
-    rows = rows.select("line", "_odd", *[F.get("_parts", F.lit(k)).alias(c) for k, c in enumerate(("s", "p", "_rest"))])
+    rows = lines.select(*keep, "line", odd.alias("_odd"))
+    rows = rows.select(*keep, "line", "_odd", F.when(F.col("_odd"), F.split("line", BLANKS, 3)).otherwise(F.split("line", " ", 3)).alias("_parts"))
+    rows = rows.select(*keep, "line", "_odd", *[F.get("_parts", F.lit(k)).alias(c) for k, c in enumerate(("s", "p", "_rest"))])
     o = F.when(~F.col("_odd") & F.endswith("_rest", F.lit(" .")), F.substr("_rest", F.lit(1), F.length("_rest") - 2)).otherwise(F.regexp_replace("_rest", STOP, ""))
-    return rows.select("line", "s", "p", o.alias("o")).select("*", kind(F.col("o")).alias("o_kind"))
+    return rows.select(*keep, "line", "s", "p", o.alias("o")).select("*", kind(F.col("o")).alias("o_kind"))
 
 
 def kind(term: Column) -> Column:
@@ -117,11 +119,15 @@ BRIDGED = f"with {PROPS}, bridge as ({BRIDGE})"
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relational tables as lines of N-Triples."""
+    """The relational tables as lines of N-Triples.
+
+    A line is made by a generator of one element, as filters aren't pushed through one: pushed into the union they would put each line together anew for every
+    test of it, and those of terms would split it anew.
+    """
     sql = BRIDGE
     for name in ("customer", "nation", "orders"):
         sql = sql.replace(f" from {name}", f" from {{{name}}}")
     frames = {n: table(spark, sf_dir, n) for n in ("customer", "nation", "orders")}
     props = spark.range(1, 7).select(F.col("id").alias("k"))
     rows = spark.sql(sql.replace(" from props", " from {props}"), props=props, **frames)
-    return rows.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("line"))
+    return rows.select(F.explode(F.array(F.concat_ws(" ", "s", "p", "o", F.lit(".")))).alias("line"))

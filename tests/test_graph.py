@@ -276,3 +276,14 @@ def test_small_rings_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(compare, "save", lambda df, name: rounds.append(name) or real(df, name))
     assert compare.colours(T.scan(lines(spark, rings))).select("colour").distinct().count() == 1
     assert rounds.count("ways") <= 4
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bridge_puts_a_line_together_once(spark):
+    from tessera.plans import catalog
+
+    kept = plan(catalog.kept_triples(spark, "/root/testdata/sf0.001").where("line like '%_:%' and s <> 'x' and o <> 'x'"))
+    assert kept.count("concat_ws(") == 1
