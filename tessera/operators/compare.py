@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-from itertools import permutations, product
+from functools import reduce
+from itertools import count, groupby, permutations, product
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import save
@@ -27,25 +28,33 @@ def sided(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
     sides = expected.select(F.lit("0").alias("side"), *on).unionByName(actual.select(F.lit("1").alias("side"), *on))
     if "line" not in on:
         return sides
+    others = [c for c in on if c != "line"]
+    # filters aren't pushed through a generator, so what makes a line is done once a pass and not for every test of it
+    sides = sides.select("side", *others, F.explode(F.array("line")).alias("line"))
+    has = lambda x: F.col("line").contains(x)
+    bound = F.coalesce(has("_:") & F.col("line").rlike(BOUND), F.lit(False))
+    inside = lambda c: F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:"), "side", F.lit("."), F.substr(c, F.lit(3)))).otherwise(F.col(c))
+    # only an escape can bring in what a blank node's label needs
+    apart = in_line_form(sides.where(has("_:") | has("\\u") | has("\\U"))).where(bound).distinct()
+    rows = save(scan(apart, keep=["side", *others]).select("side", *others, "p", inside("s").alias("s"), inside("o").alias("o")), "bound")
     forms = in_line_form(sides)
-    bound = F.col("line").contains("_:") & F.col("line").rlike(BOUND)
-    apart = save(forms.where(bound).distinct(), "sides")
-    if apart.isEmpty():
+    if rows.isEmpty():
         return forms
-    inside = lambda c: F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:"), "side", F.lit("."), F.substr(c, F.lit(3)))).otherwise(F.col(c))
-    rows = apart.join(scan(apart.select("line").distinct()).select("line", "s", "p", "o"), "line")
-    rows = save(rows.select("side", *on, "p", inside("s").alias("s"), inside("o").alias("o")), "bound")
-    single = canonical_names(rows.select("s", F.concat_ws(" ", "p", *[c for c in on if c != "line"]).alias("p"), "o"))
+    names, seed = canonical_names(rows.select("s", F.concat_ws(" ", "p", *others).alias("p"), "o"))
     for end in ("s", "o"):
-        rows = rows.join(single.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name")), end, "left")
-    own = lambda c: F.coalesce(f"{c}_name", c)
-    rows = rows.withColumn("line", F.concat_ws(" ", own("s"), "p", own("o"), F.lit("."))).select("side", *on)
+        rows = rows.withColumn("node", _id(end, seed)).join(names, "node", "left")
+        rows = rows.withColumn(end, F.when(F.col(end).startswith("_:"), F.coalesce("name", end)).otherwise(F.col(end))).drop("node", "name")
+    rows = rows.withColumn("line", F.concat_ws(" ", "s", "p", "o", F.lit("."))).select("side", *on)
     return forms.where(~bound).select("side", *on).unionByName(rows)
 
 
 def _held(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
-    """Distinct rows of `on` in canonical form, and e: 1 for the first side, 2 for the second, 3 for both. One shuffle of both sides."""
-    return sided(expected, actual, on).groupBy(*on).agg(F.bit_or(F.when(F.col("side") == "0", 1).otherwise(2)).alias("e"))
+    """Distinct rows of `on` in canonical form, and e: 1 for the first side, 2 for the second, 3 for both. One shuffle of both sides.
+
+    Rows are dealt before they are grouped: as most are distinct until both sides meet, grouping them in their own tasks first would only fill memory.
+    """
+    rows = sided(expected, actual, on).select(*on, F.when(F.col("side") == "0", 1).otherwise(2).alias("e"))
+    return rows.repartition(*on).groupBy(*on).agg(F.bit_or("e").alias("e"))
 
 
 def diff(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
@@ -61,6 +70,16 @@ def by_graph(expected: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
+def _id(term: str, seed: int) -> Column:
+    """A term as a number. _coloured() looks by a second hash whether two blank nodes share one, and takes another seed if they do."""
+    return F.xxhash64(F.lit(seed), term)
+
+
+def _digest(h: Column) -> list[Column]:
+    """Parts of a digest of many hashes: sums of their halves, so that no sum overflows, and their number."""
+    return [F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.count(h)]
+
+
 def colours(triples: DataFrame) -> DataFrame:
     """node, colour of each blank node: a hash of its incident lines, refined with its neighbours' colours until stable.
 
@@ -69,28 +88,97 @@ def colours(triples: DataFrame) -> DataFrame:
     follow the logarithm of a chain's length. That says no more than rounds of one link would, so what is stable in the end is the same.
     Lines are combined by a sum of hashes, so a node with any number of lines needs no list; labels never enter a colour.
     """
+    coloured, seed = _coloured(triples)
+    return _labels(triples, seed).join(coloured, "id").select("node", "colour")
+
+
+def _labels(triples: DataFrame, seed: int) -> DataFrame:
+    """Distinct node, id of all blank nodes."""
+    nodes = triples.select(F.explode(F.array("s", "o")).alias("node")).where(F.col("node").startswith("_:"))
+    return nodes.distinct().withColumn("id", _id("node", seed))
+
+
+def _coloured(triples: DataFrame) -> tuple[DataFrame, int]:
+    """id, mark (the code of the label's first character) and colour of each blank node, and the seed of the ids."""
     bare = lambda c: F.when(F.col(c).rlike(f"^{BNODE}$"), F.lit("@BNODE")).otherwise(F.col(c))
-    ends = [("s", "o", "out"), ("o", "s", "in")]
-    arcs = None
-    for own, other, side in ends:
-        part = triples.where(F.col(own).startswith("_:")).select(
-            F.col(own).alias("node"), F.col(other).alias("other"), F.xxhash64(F.lit(side), "p", F.when(F.col("s") == F.col("o"), "@SELF").otherwise(bare(other))).alias("h"), F.lit(side).alias("side")
-        )
-        arcs = part if arcs is None else arcs.unionByName(part)
-    arcs = save(arcs, "arcs")
-    digest = F.xxhash64(F.sum(F.col("h").cast("decimal(38,0)")), F.count("*"))
-    now = save(arcs.groupBy("node").agg(digest.alias("colour")), "colours")
-    linked = arcs.where(F.col("other").startswith("_:"))
-    now = _along(now, linked.where(F.col("node") != F.col("other")))
+    blank = lambda c: F.col(c).startswith("_:")
+    for seed in count():
+
+        def arc(own, other, out):
+            h = F.xxhash64(F.lit("out" if out else "in"), "p", F.when(F.col("s") == F.col("o"), "@SELF").otherwise(bare(other)))
+            columns = {"id": _id(own, seed), "check": F.hash(own), "mark": F.ascii(F.substr(own, F.lit(3), F.lit(1))), "other": F.when(blank(other), _id(other, seed)), "h": h, "out": F.lit(out)}
+            return F.when(blank(own), F.struct(*[c.alias(name) for name, c in columns.items()]))
+
+        # both ends in one pass, as what gives the triples may be a long way
+        arcs = triples.where(blank("s") | blank("o")).select(F.inline(F.array(arc("s", "o", True), arc("o", "s", False)))).where("id is not null")
+        made = {"mark": F.max("mark"), "colour": F.xxhash64(*_digest(F.col("h"))), "clash": F.min("check") != F.max("check")}
+        for side, link in (("out", F.col("out")), ("in", ~F.col("out"))):
+            link = link & (F.col("other") != F.col("id"))  # null, so not counted, where the other end is no blank node
+            made |= {f"n_{side}": F.count_if(link), f"next_{side}": F.max(F.when(link, F.col("other"))), f"h_{side}": F.max(F.when(link, F.col("h")))}
+        now = arcs.repartition("id").groupBy("id").agg(*[c.alias(name) for name, c in made.items()])
+        only = lambda side, yes, no=None: F.when(F.col(f"n_{side}") == 1, yes).otherwise(F.lit(None).cast("long") if no is None else no)
+        ways = [x for side in ("out", "in") for x in (only(side, F.col(f"next_{side}")).alias(f"next_{side}"), only(side, F.xxhash64(f"h_{side}", "colour"), F.col("colour")).alias(f"seen_{side}"))]
+        now = save(now.select("id", "mark", "colour", "clash", (F.greatest("n_out", "n_in") > 1).alias("branches"), *ways), "ways")
+        clashes, branches = now.agg(F.count_if("clash"), F.count_if("branches")).first()
+        if clashes:
+            continue
+        if branches:
+            return _refined(now.select("id", "mark", "colour"), save(arcs.select(F.col("id").alias("node"), "other", "h", F.when(F.col("out"), "out").otherwise("in").alias("side")), "arcs")), seed
+        return _chained(now.drop("colour", "clash", "branches")), seed
+
+
+def _chained(now: DataFrame) -> DataFrame:
+    """id, mark, colour where no node has two links of a direction, so that there are lists and rings only.
+
+    Of each node: next_out and next_in, the nodes 1, 2, 4, ... links away, null beyond an end; seen_out and seen_in, a hash of what stands before them, itself included.
+    If y is next to x one way, then x is next to y the other way, so each node tells both of its next ones what they would have to ask it, and one that has
+    seen both ends takes no further part. A list that is longer than the way so far has ends to be seen in each round, so once no way ends only rings are left;
+    they say nothing new once no more kinds of ways are seen. By then a node's colour tells those of its neighbours, so no further round can split it.
+    """
+    done, before, kinds = [], None, None
+    while True:
+        open_ = now.where("next_out is not null or next_in is not null")
+        done.append(now.where("next_out is null and next_in is null"))
+        ways = open_.agg(F.count("next_out") + F.count("next_in")).first()[0]
+        if ways == before:
+            seen = open_.agg(F.count_distinct(F.when(F.col("next_out").isNotNull(), F.col("seen_out"))) + F.count_distinct(F.when(F.col("next_in").isNotNull(), F.col("seen_in")))).first()[0]
+            if seen == kinds:
+                break
+            kinds = seen
+        if ways == 0:
+            break
+        before = ways
+        told = lambda to, what, a, b: F.when(F.col(to).isNotNull(), F.struct(F.col(to).alias("id"), F.lit(what).alias("what"), F.lit(None).cast("int").alias("mark"), F.col(a).alias("a"), F.col(b).alias("b"), *[F.lit(None).cast("long").alias(c) for c in "cd"]))
+        own = F.struct("id", F.lit(0).alias("what"), "mark", F.col("next_out").alias("a"), F.col("seen_out").alias("b"), F.col("next_in").alias("c"), F.col("seen_in").alias("d"))
+        rows = open_.select(F.inline(F.array(own, told("next_in", 1, "next_out", "seen_out"), told("next_out", 2, "next_in", "seen_in")))).where("id is not null")
+        of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+        met = rows.repartition("id").groupBy("id").agg(
+            F.max("mark").alias("mark"), of(0, "a").alias("next_out"), of(0, "b").alias("seen_out"), of(0, "c").alias("next_in"), of(0, "d").alias("seen_in"),
+            of(1, "a").alias("after_out"), of(1, "b").alias("more_out"), of(2, "a").alias("after_in"), of(2, "b").alias("more_in"),
+        )
+        ahead = [x for side in ("out", "in") for x in (
+            F.when(F.col(f"next_{side}").isNotNull(), F.col(f"after_{side}")).alias(f"next_{side}"),
+            F.when(F.col(f"next_{side}").isNotNull(), F.xxhash64(f"seen_{side}", f"more_{side}")).otherwise(F.col(f"seen_{side}")).alias(f"seen_{side}"),
+        )]
+        now = save(met.select("id", "mark", *ahead), "ways")
+    every = reduce(DataFrame.unionByName, [*done, open_])
+    return every.select("id", "mark", F.xxhash64("seen_out", "seen_in").alias("colour"))
+
+
+def _refined(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """id, mark, colour of any graph: ways along only links, then rounds of one link over all arcs (node, other, h, side) until stable."""
+    now = nodes.select(F.col("id").alias("node"), "colour")
+    linked = arcs.where("other is not null")
+    now = _along(now, linked.where("node <> other"))
     distinct, before = now.select("colour").distinct().count(), 0
     while distinct > before:
         near = now.withColumnRenamed("node", "other").withColumnRenamed("colour", "c")
-        met = arcs.join(near, "other", "left").select("node", F.xxhash64("h", F.coalesce("c", F.lit(0))).alias("h"))
-        # its own colour is part of what a node becomes, so that no round undoes a split
-        own = met.groupBy("node").agg(digest.alias("met")).join(now, "node")
-        now = save(own.select("node", F.xxhash64("met", "colour").alias("colour")), "colours")
+        met = linked.join(near, "other").select("node", F.xxhash64("h", "c").alias("h"), F.lit(None).cast("long").alias("colour"))
+        # its own colour, which tells of all its lines, is part of what a node becomes, so that no round undoes a split
+        both = met.unionByName(now.select("node", F.lit(None).cast("long").alias("h"), "colour")).repartition("node").groupBy("node")
+        now = save(both.agg(F.xxhash64(*_digest(F.col("h")), F.max("colour")).alias("colour")), "colours")
         distinct, before = now.select("colour").distinct().count(), distinct
-    return now
+    return nodes.select("id", "mark").join(now.withColumnRenamed("node", "id"), "id")
 
 
 def _along(coloured: DataFrame, links: DataFrame) -> DataFrame:
@@ -111,7 +199,7 @@ def _along(coloured: DataFrame, links: DataFrame) -> DataFrame:
         now = save(met.select("node", "side", F.col("after").alias("next"), F.xxhash64("seen", F.coalesce("more", "end")).alias("seen")), "ways")
         ended = ended.unionByName(now.where("next is null"))
     now = ended.unionByName(now.where("next is not null"))
-    both = now.groupBy("node").agg(F.sum(F.xxhash64("side", "seen").cast("decimal(38,0)")).alias("way"))
+    both = now.groupBy("node").agg(F.xxhash64(*_digest(F.xxhash64("side", "seen"))).alias("way"))
     return save(coloured.join(both, "node", "left").select("node", F.xxhash64("colour", F.coalesce("way", F.lit(0))).alias("colour")), "colours")
 
 
@@ -119,27 +207,31 @@ def _along(coloured: DataFrame, links: DataFrame) -> DataFrame:
 SEARCH_LIMIT = 100_000
 #: Copies of one component are numbered in so many parts.
 PARTS = 256
+FORMS = pa.schema([("component", pa.string()), ("node", pa.string()), ("form", pa.string()), ("place", pa.int64())])
 
 
-def canonical_names(triples: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """triples (s, p, o) with nodes `_:<side>.<label>` -> node, name; names are alike on both sides where what they stand for is.
+def canonical_names(triples: DataFrame, limit: int = SEARCH_LIMIT) -> tuple[DataFrame, int]:
+    """triples (s, p, o) with nodes `_:<side>.<label>` -> node (its id), name, and the seed of the ids; names are alike on both sides where what they stand for is.
 
     A node whose colour no other of its side has is named by it. Those that stay tied are put in order by component (nodes tied and
     linked): of all orders within equal colours the one with the least text. Components with one text are copies of each other
     and are numbered. A component with more orders than the limit fails the job.
     """
-    side = F.substr("node", F.lit(3), F.lit(1))
-    nodes = save(colours(triples).withColumn("side", side), "coloured")
-    sizes = nodes.groupBy("side", "colour").agg(F.count("*").alias("n"))
-    nodes = nodes.join(sizes, ["side", "colour"])
-    single = save(nodes.where("n = 1").select("node", F.concat(F.lit("_:c14n"), F.hex("colour")).alias("name")), "named")
-    tied = save(nodes.where("n > 1").select("node", "colour"), "tied")
-    if tied.isEmpty():
-        return single
+    coloured, seed = _coloured(triples)
+    sizes = coloured.repartition("mark", "colour").groupBy("mark", "colour").agg(F.count("*").alias("n"), F.max("id").alias("node"))
+    sizes = save(sizes, "coloured")
+    single = sizes.where("n = 1").select("node", F.concat(F.lit("_:c14n"), F.hex("colour")).alias("name"))
+    if sizes.where("n > 1").isEmpty():
+        return single, seed
+    same = coloured.join(sizes.where("n > 1").select("mark", "colour"), ["mark", "colour"], "left_semi").select("id", "colour")
+    tied = save(_labels(triples, seed).join(same, "id").select("node", "id", "colour"), "tied")
     for end in ("s", "o"):
-        triples = triples.join(tied.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")), end, "left")
-        triples = triples.join(single.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name")), end, "left")
-    near = save(triples.where("s_colour is not null or o_colour is not null"), "near")
+        triples = triples.withColumn("id", _id(end, seed)).join(tied.select("id", F.col("colour").alias(f"{end}_colour")), "id", "left").withColumn(f"{end}_id", F.col("id")).drop("id")
+    near = triples.where("s_colour is not null or o_colour is not null")
+    for end in ("s", "o"):
+        near = near.join(single.select(F.col("node").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id", "left").drop(f"{end}_id")
+    tied = tied.drop("id")
+    near = save(near, "near")
     label = _components(tied.select("node"), near.where("s_colour is not null and o_colour is not null and s <> o").select("s", "o"))
     owned = near.join(label.withColumnRenamed("node", "s"), "s", "left").join(label.select(F.col("node").alias("o"), F.col("component").alias("far")), "o", "left")
     owned = save(owned.withColumn("component", F.coalesce("component", "far")).drop("far"), "owned")
@@ -149,34 +241,47 @@ def canonical_names(triples: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
     if not orders.where((F.col("most") > 20) | (F.col("bits") > math.log2(limit) + 1e-6)).isEmpty():
         raise ValueError("RDF_CANONICALIZATION_SEARCH_LIMIT")
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    def ordered(component: str, rows: list[dict]) -> list[dict]:
         groups: dict[int, set] = {}
         for end in ("s", "o"):
-            for node, colour in pdf.loc[pdf[f"{end}_colour"].notna(), [end, f"{end}_colour"]].itertuples(index=False):
-                groups.setdefault(int(colour), set()).add(node)
+            for r in rows:
+                if r[f"{end}_colour"] is not None:
+                    groups.setdefault(r[f"{end}_colour"], set()).add(r[end])
         if math.prod(math.factorial(len(g)) for g in groups.values()) > limit:
             raise ValueError("RDF_CANONICALIZATION_SEARCH_LIMIT")
-        rows = list(pdf[["s", "p", "o", "s_name", "o_name"]].itertuples(index=False))
+        parts = [(r["s"], r["s_name"] or r["s"], r["p"], r["o"], r["o_name"] or r["o"]) for r in rows]
 
         def text(order):
             place = {node: f"_:{k}" for k, node in enumerate(order)}
-            return sorted(" ".join((place.get(s, sn or s), p, place.get(o, on or o))) for s, p, o, sn, on in rows)
+            return sorted(" ".join((place.get(s, sn), p, place.get(o, on))) for s, sn, p, o, on in parts)
 
         orders = ([n for part in parts for n in part] for parts in product(*[permutations(sorted(groups[c])) for c in sorted(groups)]))
         least, order = min((text(o), o) for o in orders)
         form = hashlib.sha256("\n".join([*map(str, sorted(groups)), *least]).encode()).hexdigest()[:32]
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "node": order, "form": form, "place": range(len(order))})
-
-    owned = owned.withColumns({"s_colour": F.col("s_colour").cast("decimal(20,0)"), "o_colour": F.col("o_colour").cast("decimal(20,0)")})
-    made = save(owned.groupBy("component").applyInPandas(ordered, "component string, node string, form string, place long"), "forms")
+        return [{"component": component, "node": node, "form": form, "place": k} for k, node in enumerate(order)]
+
+    def all_ordered(batches):
+        made: list[dict] = []
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for component, group in groupby(rows, key=lambda r: r["component"]):
+            made += ordered(component, list(group))
+            if len(made) >= 10_000:
+                yield pa.RecordBatch.from_pylist(made, schema=FORMS)
+                made = []
+        yield pa.RecordBatch.from_pylist(made, schema=FORMS)
+
+    # components are many and small, so a task takes one after the other; their number and not their bytes is the work, so tasks aren't put together
+    tasks = int(owned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owned = owned.repartition(tasks, "component").sortWithinPartitions("component")
+    made = save(owned.mapInArrow(all_ordered, "component string, node string, form string, place long"), "forms")
     copies = made.select("component", "form", F.substr("component", F.lit(3), F.lit(1)).alias("side")).distinct()
     copies = save(copies.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(PARTS))), "copies")
     before = F.sum("n").over(Window.partitionBy("side", "form").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = copies.groupBy("side", "form", "part").agg(F.count("*").alias("n")).select("side", "form", "part", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("side", "form", "part").orderBy("component"))
     copies = copies.withColumn("rank", rank).join(sizes, ["side", "form", "part"]).select("component", (F.col("rank") + F.col("before")).alias("copy"))
-    more = made.join(copies, "component").select("node", F.concat(F.lit("_:c14n"), "form", F.lit("."), F.col("copy").cast("string"), F.lit("."), F.col("place").cast("string")).alias("name"))
-    return save(single.unionByName(more), "named")
+    more = made.join(copies, "component").select(_id("node", seed).alias("node"), F.concat(F.lit("_:c14n"), "form", F.lit("."), F.col("copy").cast("string"), F.lit("."), F.col("place").cast("string")).alias("name"))
+    return single.unionByName(save(more, "named")), seed
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

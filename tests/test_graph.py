@@ -1,6 +1,8 @@
 import datetime as dt
 import itertools
 import random
+import re
+
 import pytest
 from pyspark.errors import PySparkException
 
@@ -278,10 +280,54 @@ def test_small_rings_take_few_rounds(spark, monkeypatch):
     assert rounds.count("ways") <= 4
 
 
+def saved(monkeypatch):
+    """Names and frames that compare saves from here on."""
+    made = []
+    real = compare.save
+    monkeypatch.setattr(compare, "save", lambda df, name: made.append((name, df)) or real(df, name))
+    return made
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def same_classes(spark, rows):
+    want = slow_colours(rows)
+    got = {r["node"]: r["colour"] for r in compare.colours(T.scan(lines(spark, [" ".join((*r, ".")) for r in rows]))).collect()}
+    assert got.keys() == want.keys()
+    return all((got[x] == got[y]) == (want[x] == want[y]) for x in got for y in got)
+
+
+def test_lists_and_rings_need_no_rounds_over_all_lines(spark, monkeypatch):
+    """Lists of 1 to 7 nodes, rings of 2, 3 and 6, and self-links: told apart by doubling alone, in which finished nodes take no further part."""
+    rows = [(f"_:l{n}x{k}", "<p>", f"_:l{n}x{k + 1}" if k + 1 < n else f'"{n % 3}"') for n in range(1, 8) for k in range(n)]
+    rows += [(f"_:r{n}{c}x{k}", "<p>", f"_:r{n}{c}x{(k + 1) % n}") for n in (2, 3, 6) for c in "ab" for k in range(n)] + [("_:r6ax0", "<q>", '"1"'), ("_:own", "<p>", "_:own"), ("_:also", "<p>", "_:also")]
+    made = saved(monkeypatch)
+    assert same_classes(spark, rows)
+    assert not [name for name, _ in made if name in ("arcs", "colours")]
+    counts = [df.count() for name, df in made if name == "ways"]
+    assert counts == sorted(counts, reverse=True) and counts[-1] < counts[0]
+
+
+def test_nodes_with_branches_are_refined(spark):
+    rng = random.Random(6)
+    rows = sorted({(f"_:{rng.randrange(12)}", rng.choice(["<p>", "<q>"]), rng.choice([f"_:{rng.randrange(12)}", '"1"'])) for _ in range(20)})
+    assert same_classes(spark, rows)
+
+
+def test_ids_that_clash_are_made_anew(spark, monkeypatch):
+    real = compare._id
+    monkeypatch.setattr(compare, "_id", lambda term, seed: real(term, seed) if seed else T.F.length(term).cast("long"))
+    assert same_classes(spark, [("_:a", "<p>", "_:b"), ("_:b", "<p>", '"1"'), ("_:c", "<p>", '"1"')])
+
+
+def test_colours_read_triples_once(spark, monkeypatch):
+    made = saved(monkeypatch)
+    compare.colours(T.scan(lines(spark, ['_:a <p> "1" .', "<s> <p> _:a ."]))).collect()
+    assert plan(made[0][1]).count("LogicalRDD") == 1
+
+
 def test_bridge_puts_a_line_together_once(spark):
     from tessera.plans import catalog
 
