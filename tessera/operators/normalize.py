@@ -41,11 +41,9 @@ def provenance(triples: DataFrame, full_dump: bool = True) -> DataFrame:
 
 def decimal(lex: Column) -> Column:
     """The canonical form of a decimal: no plus, leading zeros, trailing fraction zeros or negative zero. What isn't digits with a sign or fraction stays."""
-    x = F.regexp_replace(lex, r"^\+", "")
-    x = F.regexp_replace(x, r"^(-?)0+(?=[0-9])", "$1")
-    x = F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1")
-    x = F.regexp_replace(x, r"\.$", "")
-    return F.when(~lex.rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?$"), lex).when(x == "-0", "0").otherwise(x)
+    # a sign, digits from the first that counts, and a fraction up to its last one that counts
+    x = F.regexp_replace(lex, r"^\+?(-?)0*([0-9]+)(?:\.0*|(\.[0-9]*[1-9])0*)?$", "$1$2$3")
+    return F.when(~lex.rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?$"), lex).when(lex.startswith("-") & (x == "-0"), "0").otherwise(x)
 
 
 _DECIMAL = '"^^<http://www.w3.org/2001/XMLSchema#decimal>'
@@ -61,7 +59,17 @@ def in_line_form(rows: DataFrame) -> DataFrame:
     """rows with their column line in line_form(); only lines with an escape go through Python."""
     odd = F.coalesce(F.col("line").contains("\\u") | F.col("line").contains("\\U"), F.lit(False))
     plain = F.when(F.col("line").contains("\t"), F.regexp_replace("line", r"\t+", " ")).otherwise(F.col("line"))
-    return rows.where(~odd).withColumn("line", _decimal_form(plain)).unionByName(rows.where(odd).withColumn("line", line_form(F.col("line"))))
+    # made by a generator, as filters aren't pushed through one and so don't make the form anew for every test of it
+    once = lambda form: F.explode(F.array(form))
+    others = [c for c in rows.columns if c != "line"]
+    few = rows.where(~odd).select(*others, plain.alias("line"))
+    # a line with one literal falls apart at its quotes, and a number in it needs few patterns
+    few = few.select(*others, "line", F.when(F.col("line").contains(_DECIMAL), F.split("line", '"')).alias("_parts"))
+    part = lambda k: F.get("_parts", F.lit(k))
+    single = (F.size("_parts") == 3) & part(2).startswith(_DECIMAL[1:])
+    form = F.when(F.col("_parts").isNull(), F.col("line")).when(single, F.concat(part(0), F.lit('"'), decimal(part(1)), F.lit('"'), part(2))).otherwise(_decimal_form(F.col("line")))
+    few, many = few.select(*others, once(form).alias("line")), rows.where(odd).select(*others, once(line_form(F.col("line"))).alias("line"))
+    return few.unionByName(many).select(*rows.columns)
 
 
 def _decimal_form(line: Column) -> Column:
